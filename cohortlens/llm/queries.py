@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, sharding, warc
+from . import decontamination, exact_dedup, mixing, quality, secret_scan, sharding, warc
 from .common import table
 
 QUERIES = {
     "op1_sharding": lambda spark, d: sharding.op1(spark, table(spark, d, "documents")),
     "op2_mixing": lambda spark, d: mixing.op2(spark, table(spark, d, "documents")),
+    "op3_quality": lambda spark, d: quality.op3(spark, table(spark, d, "documents"), table(spark, d, "labels")),
     "op4_warc": lambda spark, d: warc.op4(spark, table(spark, d, "pages")),
     "op7_exact_dedup": lambda spark, d: exact_dedup.op7(spark, table(spark, d, "documents")),
+    "op8_decontamination": lambda spark, d: decontamination.op8(spark, table(spark, d, "documents"), table(spark, d, "benchmark")),
+    "op9_secret_scan": lambda spark, d: secret_scan.op9(spark, table(spark, d, "documents")),
 }
 ORACLES = {"op2_mixing": mixing.ORACLE, "op4_warc": warc.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE}
