@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, mixing, pii, quality, secret_scan, sharding, warc
+from . import decontamination, exact_dedup, mixing, near_dup, pii, quality, secret_scan, sharding, warc
 from .common import table
 
 QUERIES = {
@@ -10,6 +10,7 @@ QUERIES = {
     "op2_mixing": lambda spark, d: mixing.op2(spark, table(spark, d, "documents")),
     "op3_quality": lambda spark, d: quality.op3(spark, table(spark, d, "documents"), table(spark, d, "labels")),
     "op4_warc": lambda spark, d: warc.op4(spark, table(spark, d, "pages")),
+    "op5_near_dup": lambda spark, d: near_dup.op5(spark, table(spark, d, "documents")),
     "op6_pii": lambda spark, d: pii.op6(spark, table(spark, d, "documents")),
     "op7_exact_dedup": lambda spark, d: exact_dedup.op7(spark, table(spark, d, "documents")),
     "op8_decontamination": lambda spark, d: decontamination.op8(spark, table(spark, d, "documents"), table(spark, d, "benchmark")),
