@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, mixing, near_dup, pii, quality, secret_scan, sharding, warc
+from . import decontamination, exact_dedup, mixing, near_dup, pii, quality, secret_scan, sharding, substring_dedup, warc
 from .common import table
 
 QUERIES = {
@@ -15,5 +15,6 @@ QUERIES = {
     "op7_exact_dedup": lambda spark, d: exact_dedup.op7(spark, table(spark, d, "documents")),
     "op8_decontamination": lambda spark, d: decontamination.op8(spark, table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op9_secret_scan": lambda spark, d: secret_scan.op9(spark, table(spark, d, "documents")),
+    "op10_substring_dedup": lambda spark, d: substring_dedup.op10(spark, table(spark, d, "documents")),
 }
 ORACLES = {"op2_mixing": mixing.ORACLE, "op4_warc": warc.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE}
