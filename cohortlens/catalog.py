@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from importlib import import_module
+from pkgutil import iter_modules
 
+from . import plans
+from .registry import ORACLES, QUERIES
 
-def query(name: str, sql: str | None = None):
-    """Register a function (spark, sf_dir) -> DataFrame under ``name``."""
+for _module in iter_modules(plans.__path__):
+    import_module(f"{plans.__name__}.{_module.name}")
 
-    def put(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return put
+__all__ = ["ORACLES", "QUERIES"]
