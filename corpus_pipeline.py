@@ -4,19 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlens.llm import mixing, sharding
+from cohortlens.llm import decontamination, mixing, near_dup, quality, sharding
 from cohortlens.llm.common import stored, table
 
+N_SHARDS = 24
 
-def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below 0.3 go."""
+    return quality.good_documents(docs, table(spark, sf_dir, "labels"))
+
+
+def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays: that with the smallest id."""
+    return near_dup.one_of_each(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a word inside a benchmark window go."""
+    return decontamination.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it (0 to 3 times)."""
     return mixing.mixed(docs)
 
 
-def shard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sharding.shuffle_into_shards(docs, 24)
+def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows in shuffled shards, with ``shard`` and ``slot``."""
+    return sharding.shuffle_into_shards(docs, N_SHARDS)
 
 
-STAGES = [("mix", mix_stage), ("shard", shard_stage)]
+STAGES = [("quality", quality_stage), ("near_duplicates", near_dup_stage), ("decontamination", decontamination_stage), ("mixing", mixing_stage), ("sharding", sharding_stage)]
 #: SQL can't express the classifier; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
