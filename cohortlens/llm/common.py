@@ -22,12 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_own: dict[str, str] = {}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that all executors share (``spark.checkpoint.dir``); a temporary one only where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='cohortlens-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
+    base = spark.conf.get("spark.checkpoint.dir", None) or _own.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.gettempdir()}/cohortlens-{uuid.uuid4().hex}")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -143,3 +143,31 @@ def unpack(column: pa.ChunkedArray, dtype) -> np.ndarray:
     """One array of what many packed values hold."""
     data, _ = flat(column)
     return np.frombuffer(data.tobytes(), dtype)
+
+
+def might_hold(df: DataFrame, key: str):
+    """A filter function for long columns: true for all values of ``df[key]`` and for few others.
+
+    A bit for each hash, 16 bits for each distinct value and 2^28 (32 MB) at most; a fuller filter lets more through,
+    nothing less.
+    """
+    bits = min(28, max(20, math.ceil(math.log2(16 * df.select(F.approx_count_distinct(key)).first()[0] + 1))))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
+
+    def filled(t: pa.Table) -> pa.Table:
+        flags = np.zeros(1 << 20, bool)
+        flags[t["bit"].to_numpy() & ((1 << 20) - 1)] = True
+        return pa.table({"block": t["block"][:1], "data": pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())})
+
+    held = df.select(place(F.col(key)).alias("bit")).distinct().withColumn("block", F.shiftright("bit", 20).cast("int"))
+    out = np.zeros((1 << bits) >> 3, np.uint8)
+    for r in held.groupBy("block").applyInArrow(filled, "block int, data binary").toLocalIterator():
+        out[r.block << 17 : (r.block + 1) << 17] = np.frombuffer(r.data, np.uint8)
+    sent = df.sparkSession.sparkContext.broadcast(out)
+
+    @F.arrow_udf("boolean")
+    def look(bit: pa.Array) -> pa.Array:
+        b = bit.to_numpy(zero_copy_only=False)
+        return pa.array((sent.value[b >> 3] >> (b & 7).astype(np.uint8) & 1).astype(bool))
+
+    return lambda c: look(place(c))

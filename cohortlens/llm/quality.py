@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, flat, prefix_hash, range_hash, slices, stored, word_ranges
+from .common import BLANK, flat, might_hold, prefix_hash, range_hash, slices, stored, word_ranges
 
 BITS = 18
 DIM = 1 << BITS
@@ -82,7 +82,10 @@ def train_rows(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label
     """``y, t`` of labelled rows that may be learnt from; several labels of one id: the largest."""
     held = F.pmod(F.crc32(F.col("k").cast("string").cast("binary")), F.lit(5)) == 0
     y = labels.select(F.col(doc_id).alias("k"), F.col(label).alias("y")).filter(~held & F.col("y").isNotNull()).groupBy("k").agg(F.max("y").alias("y"))
-    return docs.select(F.col(doc_id).alias("k"), F.col(text).alias("t")).join(y, "k").select("k", "y", "t")
+    y = stored(y, "labels")
+    # Labels grow with the documents: never broadcast; only texts that may have one are shuffled.
+    rows = docs.select(F.col(doc_id).alias("k"), F.col(text).alias("t")).filter(might_hold(y, "k")(F.col("k")))
+    return rows.join(y.hint("merge"), "k").select("k", "y", "t")
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", max_fit_rows: int = MAX_FIT_ROWS) -> dict:
