@@ -38,9 +38,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def parts_for(df: DataFrame, text: str, bytes_per_part: int) -> int:
+def text_bytes(df: DataFrame, text: str) -> int:
+    return df.select(F.sum(F.octet_length(F.col(text))).alias("n")).first().n or 0
+
+
+def parts_for(df: DataFrame, text: str, bytes_per_part: int, total: int | None = None) -> int:
     """How many parts of about ``bytes_per_part`` the texts make; at least the session's shuffle partitions."""
-    total = df.select(F.sum(F.octet_length(F.col(text))).alias("n")).first().n or 0
+    total = text_bytes(df, text) if total is None else total
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / bytes_per_part))
 
 
@@ -131,9 +135,11 @@ BLANK[[9, 10, 11, 12, 13, 32]] = True
 
 def by_bucket(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[bytes]]]:
     """The columns cut by bucket, each cut as plain bytes."""
+    if not len(bucket):
+        return
     order = np.argsort(bucket, kind="stable")
     b = bucket[order]
-    cut = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else np.zeros(0, np.int64)
+    cut = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
     columns = [c[order] for c in columns]
     for s, e in zip(cut, np.r_[cut[1:], len(b)], strict=True):
         yield int(b[s]), [c[s:e].tobytes() for c in columns]

@@ -65,7 +65,7 @@ def thresholds(thin: DataFrame, most: int = 3) -> DataFrame:
         state = hist.withColumn("rank", rank).filter("rank = 1").select("source", "source_size", "target", "base", "rest", F.col("b").alias("prefix"), (F.col("upto") - F.col("inside")).alias("below"), "inside")
     upto = F.col("below") + F.col("inside")
     take = (upto <= F.col("rest")) | (upto - F.col("rest") < F.col("rest") - F.col("below"))
-    return state.select("source", "source_size", "target", "base", (F.col("prefix") + F.when(take, 1).otherwise(0)).alias("cut"))
+    return state.select("source", "source_size", "target", "base", F.when(F.col("rest") > 0, F.col("prefix") + F.when(take, 1).otherwise(0)).otherwise(0).alias("cut"))
 
 
 def mix_to_targets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", most: int = 3, seed: str = "mix") -> DataFrame:
@@ -76,12 +76,13 @@ def mix_to_targets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     takes no rows. No rows: no rows.
     """
     thin = stored(docs.select(F.col(source).alias("source"), words(text).alias("size"), row_hash(doc_id, text, seed).alias("h")), "mix")
-    cuts = stored(thresholds(thin, most).withColumnRenamed("source", "__source"), "cuts")
+    cuts = thresholds(thin, most)
+    cuts = stored(cuts.withColumnsRenamed({c: f"__{c}" for c in cuts.columns}), "cuts")
     few = cuts.count() <= FEW_SOURCES
     out = docs.drop("mix_size", "mix_source_size", "mix_target", "mix_copies").withColumn("__h", row_hash(doc_id, text, seed)).withColumn("mix_size", words(text))
     out = out.join(F.broadcast(cuts) if few else cuts, F.col(source).eqNullSafe(F.col("__source")), "left")
-    copies = F.col("base") + F.when(F.col("__h") < F.col("cut"), 1).otherwise(0)
-    return out.withColumns({"mix_source_size": F.col("source_size"), "mix_target": F.col("target"), "mix_copies": copies}).drop("__source", "__h", "source_size", "target", "base", "cut")
+    copies = F.col("__base") + F.when(F.col("__h") < F.col("__cut"), 1).otherwise(0)
+    return out.withColumns({"mix_source_size": F.col("__source_size"), "mix_target": F.col("__target"), "mix_copies": copies}).drop("__h", *cuts.columns)
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:

@@ -107,12 +107,12 @@ def personal_data(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     docs = docs.drop("base", "terms")
     found = entities(docs, text)
     key = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    hits = stored(found.select(F.col(text), "base").filter(F.size("base") > 0).withColumn("k", key), "entities")
+    hits = stored(found.select(F.col(text), "base").filter(F.size("base") > 0).withColumn("__k", key), "entities")
     told = disclosing_terms(docs, hits, text, **options)
-    held = hits.select("k", F.explode(F.array_distinct(F.transform("base", lambda s: s["value"]))).alias("entity")).distinct()
-    per_text = stored(held.join(told, "entity").groupBy("k").agg(F.array_sort(F.collect_set("term")).alias("__terms")), "terms")
+    held = hits.select("__k", F.explode(F.array_distinct(F.transform("base", lambda s: s["value"]))).alias("entity")).distinct()
+    per_text = stored(held.join(told, "entity").groupBy("__k").agg(F.array_sort(F.collect_set("term")).alias("__terms")), "terms")
     none = F.array().cast("array<struct<start:int,rank:int,end:int,value:string>>")
-    rows = found.withColumn("k", key).join(F.broadcast(per_text) if per_text.count() <= 10_000 else per_text, "k", "left").drop("k")
+    rows = found.withColumn("__k", key).join(F.broadcast(per_text) if per_text.count() <= 10_000 else per_text, "__k", "left").drop("__k")
     return rows.withColumn("terms", F.when(F.col("__terms").isNotNull(), term_spans(F.col(text), F.col("__terms"))).otherwise(none)).drop("__terms")
 
 
