@@ -62,8 +62,8 @@ def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
     """Equal bins from minimum to maximum, the last closed. A constant column is one bin."""
     edge = df.agg(F.min(column).alias("lo"), F.max(column).alias("hi"))
     x = df.select(F.col(column).alias("x")).filter("x is not null").crossJoin(F.broadcast(edge))  # one row
-    bin_ = F.least(F.floor(F.try_divide(F.col("x") - F.col("lo"), F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))
-    return x.groupBy(F.coalesce(bin_, F.lit(0)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    place = F.coalesce(F.floor(F.try_divide(F.col("x") - F.col("lo"), F.col("hi") - F.col("lo")) * bins), F.lit(0))
+    return x.groupBy(F.least(place, F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def edge_bin(x: Column, edges: Sequence[float]) -> Column:

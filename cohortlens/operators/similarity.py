@@ -7,6 +7,7 @@ both in blocks, and a task multiplies two blocks of bounded size; only pairs tha
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -29,47 +30,52 @@ def blocks(df: DataFrame, key: str, name: str) -> tuple[DataFrame, int]:
     return df.withColumn(name, F.pmod(F.xxhash64(key), F.lit(n)).cast("int")), n
 
 
-def pair_blocks(left: DataFrame, right: DataFrame, key: str, vector: str, fn, schema: str) -> DataFrame:
-    """``fn(ids, vectors, ids, vectors)`` -> frame, for each pair of a left and a right block."""
-    a, n = blocks(left.select(F.col(key).alias("id"), F.col(vector).alias("v")), "id", "i")
-    b, m = blocks(right.select(F.col(key).alias("id"), F.col(vector).alias("v")), "id", "j")
-    a = a.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
-    b = b.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+def pair_blocks(left: DataFrame, right: DataFrame, key: str, vector: str, fn, schema: str, by: Sequence[str] = (), keep: Sequence[str] = (), half: bool = False) -> DataFrame:
+    """``fn(left frame, right frame)`` for each pair of a left and a right block (of one value of ``by``); both have id, v and ``keep``.
+
+    ``half``: the two sides are one table, and each pair of blocks meets once (i <= j).
+    """
+    pick = lambda d: d.select(F.col(key).alias("id"), F.col(vector).alias("v"), *by, *keep)
+    a, n = blocks(pick(left), "id", "i")
+    b, m = blocks(pick(right), "id", "j")
+    a = a.withColumn("j", F.explode(F.sequence(F.col("i") if half else F.lit(0), F.lit(m - 1))))
+    b = b.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("j") if half else F.lit(n - 1))))
+    empty = pd.DataFrame({c.split(" ")[0]: [] for c in schema.split(", ")})
 
     def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if not len(x) or not len(y):
-            return fn(np.zeros(0, np.int64), np.zeros((0, 1)), np.zeros(0, np.int64), np.zeros((0, 1)))
-        return fn(x["id"].to_numpy(), np.stack(x["v"].to_numpy()), y["id"].to_numpy(), np.stack(y["v"].to_numpy()))
+        return fn(x, y) if len(x) and len(y) else empty
+
+    return a.groupBy("i", "j", *by).cogroup(b.groupBy("i", "j", *by)).applyInPandas(run, schema)
+
 
-    return a.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInPandas(run, schema)
+def products(x: pd.DataFrame, y: pd.DataFrame) -> np.ndarray:
+    return np.stack(x["v"].to_numpy()) @ np.stack(y["v"].to_numpy()).T
 
 
 def similar_pairs(df: DataFrame, key: str, vector: str, least: float) -> DataFrame:
-    """C11: a, b, sim for pairs a < b with cosine >= ``least``."""
+    """C11: a, b, sim for pairs a < b with cosine >= ``least``; only those leave a task."""
 
-    def pairs(ai, a, bi, b):
-        if not len(ai) or not len(bi):
-            return pd.DataFrame({"a": [], "b": [], "sim": []})
-        s = a @ b.T
+    def pairs(x, y):
+        s, a, b = products(x, y), x["id"].to_numpy(), y["id"].to_numpy()
+        same = x["i"].iloc[0] == x["j"].iloc[0]
         i, j = np.nonzero(s >= least - 1e-12)
-        keep = ai[i] < bi[j]
-        return pd.DataFrame({"a": ai[i][keep], "b": bi[j][keep], "sim": s[i, j][keep]})
+        use = a[i] < b[j] if same else a[i] != b[j]
+        i, j = i[use], j[use]
+        return pd.DataFrame({"a": np.minimum(a[i], b[j]), "b": np.maximum(a[i], b[j]), "sim": s[i, j]})
 
     d = normalised(df, vector)
-    return pair_blocks(d, d, key, vector, pairs, "a long, b long, sim double")
+    return pair_blocks(d, d, key, vector, pairs, "a long, b long, sim double", half=True)
 
 
 def nearest(left: DataFrame, right: DataFrame, key: str, vector: str, k: int = 1) -> DataFrame:
-    """For each left row its k most similar right rows (not itself): id, other, sim, rank."""
+    """For each left row its k most similar right rows (not itself): id, other, sim, rank. A task emits k rows for each left row."""
 
-    def best(ai, a, bi, b):
-        if not len(ai) or not len(bi):
-            return pd.DataFrame({"id": [], "other": [], "sim": []})
-        s = a @ b.T
-        s[ai[:, None] == bi[None, :]] = -2
+    def best(x, y):
+        s, a, b = products(x, y), x["id"].to_numpy(), y["id"].to_numpy()
+        s[a[:, None] == b[None, :]] = -2
         m = min(k, s.shape[1])
         at = np.argpartition(-s, m - 1, axis=1)[:, :m]
-        out = pd.DataFrame({"id": np.repeat(ai, m), "other": bi[at].ravel(), "sim": np.take_along_axis(s, at, 1).ravel()})
+        out = pd.DataFrame({"id": np.repeat(a, m), "other": b[at].ravel(), "sim": np.take_along_axis(s, at, 1).ravel()})
         return out[out["sim"] > -2]
 
     found = pair_blocks(normalised(left, vector), normalised(right, vector), key, vector, best, "id long, other long, sim double")
@@ -77,11 +83,25 @@ def nearest(left: DataFrame, right: DataFrame, key: str, vector: str, k: int = 1
 
 
 def group_match(left: DataFrame, right: DataFrame, key: str, vector: str, klass: str, group: str) -> DataFrame:
-    """For each left row the best and second-best group of its class (by the group's most similar row), the margin, and the row."""
-    a = normalised(left, vector).select(F.col(key).alias("id"), F.col(klass).alias("__c"), F.col(vector).alias("v"))
-    b = normalised(right, vector).select(F.col(key).alias("nearest"), F.col(klass).alias("__c"), F.col(group).alias("grp"), F.col(vector).alias("w"))
-    s = a.join(b, "__c").select("id", "grp", "nearest", dot(F.col("v"), F.col("w")).alias("sim"))
-    g = s.groupBy("id", "grp").agg(F.max(F.struct("sim", -F.col("nearest"))).alias("m")).select("id", "grp", F.col("m.sim").alias("sim"), (-F.col("m.col2")).alias("nearest"))
+    """For each left row the best and second-best group of its class (by the group's most similar row), the margin, and the row.
+
+    A task emits one row for each left row and group of a block.
+    """
+
+    def best(x, y):
+        s = products(x, y)
+        groups, at = np.unique(y["grp"].to_numpy(), return_inverse=True)
+        out = []
+        for g, name in enumerate(groups):
+            cols = np.flatnonzero(at == g)
+            top = s[:, cols].argmax(1)
+            out.append(pd.DataFrame({"id": x["id"].to_numpy(), "grp": name, "nearest": y["id"].to_numpy()[cols[top]], "sim": s[np.arange(len(x)), cols[top]]}))
+        return pd.concat(out)
+
+    a, b = (normalised(d, vector).select(key, vector, F.col(klass).alias("klass"), g.alias("grp")) for d, g in ((left, F.lit(None).cast("long")), (right, F.col(group))))
+    kind = dict(b.dtypes)["grp"]
+    found = pair_blocks(a, b, key, vector, best, f"id long, grp {kind}, nearest long, sim double", by=["klass"], keep=["grp"])
+    g = found.groupBy("id", "grp").agg(F.max(F.struct("sim", (-F.col("nearest")).alias("less"))).alias("m")).select("id", "grp", F.col("m.sim").alias("sim"), (-F.col("m.less")).alias("nearest"))
     w = W.partitionBy("id").orderBy(F.desc("sim"), "grp")
     return g.withColumn("r", F.row_number().over(w)).withColumn("second", F.lead("sim").over(w)).filter("r = 1").select("id", "grp", "sim", (F.col("sim") - F.coalesce("second", F.lit(0.0))).alias("margin"), "nearest")
 

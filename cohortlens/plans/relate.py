@@ -95,9 +95,9 @@ def c10(spark, d):
 EMB = "SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v FROM embeddings"
 
 
-@query("c11_similar_pairs", f"WITH e AS ({EMB}) SELECT p.vec_id AS a, q.vec_id AS b, round(list_inner_product(p.v, q.v), 6) AS sim FROM e p JOIN e q ON p.vec_id < q.vec_id WHERE list_inner_product(p.v, q.v) >= 0.75")
+@query("c11_similar_pairs", f"WITH e AS ({EMB}) SELECT p.vec_id AS a, q.vec_id AS b, round(list_inner_product(p.v, q.v), 6) AS sim FROM e p JOIN e q ON p.vec_id < q.vec_id WHERE list_inner_product(p.v, q.v) >= 0.4")
 def c11(spark, d):
-    return rounded(similarity.similar_pairs(table(spark, d, "embeddings"), "vec_id", "embedding", 0.75), "sim")
+    return rounded(similarity.similar_pairs(table(spark, d, "embeddings"), "vec_id", "embedding", 0.4), "sim")
 
 
 @query("c12_nearest", f"WITH e AS ({EMB}), s AS (SELECT p.vec_id AS id, q.vec_id AS other, list_inner_product(p.v, q.v) AS sim FROM e p JOIN e q ON p.vec_id % 20 = 0 AND q.vec_id % 20 <> 0) SELECT id, other, round(sim, 6) AS sim, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, other) AS rank FROM s) WHERE rank <= 3")
