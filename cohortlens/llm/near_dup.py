@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, GRAM, LOWER, by_bucket, flat, mix, parts_for, prefix_hash, range_hash, slices, stored, unpack, word_ranges
+from .common import BLANK, GRAM, LOWER, by_bucket, flat, might_hold, mix, parts_for, prefix_hash, range_hash, slices, stored, unpack, word_ranges
 from .components import components
 
 #: Words of a shingle; two sets are linked from 75 % on.
@@ -245,46 +245,68 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     b.append(doc)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    rows = want.join(texts, "id").repartition("g", "part").sortWithinPartitions("g", "part", "late")
+    near = texts.filter(might_hold(stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids"), "id")(F.col("id")))
+    rows = want.join(near, "id").repartition("g", "part").sortWithinPartitions("g", "part", "late")
     return rows.select("g", "id", "late", "t").mapInArrow(check, "a bigint, b bigint")
 
 
 def open_groups(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links across components inside large groups ``block, id, component``: token unions of components bound what is opened."""
-    sizes = members.groupBy("block").count().withColumn("parts", F.ceil(F.col("count") / CHUNK).cast("int")).drop("count")
-    m = members.join(sizes, "block").withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
-    # Each part meets each part once: a row goes to the tasks (part, other) and (other, part), smaller first.
-    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
+    """Links across components inside large groups ``block, id, component``, by the token-group matrix.
+
+    Each document has one home: the smallest member that most of its blocks have. Documents of one home are a group; a
+    document visits a home if it shares a block with a member of another component. The group's token union bounds what
+    the visitor can share with any member; only if the bound reaches the threshold the members are counted. A group is cut
+    into parts of about ``CHUNK``; a large component has parts of its own, which its own documents don't visit.
+    """
+    first = members.groupBy("block").agg(F.min("id").alias("first"))
+    votes = members.join(first, "block").groupBy("id", "component", "first").agg(F.count(F.lit(1)).alias("n"))
+    homes = votes.groupBy("id", "component").agg(F.max_by("first", F.struct("n", -F.col("first"))).alias("home"))
+    sizes = homes.groupBy("home", "component").agg(F.count(F.lit(1)).alias("n"))
+    small = sizes.filter(F.col("n") < CHUNK).groupBy("home").agg(F.ceil(F.sum("n") / CHUNK).cast("int").alias("small"))
+    own = F.col("n") >= CHUNK
+    h = homes.join(sizes, ["home", "component"]).join(small, "home", "left")
+    h = h.withColumn("of", F.when(own, F.col("component"))).withColumn("part", F.when(own, F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / CHUNK))).otherwise(F.pmod(F.xxhash64("component"), F.col("small"))).cast("int"))
+    h = stored(h.withColumn("key", F.xxhash64("home", "of", "part")).select("key", "home", "of", "id", "component"), "homes")
+    there = members.join(h.select("id", "key", "of"), "id").groupBy("block", "key", "of").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    visits = members.join(there, "block").filter((F.col("lo") != F.col("component")) | (F.col("hi") != F.col("component"))).select("key", "id", "component").distinct()
+    m = stored(h.select("key", "id", "component", F.lit(False).alias("visits")).unionByName(visits.withColumn("visits", F.lit(True))), "visits")
 
     def opened(t: pa.Table) -> pa.Table:
-        ids, comp = t["id"].to_pylist(), t["component"].to_numpy()
+        ids, comp, visits = t["id"].to_pylist(), t["component"].to_pylist(), t["visits"].to_pylist()
         sets = list(all_sets(t["t"]))
-        groups: dict[int, list[int]] = {}
-        for k, c in enumerate(comp.tolist()):
-            groups.setdefault(c, []).append(k)
-        union = {c: np.unique(np.concatenate([sets[k] for k in ks])) for c, ks in groups.items()}
-        root = {c: c for c in groups}
+        group = [k for k, v in enumerate(visits) if not v and len(sets[k])]
+        a, b, root = [], [], {c: c for c in comp}
 
         def find(c):
             while root[c] != c:
                 c = root[c]
             return c
 
-        a, b = [], []
-        for q, s in enumerate(sets):
-            need = (NUM * len(s) + DEN - 1) // DEN
-            for c, ks in groups.items():
-                if find(c) == find(int(comp[q])) or not len(s) or common(s, union[c]) < need:
-                    continue
-                for k in ks:
-                    if linked(s, sets[k]):
-                        a.append(ids[k])
-                        b.append(ids[q])
-                        root[find(c)] = find(int(comp[q]))
-                        break
+        if group:
+            tokens = np.concatenate([sets[k] for k in group])
+            owner = np.repeat(np.arange(len(group)), [len(sets[k]) for k in group])
+            order = np.argsort(tokens)
+            tokens, owner = tokens[order], owner[order]
+        for q in [k for k, v in enumerate(visits) if v and len(sets[k])] if group else ():
+            s = sets[q]
+            lo, hi = np.searchsorted(tokens, s, "left"), np.searchsorted(tokens, s, "right")
+            held = hi > lo
+            if held.sum() < (NUM * len(s) + DEN - 1) // DEN:  # what any member can share
+                continue
+            lo, n = lo[held], (hi - lo)[held]
+            at = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+            for g in np.argsort(-(shared := np.bincount(owner[at], minlength=len(group))), kind="stable").tolist():
+                k = group[g]
+                if shared[g] * DEN < NUM * len(s):
+                    break
+                if (NUM + DEN) * shared[g] >= NUM * (len(s) + len(sets[k])) and find(comp[k]) != find(comp[q]):
+                    a.append(ids[k])
+                    b.append(ids[q])
+                    root[find(comp[k])] = find(comp[q])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return m.select("block", "i", "j", "id", "component").join(texts, "id").groupBy("block", "i", "j").applyInArrow(opened, "a bigint, b bigint")
+    near = texts.filter(might_hold(m, "id")(F.col("id")))
+    return m.join(near, "id").groupBy("key").applyInArrow(opened, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket_bytes: int = 8 << 20) -> DataFrame:
@@ -335,3 +357,18 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 def op5(spark, docs: DataFrame) -> DataFrame:
     return near_duplicates(docs)
+
+
+ORACLE = r"""
+WITH RECURSIVE lo AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, hash(sh) AS sh FROM (
+  SELECT doc_id, array_to_string(w[i : i + 4], ' ') AS sh FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM lo WHERE len(w) >= 5)
+  UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM lo WHERE len(w) BETWEEN 1 AND 4)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+g AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r(node, seen) AS (SELECT doc_id, doc_id FROM lo UNION SELECT r.node, g.b FROM r JOIN g ON r.seen = g.a)
+SELECT lo.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
+FROM lo LEFT JOIN n USING (doc_id) JOIN (SELECT node AS doc_id, min(seen) AS component_id FROM r GROUP BY 1) c USING (doc_id)
+"""
