@@ -102,6 +102,13 @@ def roc_auc(df: DataFrame, y: str, score: str, by: Sequence[str] = ()) -> DataFr
     return x.groupBy(*by).agg(F.try_divide(F.sum("won"), F.sum("pos") * F.sum("neg")).alias("auc"))
 
 
+def roc_auc_ovr(df: DataFrame, y: str, p: str, weighted: bool = False) -> DataFrame:
+    """Each class against the rest; the mean of the defined ones, or weighted by how often a class is true."""
+    x = df.select(F.col(y).alias("y"), F.posexplode(p).alias("k", "s")).withColumn("t", (F.col("y") == F.col("k")).cast("int"))
+    c = roc_auc(x, "t", "s", ["k"]).join(x.groupBy("k").agg(F.sum("t").alias("n")), "k").filter("auc is not null")
+    return c.agg((F.sum(F.col("auc") * F.col("n")) / F.sum("n") if weighted else F.avg("auc")).alias("auc"))
+
+
 def roc_curve(df: DataFrame, y: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """False and true positive rates at each threshold (score >= threshold)."""
     c = roc_counts(df, y, score, by)
@@ -140,9 +147,11 @@ def threshold_counts(df: DataFrame, y: str, score: str, thresholds: Sequence[flo
     return x.groupBy("threshold").agg(part(yes, "pos").alias("tp"), part(yes, "neg").alias("fp"), part(~yes, "pos").alias("fn"), part(~yes, "neg").alias("tn"))
 
 
-def threshold_sweep(df: DataFrame, y: str, score: str, thresholds: Sequence[float]) -> DataFrame:
-    """Binary F1 at each threshold, and which is the best (the first of equals)."""
-    x = threshold_counts(df, y, score, thresholds).withColumn("f1", F.coalesce(F.try_divide(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), F.lit(0.0)))
+def threshold_sweep(df: DataFrame, y: str, score: str, thresholds: Sequence[float], weighted: bool = False) -> DataFrame:
+    """F1 of the positive class at each threshold, or of both classes weighted by their rows, and which is the best (the first of equals)."""
+    f1 = lambda hit: F.coalesce(F.try_divide(2 * F.col(hit), 2 * F.col(hit) + F.col("fp") + F.col("fn")), F.lit(0.0))
+    pos, neg = F.col("tp") + F.col("fn"), F.col("tn") + F.col("fp")
+    x = threshold_counts(df, y, score, thresholds).withColumn("f1", (f1("tp") * pos + f1("tn") * neg) / (pos + neg) if weighted else f1("tp"))
     first = F.row_number().over(W.orderBy(F.desc("f1"), "threshold")) == 1
     return x.select("threshold", "tp", "fp", "fn", "f1", first.alias("best"))
 

@@ -18,6 +18,10 @@ LENGTH = "SELECT doc_id, quality AS y, least(n_chars / 4000.0, 1.0)::DOUBLE AS s
 PRED = "SELECT vec_id, label AS y, vec_id % 50 AS unit, (CASE WHEN ('0x' || substr(md5('a|' || vec_id), 1, 4))::INT % 100 < 70 THEN label ELSE ('0x' || substr(md5('b|' || vec_id), 1, 4))::INT % 10 END)::INT AS pred, (CASE WHEN ('0x' || substr(md5('c|' || vec_id), 1, 4))::INT % 100 < 50 THEN label ELSE ('0x' || substr(md5('d|' || vec_id), 1, 4))::INT % 10 END)::INT AS other, (('0x' || substr(md5('p|' || vec_id), 1, 4))::INT % 1000) / 1000.0::DOUBLE AS conf FROM embeddings"
 
 
+#: Probabilities: softmax of four entries of each vector.
+P4 = "SELECT vec_id, unit, k, exp(x - m) / sum(exp(x - m)) OVER (PARTITION BY vec_id) AS x FROM (SELECT vec_id, vec_id % 50 AS unit, k, embedding[k + 1]::DOUBLE * 5 AS x, greatest(embedding[1], embedding[2], embedding[3], embedding[4])::DOUBLE * 5 AS m FROM embeddings, range(0, 4) r(k))"
+
+
 def length_scores(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "n_chars").join(table(spark, d, "labels"), "doc_id")
     return docs.select("doc_id", F.col("quality").alias("y"), F.least(F.col("n_chars") / 4000.0, F.lit(1.0)).alias("s"))
@@ -61,6 +65,24 @@ def d25(spark, d):
     return rounded(M.roc_auc(length_scores(spark, d), "y", "s"), "auc", digits=9)
 
 
+OVR = "WITH x AS (SELECT vec_id, k, x AS s, CASE WHEN label % 4 = k THEN 1 ELSE 0 END AS t FROM ({P4}) JOIN embeddings USING (vec_id)), r AS (SELECT k, t, rank() OVER (PARTITION BY k ORDER BY s) + (count(*) OVER (PARTITION BY k, s) - 1) / 2.0 AS r FROM x), a AS (SELECT k, sum(t) AS n, (sum(r) FILTER (t = 1) - sum(t) * (sum(t) + 1) / 2.0) / (sum(t) * sum(1 - t)) AS auc FROM r GROUP BY 1) SELECT round({agg}, 9)::DOUBLE AS auc FROM a"
+
+
+@query("d25_roc_auc_ovr", OVR.format(P4=P4, agg="avg(auc)"))
+def d25_ovr(spark, d):
+    return rounded(M.roc_auc_ovr(probabilities(spark, d).withColumn("y", F.col("label") % 4), "y", "p"), "auc", digits=9)
+
+
+@query("d25_roc_auc_weighted", OVR.format(P4=P4, agg="sum(auc * n) / sum(n)"))
+def d25_weighted(spark, d):
+    return rounded(M.roc_auc_ovr(probabilities(spark, d).withColumn("y", F.col("label") % 4), "y", "p", weighted=True), "auc", digits=9)
+
+
+@query("d35_weighted_sweep", f"WITH s AS ({LENGTH}), t AS (SELECT i / 100.0 AS threshold FROM range(1, 100) r(i)), c AS (SELECT threshold, count(*) FILTER (s >= threshold AND y = 1) AS tp, count(*) FILTER (s >= threshold AND y = 0) AS fp, count(*) FILTER (s < threshold AND y = 1) AS fn, count(*) FILTER (s < threshold AND y = 0) AS tn FROM s, t GROUP BY 1), f AS (SELECT *, (CASE WHEN 2 * tp + fp + fn > 0 THEN 2.0 * tp / (2 * tp + fp + fn) ELSE 0 END * (tp + fn) + CASE WHEN 2 * tn + fp + fn > 0 THEN 2.0 * tn / (2 * tn + fp + fn) ELSE 0 END * (tn + fp)) / (tp + fp + fn + tn) AS f1 FROM c) SELECT threshold::DOUBLE AS threshold, tp, fp, fn, round(f1, 9)::DOUBLE AS f1, row_number() OVER (ORDER BY round(f1, 12) DESC, threshold) = 1 AS best FROM f")
+def d35_weighted(spark, d):
+    return rounded(M.threshold_sweep(length_scores(spark, d), "y", "s", [i / 100 for i in range(1, 100)], weighted=True), "f1", digits=9)
+
+
 @query("d26_roc_curve", f"SELECT s AS threshold, round(sum(count(*) FILTER (y = 0)) OVER w / (SELECT count(*) FROM ({LENGTH}) WHERE y = 0), 9)::DOUBLE AS fpr, round(sum(count(*) FILTER (y = 1)) OVER w / (SELECT count(*) FROM ({LENGTH}) WHERE y = 1), 9)::DOUBLE AS tpr FROM ({LENGTH}) GROUP BY s WINDOW w AS (ORDER BY s DESC)")
 def d26(spark, d):
     return rounded(M.roc_curve(length_scores(spark, d), "y", "s"), "fpr", "tpr", digits=9)
@@ -103,10 +125,6 @@ def d43(spark, d):
     return with_correct(spark, d).groupBy(F.col("y").alias("y_true")).agg(F.count(F.lit(1)).alias("n"), F.sum("correct").cast("long").alias("n_correct"))
 
 
-#: Probabilities: softmax of four entries of each vector.
-P4 = "SELECT vec_id, unit, k, exp(x - m) / sum(exp(x - m)) OVER (PARTITION BY vec_id) AS x FROM (SELECT vec_id, vec_id % 50 AS unit, k, embedding[k + 1]::DOUBLE * 5 AS x, greatest(embedding[1], embedding[2], embedding[3], embedding[4])::DOUBLE * 5 AS m FROM embeddings, range(0, 4) r(k))"
-
-
 def probabilities(spark, d):
     x = F.transform(F.slice("embedding", 1, 4), lambda v: v.cast("double") * 5)
     return table(spark, d, "embeddings").select("vec_id", (F.col("vec_id") % 50).alias("unit"), "label", S.softmax(x).alias("p"))

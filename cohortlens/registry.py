@@ -7,7 +7,7 @@ ORACLES: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None):
-    """Register a function (spark, sf_dir) -> DataFrame under ``name``, with its SQL twin if there is one."""
+    """Register a function (spark, sf_dir) -> DataFrame under ``name``, with its SQL twin if SQL can express it."""
 
     def put(f):
         QUERIES[name] = f
