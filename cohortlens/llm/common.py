@@ -38,6 +38,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts can be long: at most so many go to a Python task at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def text_bytes(df: DataFrame, text: str) -> int:
     return df.select(F.sum(F.octet_length(F.col(text))).alias("n")).first().n or 0
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, flat, might_hold, prefix_hash, range_hash, slices, stored, word_ranges
+from .common import BLANK, flat, might_hold, prefix_hash, range_hash, slices, small_batches, stored, word_ranges
 
 BITS = 18
 DIM = 1 << BITS
@@ -93,6 +93,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
     Labels of one class only, or none, give a constant score: the smoothed share of good rows.
     """
+    small_batches(docs.sparkSession)
     share = min(1.0, max_fit_rows / max(1, labels.count()))
     cut = int(share * (1 << 32))
 

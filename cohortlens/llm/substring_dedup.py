@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bucket, flat, parts_for, prefix_hash, range_hash, slices, unpack
+from .common import by_bucket, flat, parts_for, prefix_hash, range_hash, slices, small_batches, text_bytes, unpack
 
 LENGTH, GRAM = 100, 50
 #: Windows that may share an anchor.
@@ -265,10 +265,12 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     result. Null and empty texts, and those below 100 bytes, lose nothing. Columns with these two names are replaced.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.drop("removed", "kept").withColumn("__id", F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID))).withColumn("__h", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     texts = rows.select(F.col("__id").alias("id"), F.col("__h").alias("h"), F.col(text).alias("t"))
-    n = parts_for(texts, "t", bucket_bytes)
-    bits = min(MOST_BITS, max(20, math.ceil(math.log2(n * bucket_bytes * 4 / (SPAN / 2)))))
+    total = text_bytes(texts, "t")
+    n = parts_for(texts, "t", bucket_bytes, total)
+    bits = min(MOST_BITS, max(20, math.ceil(math.log2(total * 4 / (SPAN / 2) + 1))))
     seen = spark.sparkContext.broadcast(repeated_anchors(texts, n, bits))
     spans = covered(texts, seen, n, bits).groupBy(F.col("id").alias("__id"), F.col("h").alias("__h")).agg(F.collect_list(F.struct("s", "e")).alias("__spans"))
 
