@@ -38,6 +38,12 @@ def missing_features(df: DataFrame, expected: Sequence[str]) -> DataFrame:
     return df.sparkSession.createDataFrame([(c,) for c in gone], "feature string")
 
 
+def missing_keys(df: DataFrame, column: str, expected: Sequence[str]) -> DataFrame:
+    """B3, for records kept as JSON text: the expected keys that no record has."""
+    seen = df.select(F.explode(F.json_object_keys(column)).alias("feature")).distinct()
+    return df.sparkSession.createDataFrame([(c,) for c in expected], "feature string").join(seen, "feature", "left_anti")
+
+
 def blank(c: str) -> Column:
     return F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) == ""
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
     Each round is checkpointed in ``spark.checkpoint.dir``; with the jumps the rounds grow with the logarithm of the
     longest path.
     """
+    context = edges.sparkSession.sparkContext
+    if not context.getCheckpointDir():  # unset, as in tests
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="cohortlens-"))
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v")
     e = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct().checkpoint()
     labels = e.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("component")).checkpoint()

@@ -22,9 +22,9 @@ def b2(spark, d):
     return C.rename_aliases(table(spark, d, "customer"), {"c_custkey": "patient_id", "c_name": "name", "c_acctbal": "balance", "acct_bal": "balance", "c_mktsegment": "segment"})
 
 
-@query("b3_missing_features", "SELECT * FROM (VALUES ('c_age'), ('c_bmi')) t(feature)")
+@query("b3_missing_features", "SELECT feature FROM (VALUES ('k'), ('age'), ('bmi')) t(feature) WHERE feature NOT IN (SELECT unnest(json_keys(props)) FROM events)")
 def b3(spark, d):
-    return C.missing_features(table(spark, d, "customer"), ["c_custkey", "c_age", "c_bmi", "c_acctbal"])
+    return C.missing_keys(table(spark, d, "events"), "props", ["k", "age", "bmi"])
 
 
 @query("b4_empty_rows", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber % 7 = 0")
