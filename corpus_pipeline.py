@@ -1,4 +1,9 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next.
+
+All stages keep the columns of their input (sharding adds two). Null and empty texts are scored like any other, have no
+near duplicates and no benchmark words, count no words in the mix, and get a shard. Rows that repeat an id stay rows of
+their own until the near-duplicate stage, which keeps or drops an id with all its rows. No rows: no rows.
+"""
 
 from __future__ import annotations
 

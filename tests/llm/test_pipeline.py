@@ -35,3 +35,17 @@ def test_labels_decide(spark):
 
 def test_five_stages():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "decontamination", "mixing", "sharding"]
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls in every column, empty and long texts, repeated rows, columns of other names: kept by stages that find nothing wrong with them."""
+    rows = [(None, None, None, None, None, 1, None), (1, "", "en", "a", 0, 2, "x"), (1, "", "en", "a", 0, 2, "x"), (2, "word " * 40_000, None, "b", 5, None, "y"), (3, None, "de", None, None, 3, None), (None, "some text", "en", "a", 9, 4, "z")]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, shard int, score string")
+    for docs in (odd, odd.limit(0)):
+        for _, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, SF)
+            assert set(out.columns) - {"slot"} == set(docs.columns)
+            assert out.count() <= 3 * docs.count()
+    assert corpus_pipeline.decontamination_stage(spark, odd, SF).count() == len(rows)
+    assert corpus_pipeline.near_dup_stage(spark, odd, SF).count() == len(rows)
+    assert corpus_pipeline.sharding_stage(spark, odd, SF).count() == len(rows)
