@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, GRAM, LOWER, by_bucket, flat, might_hold, mix, parts_for, prefix_hash, range_hash, slices, stored, unpack, word_ranges
+from .common import BLANK, GRAM, LOWER, by_bucket, flat, might_hold, mix, parts_for, prefix_hash, range_hash, slices, small_batches, stored, unpack, word_ranges
 from .components import components
 
 #: Words of a shingle; two sets are linked from 75 % on.
@@ -246,7 +246,8 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     near = texts.filter(might_hold(stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids"), "id")(F.col("id")))
-    rows = want.join(near, "id").repartition("g", "part").sortWithinPartitions("g", "part", "late")
+    # Both sides grow with the corpus: never a broadcast.
+    rows = want.hint("merge").join(near, "id").repartition("g", "part").sortWithinPartitions("g", "part", "late")
     return rows.select("g", "id", "late", "t").mapInArrow(check, "a bigint, b bigint")
 
 
@@ -306,7 +307,7 @@ def open_groups(members: DataFrame, texts: DataFrame) -> DataFrame:
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     near = texts.filter(might_hold(m, "id")(F.col("id")))
-    return m.join(near, "id").groupBy("key").applyInArrow(opened, "a bigint, b bigint")
+    return m.hint("merge").join(near, "id").groupBy("key").applyInArrow(opened, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket_bytes: int = 8 << 20) -> DataFrame:
@@ -316,6 +317,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     links are put together. Null ids are one document, its component_id null if it has the smallest id. No rows: no rows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).alias("t"))
     n = parts_for(texts, "t", bucket_bytes)
     levels = spark.sparkContext.broadcast(frequency_levels(texts, n))
