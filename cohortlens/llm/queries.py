@@ -17,4 +17,4 @@ QUERIES = {
     "op9_secret_scan": lambda spark, d: secret_scan.op9(spark, table(spark, d, "documents")),
     "op10_substring_dedup": lambda spark, d: substring_dedup.op10(spark, table(spark, d, "documents")),
 }
-ORACLES = {"op2_mixing": mixing.ORACLE, "op4_warc": warc.ORACLE, "op5_near_dup": near_dup.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE, "op8_decontamination": decontamination.ORACLE}
+ORACLES = {"op10_substring_dedup": substring_dedup.ORACLE, "op2_mixing": mixing.ORACLE, "op4_warc": warc.ORACLE, "op5_near_dup": near_dup.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE, "op8_decontamination": decontamination.ORACLE}

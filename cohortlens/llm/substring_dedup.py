@@ -28,6 +28,8 @@ PLACE = 20
 #: Bits of the filter of repeated anchors: 4 for each anchor expected, at most 2^30 (128 MB). A fuller filter lets more through, nothing less.
 MOST_BITS = 30
 NO_ID = -(1 << 63)
+#: An anchor in more places is frequent: its windows are dealt out one by one, by all their bytes. A coarser filter tells which (one bit for 2^8 of the others).
+FREQUENT, COARSE = 4096, 8
 
 
 def pieces(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
@@ -80,8 +82,8 @@ def bit_of(bucket: np.ndarray, low: np.ndarray, bits: int) -> np.ndarray:
     return (low.astype(np.uint64) + bucket.astype(np.uint64) * np.uint64(0x9E3779B1)) & np.uint64((1 << bits) - 1)
 
 
-def repeated_anchors(texts: DataFrame, n: int, bits: int) -> np.ndarray:
-    """A bit for each anchor hash that occurs twice at least, over all texts."""
+def repeated_anchors(texts: DataFrame, n: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """A bit for each anchor hash that occurs twice at least, over all texts; coarser bits for the frequent ones."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -105,23 +107,29 @@ def repeated_anchors(texts: DataFrame, n: int, bits: int) -> np.ndarray:
 
     def again(t: pa.Table) -> pa.Table:
         u, c = np.unique(unpack(t["data"], np.uint32), return_counts=True)
-        b = bit_of(np.full(1, t["bucket"][0].as_py()), u[c > 1], bits)
-        rows = list(by_bucket((b >> np.uint64(block_bits)).astype(np.int32), (b & np.uint64((1 << block_bits) - 1)).astype(np.uint32)))
-        return pa.table({"block": pa.array([b for b, _ in rows], pa.int32()), "data": pa.array([c[0] for _, c in rows], pa.binary())})
+        place = bit_of(np.full(1, t["bucket"][0].as_py()), u, bits)
+        rows = []
+        for kind, b in enumerate((place[c > 1], place[c > FREQUENT] >> np.uint64(COARSE))):
+            rows += [(kind, *r) for r in by_bucket((b >> np.uint64(block_bits)).astype(np.int32), (b & np.uint64((1 << block_bits) - 1)).astype(np.uint32))]
+        return pa.table({"kind": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([r[1] for r in rows], pa.int32()), "data": pa.array([r[2][0] for r in rows], pa.binary())})
 
     def filled(t: pa.Table) -> pa.Table:
         flags = np.zeros(1 << block_bits, bool)
         flags[unpack(t["data"], np.uint32)] = True
-        return pa.table({"block": t["block"][:1], "data": pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())})
+        return pa.table({"kind": t["kind"][:1], "block": t["block"][:1], "data": pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())})
 
-    found = texts.select("t").mapInArrow(packed, "bucket int, data binary").groupBy("bucket").applyInArrow(again, "block int, data binary")
+    found = texts.select("t").mapInArrow(packed, "bucket int, data binary").groupBy("bucket").applyInArrow(again, "kind int, block int, data binary")
     size = (1 << block_bits) >> 3
-    out = np.zeros((1 << bits) >> 3, np.uint8)
-    for r in found.groupBy("block").applyInArrow(filled, "block int, data binary").toLocalIterator():
-        out[r.block * size : (r.block + 1) * size] = np.frombuffer(r.data, np.uint8)
+    out = np.zeros((1 << bits) >> 3, np.uint8), np.zeros(max(size, (1 << bits >> COARSE) >> 3), np.uint8)
+    for r in found.groupBy("kind", "block").applyInArrow(filled, "kind int, block int, data binary").toLocalIterator():
+        out[r.kind][r.block * size : (r.block + 1) * size] = np.frombuffer(r.data, np.uint8)
     return out
 
 
+def flagged(flags: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    return flags[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1 > 0
+
+
 #: A piece of text around an anchor: document (id, hash), place of the anchor, bytes before it and number of windows.
 AROUND = np.dtype([("id", "<i8"), ("h", "<i8"), ("at", "<i8"), ("before", "u1"), ("n", "u1")])
 COVER = np.dtype([("id", "<i8"), ("h", "<i8"), ("s", "<i8"), ("e", "<i8")])
@@ -179,12 +187,11 @@ def covered(texts: DataFrame, filter_, n: int, bits: int) -> DataFrame:
     """``id, h, s, e``: byte ranges that windows with an earlier copy cover."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = filter_.value
+        flags, frequent = filter_.value
         held, size, later = [], 0, []
 
-        def combined():
-            """Of equal rows the first goes on, the others are covered."""
-            rows, h, b, text = (np.concatenate(x) for x in zip(*held, strict=True))
+        def combined(rows, h, text):
+            """Which rows go on: of equal texts the first; the others are covered."""
             length = rows["n"].astype(np.int64) + LENGTH - 1
             starts = np.r_[0, np.cumsum(length)[:-1]]
             order = np.lexsort((rows["at"], rows["h"], rows["id"], h))
@@ -200,12 +207,32 @@ def covered(texts: DataFrame, filter_, n: int, bits: int) -> DataFrame:
             gone["id"], gone["h"], gone["s"] = r["id"], r["h"], r["at"] - r["before"]
             gone["e"] = gone["s"] + r["n"] + LENGTH - 1
             later.append(gone)
-            return rows[keep], b[keep], text[np.repeat(keep, length)], length[keep]
+            return rows[keep], text[np.repeat(keep, length)], keep
+
+        def dealt():
+            """The rows of a task with their buckets, windows of frequent anchors one by one."""
+            rows, h, b, many, text = (np.concatenate(x) for x in zip(*held, strict=True))
+            rows, text, keep = combined(rows, h, text)
+            b, many, count = b[keep], many[keep], rows["n"].astype(np.int64)
+            length = count + LENGTH - 1
+            if not many.any():
+                return rows, b, text, length
+            starts = np.r_[0, np.cumsum(length)[:-1]]
+            k = np.flatnonzero(many)
+            each = np.repeat(k, count[k])
+            step = np.arange(len(each)) - np.repeat(np.cumsum(count[k]) - count[k], count[k])
+            one = rows[each]
+            one["before"], one["n"] = one["before"] - step, 1
+            piece = text[(starts[each] + step)[:, None] + np.arange(LENGTH)]
+            w = range_hash(prefix_hash(piece.ravel()), np.arange(len(each)) * LENGTH, np.arange(1, len(each) + 1) * LENGTH)
+            one, piece, keep = combined(one, w, piece.ravel())
+            few = np.repeat(~many, length)
+            return np.r_[rows[~many], one], np.r_[b[~many], bucket_of(w[keep], n)], np.r_[text[few], piece], np.r_[length[~many], np.full(len(one), LENGTH)]
 
         def out():
             parts = []
             if held:
-                rows, b, text, length = combined()
+                rows, b, text, length = dealt()
                 order = np.argsort(b, kind="stable")
                 starts = np.r_[0, np.cumsum(length)[:-1]]
                 cut = np.flatnonzero(np.r_[True, np.diff(b[order]) != 0])
@@ -223,19 +250,20 @@ def covered(texts: DataFrame, filter_, n: int, bits: int) -> DataFrame:
                 first, count, anchor, h = runs(part, offs)
                 b = bucket_of(h, n)
                 bit = bit_of(b, h.astype(np.uint32), bits)
-                hit = np.flatnonzero(flags[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1)
+                hit = np.flatnonzero(flagged(flags, bit))
                 if not len(hit):
                     continue
                 first, count, anchor, b = first[hit], count[hit], anchor[hit], b[hit]
+                many = flagged(frequent, bit[hit] >> np.uint64(COARSE))
                 text = np.searchsorted(offs, first, "right") - 1
                 r = np.zeros(len(hit), AROUND)
                 r["id"], r["h"], r["at"], r["before"], r["n"] = ids[i + text], hs[i + text], anchor - offs[text] + base, anchor - first, count
                 length = count + LENGTH - 1
                 run = prefix_hash(part)
                 at = np.repeat(first - np.r_[0, np.cumsum(length)[:-1]], length) + np.arange(length.sum())
-                held.append((r, range_hash(run, first, first + length), b, part[at]))
+                held.append((r, range_hash(run, first, first + length), b, many, part[at]))
                 size += int(length.sum())
-                if size > 8_000_000:
+                if size > 4_000_000:
                     yield out()
                     held, size, later = [], 0, []
         if held:
@@ -300,3 +328,18 @@ def op10(spark, docs: DataFrame) -> DataFrame:
     rows = without_repeats(docs.select("doc_id", "text"))
     n = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     return rows.select("doc_id", n.alias("n_bytes"), (n - F.octet_length("kept")).alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+n AS (SELECT doc_id, x, length(x) // 2 AS nb FROM d),
+w AS (SELECT doc_id, p, hash(substr(x, 2 * p + 1, 200)) AS h FROM (SELECT doc_id, x, unnest(range(0, nb - 99)) AS p FROM n WHERE nb >= 100)),
+f AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY h ORDER BY doc_id, p) AS k FROM w) WHERE k > 1),
+i AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 THEN 0 ELSE 1 END AS new FROM f)),
+s AS (SELECT doc_id, min(p) AS s, max(p) + 100 AS e FROM i GROUP BY doc_id, g),
+k AS (SELECT doc_id, lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY s) AS a, s AS b FROM s UNION ALL SELECT doc_id, max(e), NULL FROM s GROUP BY 1),
+t AS (SELECT doc_id, string_agg(substr(x, 2 * a + 1, 2 * (coalesce(b, nb) - a)), '' ORDER BY a) AS kept FROM k JOIN n USING (doc_id) GROUP BY 1),
+c AS (SELECT doc_id, sum(e - s) AS removed, count(*) AS spans FROM s GROUP BY 1)
+SELECT doc_id, nb::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM n LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
+"""

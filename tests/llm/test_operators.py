@@ -217,13 +217,17 @@ def test_near_duplicates_in_large_groups(spark, changes, monkeypatch):
     assert Counter((x.doc_id, x.n_shingles, x.component_id) for x in got) == brute_components(rows)
 
 
-def test_components_of_a_long_path(spark):
+@pytest.mark.parametrize("one_task", [1 << 20, 3])
+def test_components_of_a_long_path(spark, one_task):
     n = 300
     path = spark.range(n - 1).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     other = spark.createDataFrame([(5000, 4000), (4000, 4500), (9, 9)], "a long, b long")
-    got = {r.node: r.component for r in components.components(path.unionByName(other)).collect()}
+    got = {r.node: r.component for r in components.components(path.unionByName(other).repartition(4), one_task).collect()}
     assert got == {**{i: 0 for i in range(n)}, 4000: 4000, 4500: 4000, 5000: 4000}
     assert components.components(path.limit(0)).count() == 0
+    found = components.components(other.filter("b <> 9"))
+    got = {r.node: r.component for r in components.joined_further(found, spark.createDataFrame([(4500, 1), (77, 88)], "a long, b long")).collect()}
+    assert got == {4000: 1, 4500: 1, 5000: 1, 1: 1, 77: 77, 88: 77}
 
 
 PII_PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
@@ -383,6 +387,18 @@ def test_repeats(spark, docs, empty):
     assert set(substring_dedup.without_repeats(docs).columns) == set(docs.columns)
 
 
+def test_repeats_of_a_frequent_line(spark, monkeypatch):
+    """A line in most documents, with other words before and after it: its windows are dealt out one by one."""
+    monkeypatch.setattr(substring_dedup, "FREQUENT", 5)
+    r = random.Random(4)
+    say = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    line = say(170)
+    rows = [(i, say(r.randint(0, 80)) + line + r.choice(["same end of it", say(60)])) for i in range(80)]
+    got = {x.doc_id: x for x in substring_dedup.op10(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    for (i, _), w in brute_repeats(rows).items():
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == w
+
+
 def test_long_text_is_cut_into_pieces(spark, monkeypatch):
     monkeypatch.setattr(substring_dedup, "PLACE", 12)
     r = random.Random(3)
