@@ -50,27 +50,43 @@ def thinned(edges: DataFrame, most: int = 1 << 20) -> DataFrame:
     return edges.select("a", "b").mapInArrow(thin, "a bigint, b bigint")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, one_task: int = 1 << 20) -> DataFrame:
     """``a, b`` (longs) -> ``node, component`` (its smallest node), for all nodes with an edge.
 
     In each round every node takes its smallest neighbour as parent, chains are shortened, and the edges are drawn between
-    the parents; at most half of the nodes are left, and the edges that stay inside a component go.
+    the parents; at most half of the nodes are left, and the edges that stay inside a component go. What is left of at
+    most ``one_task`` edges (16 MB) is finished in one task.
     """
-    edges = stored(thinned(edges.filter("a <> b").repartition("a")).distinct(), "edges")
+    edges = stored(thinned(edges.filter("a <> b")), "edges")
     total = None
-    while edges.count():
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parent = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("parent"))
-        for _ in range(2):
-            up = parent.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
-            parent = stored(parent.join(up, "parent").select("node", F.col("grand").alias("parent")), "parents")
-        for end in ("a", "b"):
-            edges = edges.join(parent.withColumnRenamed("node", end), end).drop(end).withColumnRenamed("parent", end)
-        edges = stored(thinned(edges.select("a", "b").filter("a <> b").repartition("a")).distinct(), "edges")
+    while n := edges.count():
+        if n <= one_task:
+            tree = stored(thinned(edges.coalesce(1), most=one_task), "tree")
+            step = tree.select(F.col("b").alias("node"), F.col("a").alias("parent")).unionByName(tree.select(F.col("a").alias("node"), F.col("a").alias("parent")).distinct())
+        else:
+            both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            step = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("parent"))
+            for _ in range(2):
+                up = step.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
+                step = stored(step.join(up, "parent").select("node", F.col("grand").alias("parent")), "parents")
+            for end in ("a", "b"):
+                edges = edges.join(step.withColumnRenamed("node", end), end).drop(end).withColumnRenamed("parent", end)
+            edges = stored(thinned(edges.select("a", "b").filter("a <> b").repartition("a")).distinct(), "edges")
         if total is None:
-            total = parent.select("node", F.col("parent").alias("component"))
+            total = step.select("node", F.col("parent").alias("component"))
         else:
-            step = parent.select(F.col("node").alias("component"), "parent")
-            total = total.join(step, "component", "left").select("node", F.coalesce("parent", "component").alias("component"))
-        total = stored(total, "components")
+            more = step.select(F.col("node").alias("component"), "parent")
+            total = stored(total.join(more, "component", "left").select("node", F.coalesce("parent", "component").alias("component")), "components")
+        if n <= one_task:
+            break
     return total if total is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+
+
+def joined_further(found: DataFrame, edges: DataFrame) -> DataFrame:
+    """``node, component`` after more edges between the nodes: only the components that they touch are contracted."""
+    c = found.select(F.col("node").alias("__n"), "component")
+    for end in ("a", "b"):
+        edges = edges.join(c, edges[end] == F.col("__n"), "left").withColumn(end, F.coalesce("component", end)).drop("__n", "component")
+    step = components(edges)
+    every = found.unionByName(step.select("node", F.col("node").alias("component")).join(found, "node", "left_anti"))
+    return every.join(step.select(F.col("node").alias("component"), F.col("component").alias("__c")), "component", "left").select("node", F.coalesce("__c", "component").alias("component"))

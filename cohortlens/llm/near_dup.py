@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BLANK, GRAM, LOWER, by_bucket, flat, might_hold, mix, parts_for, prefix_hash, range_hash, slices, small_batches, stored, unpack, word_ranges
-from .components import components
+from .components import components, joined_further
 
 #: Words of a shingle; two sets are linked from 75 % on.
 WIDTH, NUM, DEN = 5, 3, 4
@@ -344,7 +344,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     if not members.isEmpty():
         more = stored(open_groups(members, texts), "more")
         if not more.isEmpty():
-            comp = components(links.unionByName(more))
+            comp = joined_further(comp, more)
     out = rows.join(comp, rows["id"] == comp["node"], "left").select("id", "n_shingles", F.coalesce("component", "id").alias("c"))
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return out.select(real("id").alias(doc_id), "n_shingles", real("c").alias("component_id"))
