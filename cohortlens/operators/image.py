@@ -103,11 +103,12 @@ def standardised(pixels: DataFrame, side: int = 64) -> DataFrame:
     return pixels.mapInPandas(run, PIXELS)
 
 
-def normalised(values, method: str = "minmax"):
-    """K4: to 0..1 by range, or by z-score first; a constant image becomes zeros. ``values``: an array column of doubles."""
+def normalised(values):
+    """K4: an array column of doubles to 0..1 by its range; a constant image becomes zeros.
+
+    A z-score before it changes nothing: it is a linear map, and the range takes linear maps out again.
+    """
     lo, hi = F.array_min(values), F.array_max(values)
-    if method == "zscore":  # a linear map before a linear map to 0..1 changes nothing but the constant case, which both set to zeros
-        pass
     return F.transform(values, lambda x: F.when(hi > lo, (x - lo) / (hi - lo)).otherwise(0.0))
 
 
