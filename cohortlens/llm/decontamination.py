@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, flat, slices, word_ranges
+from .common import LOWER, flat, word_ranges
 
 #: One automaton holds up to so many bytes of item text; more items make more automata, used one after the other.
 BLOCK_BYTES = 32 << 20
