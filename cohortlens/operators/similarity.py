@@ -83,13 +83,14 @@ def nearest(left: DataFrame, right: DataFrame, key: str, vector: str, k: int = 1
 
 
 def group_match(left: DataFrame, right: DataFrame, key: str, vector: str, klass: str, group: str) -> DataFrame:
-    """For each left row the best and second-best group of its class (by the group's most similar row), the margin, and the row.
+    """For each left row the best and second-best group of its class (by the group's most similar row, not itself), the margin, and the row.
 
     A task emits one row for each left row and group of a block.
     """
 
     def best(x, y):
         s = products(x, y)
+        s[x["id"].to_numpy()[:, None] == y["id"].to_numpy()[None, :]] = -2
         groups, at = np.unique(y["grp"].to_numpy(), return_inverse=True)
         out = []
         for g, name in enumerate(groups):
@@ -100,7 +101,7 @@ def group_match(left: DataFrame, right: DataFrame, key: str, vector: str, klass:
 
     a, b = (normalised(d, vector).select(key, vector, F.col(klass).alias("klass"), g.alias("grp")) for d, g in ((left, F.lit(None).cast("long")), (right, F.col(group))))
     kind = dict(b.dtypes)["grp"]
-    found = pair_blocks(a, b, key, vector, best, f"id long, grp {kind}, nearest long, sim double", by=["klass"], keep=["grp"])
+    found = pair_blocks(a, b, key, vector, best, f"id long, grp {kind}, nearest long, sim double", by=["klass"], keep=["grp"]).filter("sim > -2")
     g = found.groupBy("id", "grp").agg(F.max(F.struct("sim", (-F.col("nearest")).alias("less"))).alias("m")).select("id", "grp", F.col("m.sim").alias("sim"), (-F.col("m.less")).alias("nearest"))
     w = W.partitionBy("id").orderBy(F.desc("sim"), "grp")
     return g.withColumn("r", F.row_number().over(w)).withColumn("second", F.lead("sim").over(w)).filter("r = 1").select("id", "grp", "sim", (F.col("sim") - F.coalesce("second", F.lit(0.0))).alias("margin"), "nearest")

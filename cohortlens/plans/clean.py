@@ -63,12 +63,12 @@ def b9(spark, d):
 
 @query(
     "b10_min_max_apply",
-    f"WITH t AS (SELECT min(l_tax) AS a, max(l_tax) AS b, min(l_quantity) AS e, max(l_quantity) AS f FROM {HOLES} WHERE l_orderkey % 5 <> 0) SELECT l_orderkey, l_linenumber, round((coalesce(l_tax, a) - a) / (b - a), 9) AS l_tax, round((l_quantity - e) / (f - e), 9) AS l_quantity FROM {HOLES}, t WHERE l_orderkey % 5 = 0",
+    f"WITH t AS (SELECT min(l_tax) AS a, max(l_tax) AS b, min(l_quantity) AS e, max(l_quantity) AS f FROM {HOLES} WHERE l_orderkey % 5 <> 0) SELECT l_orderkey, l_linenumber, round((coalesce(l_tax, a) - a) / (b - a), 9) AS l_tax, round((l_quantity - e) / (f - e), 9) AS l_quantity FROM {HOLES}, t",
 )
 def b10(spark, d):
     li = holes(table(spark, d, "lineitem"))
     p = C.FitParams.from_json(C.FitParams().fit_ranges(li.filter("l_orderkey % 5 <> 0"), ["l_tax", "l_quantity"]).to_json())
-    return rounded(p.scale_ranges(li.filter("l_orderkey % 5 = 0")).select("l_orderkey", "l_linenumber", "l_tax", "l_quantity"), "l_tax", "l_quantity", digits=9)
+    return rounded(p.scale_ranges(li).select("l_orderkey", "l_linenumber", "l_tax", "l_quantity"), "l_tax", "l_quantity", digits=9)
 
 
 @query("b11_sorted_codes", "SELECT o_orderkey, o_orderpriority, coalesce(code, -1)::INT AS o_orderpriority_code FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderpriority END AS o_orderpriority FROM orders) LEFT JOIN (SELECT p, dense_rank() OVER (ORDER BY p) - 1 AS code FROM (SELECT DISTINCT o_orderpriority AS p FROM orders WHERE o_orderkey % 11 <> 0)) ON o_orderpriority = p")

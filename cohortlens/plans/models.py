@@ -111,7 +111,7 @@ def h16(spark, d):
 
 @query("h17_smote")
 def h17(spark, d):
-    x = rows(spark, d).filter("label = 0 or (label = 1 and vec_id % 3 = 0)")
+    x = rows(spark, d).withColumn("label", (F.col("label") == 0).cast("double"))
     return ml.smote(x, "vec_id", "embedding", "label", 1.0).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 

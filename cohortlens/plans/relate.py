@@ -100,18 +100,18 @@ def c11(spark, d):
     return rounded(similarity.similar_pairs(table(spark, d, "embeddings"), "vec_id", "embedding", 0.4), "sim")
 
 
-@query("c12_nearest", f"WITH e AS ({EMB}), s AS (SELECT p.vec_id AS id, q.vec_id AS other, list_inner_product(p.v, q.v) AS sim FROM e p JOIN e q ON p.vec_id % 20 = 0 AND q.vec_id % 20 <> 0) SELECT id, other, round(sim, 6) AS sim, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, other) AS rank FROM s) WHERE rank <= 3")
+@query("c12_nearest", f"WITH e AS ({EMB}), s AS (SELECT p.vec_id AS id, q.vec_id AS other, list_inner_product(p.v, q.v) AS sim FROM e p JOIN e q ON p.vec_id % 20 = 0 AND q.vec_id <> p.vec_id) SELECT id, other, round(sim, 6) AS sim, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, other) AS rank FROM s) WHERE rank <= 3")
 def c12(spark, d):
     e = table(spark, d, "embeddings")
-    return rounded(similarity.nearest(e.filter("vec_id % 20 = 0"), e.filter("vec_id % 20 <> 0"), "vec_id", "embedding", 3), "sim")
+    return rounded(similarity.nearest(e.filter("vec_id % 20 = 0"), e, "vec_id", "embedding", 3), "sim")
 
 
-GM = f"WITH e AS ({EMB}), s AS (SELECT p.vec_id AS id, q.vec_id % 7 AS grp, q.vec_id AS nearest, list_inner_product(p.v, q.v) AS sim FROM e p JOIN e q ON p.label = q.label AND p.vec_id % 5 = 0 AND q.vec_id % 5 <> 0), g AS (SELECT id, grp, max(sim) AS sim, arg_max(nearest, sim) AS nearest FROM s GROUP BY 1, 2), r AS (SELECT *, row_number() OVER w AS r, lead(sim) OVER w AS second FROM g WINDOW w AS (PARTITION BY id ORDER BY sim DESC, grp)) SELECT id, grp, round(sim, 6) AS sim, round(sim - coalesce(second, 0), 6) AS margin, nearest FROM r WHERE r = 1"
+GM = f"WITH e AS ({EMB}), s AS (SELECT p.vec_id AS id, q.vec_id % 7 AS grp, q.vec_id AS nearest, list_inner_product(p.v, q.v) AS sim FROM e p JOIN e q ON p.label = q.label AND p.vec_id <> q.vec_id), g AS (SELECT id, grp, max(sim) AS sim, arg_max(nearest, sim) AS nearest FROM s GROUP BY 1, 2), r AS (SELECT *, row_number() OVER w AS r, lead(sim) OVER w AS second FROM g WINDOW w AS (PARTITION BY id ORDER BY sim DESC, grp)) SELECT id, grp, round(sim, 6) AS sim, round(sim - coalesce(second, 0), 6) AS margin, nearest FROM r WHERE r = 1"
 
 
 def matched(spark, d):
     e = table(spark, d, "embeddings").withColumn("g", F.col("vec_id") % 7)
-    return similarity.group_match(e.filter("vec_id % 5 = 0"), e.filter("vec_id % 5 <> 0"), "vec_id", "embedding", "label", "g")
+    return similarity.group_match(e, e, "vec_id", "embedding", "label", "g")
 
 
 @query("c13_group_match", GM)
@@ -156,15 +156,14 @@ def c15(spark, d):
     return similarity.successors(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber").distinct(), "l_orderkey", "l_linenumber")
 
 
-@query("c19_components", "WITH RECURSIVE e AS (SELECT DISTINCT o_custkey * 2 AS u, (o_orderkey % 1500) * 2 + 1 AS v FROM orders WHERE o_totalprice < 15000), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e), r(node, seen) AS (SELECT u, u FROM b UNION SELECT r.node, b.v FROM r JOIN b ON r.seen = b.u) SELECT node, min(seen) AS component FROM r GROUP BY 1")
+@query("c19_components", f"WITH RECURSIVE v AS ({EMB}), e AS (SELECT p.vec_id AS u, q.vec_id AS w FROM v p JOIN v q ON p.vec_id <> q.vec_id WHERE list_inner_product(p.v, q.v) >= 0.4), r(node, seen) AS (SELECT DISTINCT u, u FROM e UNION SELECT r.node, e.w FROM r JOIN e ON r.seen = e.u) SELECT node, min(seen) AS component FROM r GROUP BY 1")
 def c19(spark, d):
-    o = table(spark, d, "orders").filter("o_totalprice < 15000")
-    return graph.connected_components(o.select((F.col("o_custkey") * 2).alias("a"), ((F.col("o_orderkey") % 1500) * 2 + 1).alias("b")))
+    return graph.connected_components(similarity.similar_pairs(table(spark, d, "embeddings"), "vec_id", "embedding", 0.4))
 
 
-@query("c20_merge_odd_groups", "WITH g AS (SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders WHERE o_orderkey < 600 GROUP BY 1, 2), m AS (SELECT o_orderstatus, string_agg(o_orderpriority, '+' ORDER BY o_orderpriority) AS merged FROM g WHERE n <> 40 GROUP BY 1) SELECT g.o_orderstatus, o_orderpriority, CASE WHEN n <> 40 THEN merged ELSE o_orderpriority END AS merged FROM g LEFT JOIN m USING (o_orderstatus)")
+@query("c20_merge_odd_groups", "WITH g AS (SELECT c_mktsegment, c_nationkey, count(*) AS n FROM customer GROUP BY 1, 2), m AS (SELECT c_mktsegment, string_agg(c_nationkey::VARCHAR, '+' ORDER BY c_nationkey::VARCHAR) AS merged FROM g WHERE n <> 12 GROUP BY 1) SELECT g.c_mktsegment, c_nationkey, CASE WHEN n <> 12 THEN merged ELSE c_nationkey::VARCHAR END AS merged FROM g LEFT JOIN m USING (c_mktsegment)")
 def c20(spark, d):
-    return R.merge_odd_groups(table(spark, d, "orders").filter("o_orderkey < 600"), "o_orderstatus", "o_orderpriority", 40)
+    return R.merge_odd_groups(table(spark, d, "customer"), "c_mktsegment", "c_nationkey", 12)
 
 
 @query("d15_pivot_counts", "SELECT lang, count(*) FILTER (source = 'src0') AS src0, count(*) FILTER (source = 'src1') AS src1, count(*) FILTER (source = 'src2') AS src2 FROM documents GROUP BY 1")
