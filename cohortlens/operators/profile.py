@@ -26,11 +26,13 @@ def describe(df: DataFrame, columns: Sequence[str], exact: bool = True) -> DataF
 
     ``exact=False`` takes quartiles from sketches, for tables whose columns have very many distinct values.
     """
-    quantile = (lambda q: lambda c: F.percentile(c.cast("double"), q)) if exact else (lambda q: lambda c: F.percentile_approx(c.cast("double"), q))
-    return aggregate_columns(
+    three = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    quartiles = (lambda c: F.percentile(c.cast("double"), three)) if exact else (lambda c: F.percentile_approx(c.cast("double"), three))
+    x = aggregate_columns(
         df, columns,
-        {"n": lambda c: F.count(F.lit(1)), "non_null": F.count, "mean": lambda c: F.avg(c.cast("double")), "std": lambda c: F.stddev_samp(c.cast("double")), "min": lambda c: F.min(c).cast("double"), "q25": quantile(0.25), "q50": quantile(0.5), "q75": quantile(0.75), "max": lambda c: F.max(c).cast("double")},
+        {"n": lambda c: F.count(F.lit(1)), "non_null": F.count, "mean": lambda c: F.avg(c.cast("double")), "std": lambda c: F.stddev_samp(c.cast("double")), "min": lambda c: F.min(c).cast("double"), "q": quartiles, "max": lambda c: F.max(c).cast("double")},
     )
+    return x.select("column_name", "n", "non_null", "mean", "std", "min", *[F.col("q")[i].alias(f"q{p}") for i, p in enumerate((25, 50, 75))], "max")
 
 
 def missing_share(df: DataFrame, columns: Sequence[str]) -> DataFrame:
