@@ -1,7 +1,7 @@
 """Personal data: patterns, and information-theoretic sanitisation of the terms around them. DataFrame functions only.
 
-Patterns find the protected entities. Over the whole corpus, words near an entity are counted with it (each distinct
-surrounding once, so that copies don't count again) and without it. A word whose pointwise mutual information with an
+Patterns find the protected entities. Over the whole corpus, words near an entity are counted with it and without it, each
+distinct text once on all sides, so that copies don't count again. A word whose pointwise mutual information with an
 entity reaches ``share`` of the entity's own information content gives it away; it is a span too, wherever a document
 holds both. Sanitising replaces entities by their kind and such words by a mask.
 """
@@ -24,8 +24,8 @@ PATTERNS = {
 #: A text without it holds no match of the kind.
 NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-TERM = r"[^\W\d_]{4,}"
-#: Words that give an entity away: seen with it in at least ``SUPPORT`` different surroundings, at a PMI of ``SHARE`` of its information.
+TERM = r"[^\W\d_]+"
+#: Words that give an entity away: seen with it in at least ``SUPPORT`` different texts, at a PMI of ``SHARE`` of its information.
 SUPPORT, SHARE, NEAR = 3, 0.9, 60
 
 
@@ -75,23 +75,26 @@ def entities(docs: DataFrame, text: str) -> DataFrame:
 
 
 def terms_near(found: DataFrame, text: str) -> DataFrame:
-    """entity, term, context: each word within ``NEAR`` code points of an entity."""
-    one = found.select(F.col(text).alias("t"), F.explode("base").alias("e"))
-    before = F.substring(F.col("t"), F.greatest(F.col("e.start") - NEAR + 1, F.lit(1)), F.least(F.col("e.start"), F.lit(NEAR)))
-    after = F.substring(F.col("t"), F.col("e.end") + 1, F.lit(NEAR))
+    """__k (the text), entity, term: each word that lies within ``NEAR`` code points of an entity. A word cut by the edge is none."""
+    one = found.select("__k", F.col(text).alias("t"), F.explode("base").alias("e"))
+    before = F.substring(F.col("t"), F.greatest(F.col("e.start") - NEAR, F.lit(1)), F.least(F.col("e.start"), F.lit(NEAR + 1)))
+    before = F.when(F.col("e.start") > NEAR, F.regexp_replace(before, f"(?U)^{TERM}", "")).otherwise(before)
+    after = F.substring(F.col("t"), F.col("e.end") + 1, F.lit(NEAR + 1))
+    after = F.when(F.length(after) > NEAR, F.regexp_replace(after, f"(?U){TERM}$", "")).otherwise(after)
     around = F.concat(before, F.lit(" \n "), after)
     words = F.array_distinct(F.regexp_extract_all(F.lower(around), F.lit(f"(?U){TERM}"), F.lit(0)))
-    return one.select(F.col("e.value").alias("entity"), F.xxhash64(around).alias("context"), F.explode(words).alias("term"))
+    return one.select("__k", F.col("e.value").alias("entity"), F.explode(words).alias("term"))
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, text: str = "text", support: int = SUPPORT, share: float = SHARE) -> DataFrame:
-    """entity, term, pmi, information: the words that give an entity away. Counts are over all documents."""
+    """entity, term, pmi, information: the words that give an entity away. Counts are of distinct texts, over all documents."""
     pairs = terms_near(found, text).distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("together"))
     pairs = stored(pairs.filter(F.col("together") >= support), "pairs")
-    n = docs.count()
-    of_entity = found.select(F.explode(F.array_distinct(F.transform("base", lambda s: s["value"]))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(f"(?U){TERM}"), F.lit(0)))
-    of_term = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t")).distinct()
+    n = docs.select(F.xxhash64(F.coalesce(F.col(text), F.lit("")))).distinct().count()
+    of_entity = found.select("__k", F.explode(F.transform("base", lambda s: s["value"])).alias("entity")).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    words = F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(f"(?U){TERM}"), F.lit(0)))
+    of_term = texts.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     t = pairs.join(of_entity, "entity").join(of_term, "term")
     information = F.ln(F.lit(float(n)) / F.least(F.col("n_entity"), F.lit(n)))
     pmi = F.ln(F.least(F.col("together"), F.col("n_term"), F.col("n_entity")) * F.lit(float(n)) / (F.col("n_term") * F.col("n_entity")))

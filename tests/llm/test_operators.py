@@ -273,6 +273,18 @@ def test_words_that_give_an_entity_away(spark):
     assert clean[0] == "on a day at the garden <term> wrote from <email> about the weather garden" and clean[100] == rows[5][1]
 
 
+def test_words_that_give_an_entity_away_in_copies_and_signatures(spark):
+    other = [(1000 + i, f"nothing of note on day {i} but the weather and the garden") for i in range(300)]
+    copy = "a long letter about the garden that zorblatt wrote from kim@example.org about the weather of the day"
+    rows = [(i, copy) for i in range(60)] + [(60 + i, f"{w} zorblatt of kim@example.org {w}") for i, w in enumerate(["note", "day", "but"])]
+    signed = "\n-- \nWith the best regards of the whole team at the garden and the weather, yours Li Quux\nli@example.org\nnothing of note, nothing of note, nothing of note, nothing of note, nothing"
+    rows += [(200 + i, f"letter of day {i} {signed}") for i in range(40)]
+    out = {r.doc_id: r for r in pii.personal_data(spark.createDataFrame(rows + other, "doc_id long, text string")).collect()}
+    assert all("zorblatt" in [s.value for s in out[i].terms] for i in range(63))
+    assert all({"Li", "Quux"} <= {s.value for s in out[200 + i].terms} for i in range(40))
+    assert all("the" not in [s.value for s in r.terms] for r in out.values()) and not any(out[i].terms for i, _ in other)
+
+
 def test_exact_groups(spark, docs, empty):
     got = exact_dedup.op7(spark, docs).collect()
     norm = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
