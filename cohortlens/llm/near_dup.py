@@ -1,7 +1,7 @@
 """Exact n-gram Jaccard join by a token-group matrix.
 
-Documents are sets of word 5-grams. Tokens have one order for all documents: rare ones by their hash, then those not
-counted, then frequent ones by frequency. If two sets are similar enough, their first quarters in this order share a
+Documents are sets of word 5-grams. Tokens have one order for all documents: rare ones by their hash, then frequent ones by
+frequency. If two sets are similar enough, their first quarters in this order share a
 token, so documents are grouped by the tokens of their first quarters: the matrix of tokens and groups. A document is held
 against a group only if a bound of what the two can share reaches the threshold: the place of the last shared token bounds
 pairs in small groups; large groups are first joined to their smallest member, then cut into their components found so
@@ -67,7 +67,7 @@ def bucket_of(t: np.ndarray, n: int) -> np.ndarray:
 
 
 def frequency_levels(texts: DataFrame, n: int) -> np.ndarray:
-    """Level by token hash: 0, or 1 + log2 of how often the token's documents exceed FEW. Counts the lower half of the hashes over all documents; the other half is ordered between."""
+    """Level by token hash: 0, or 1 + log2 of how often the token's documents exceed FEW. Counts all tokens over all documents."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -79,8 +79,8 @@ def frequency_levels(texts: DataFrame, n: int) -> np.ndarray:
 
         for batch in batches:
             for s in all_sets(batch["t"]):
-                held.append(s[: np.searchsorted(s, np.uint64(1 << 63))])
-                size += len(held[-1])
+                held.append(s)
+                size += len(s)
                 if size > 2_000_000:
                     yield out()
                     held, size = [], 0
@@ -141,13 +141,12 @@ def token_groups(texts: DataFrame, levels, n: int) -> DataFrame:
                     seen.add(sig)
                     m = len(s) - (NUM * len(s) + DEN - 1) // DEN + 1
                     lev = level[s & np.uint64((1 << LEVEL_BITS) - 1)]
-                    order = np.where(lev > 0, 1 + lev, s >> np.uint64(63)).astype(np.uint8)
-                    first = np.argsort(order, kind="stable")[:m]
-                    s, order, lev = s[first], order[first], lev[first]
+                    first = np.argsort(lev, kind="stable")[:m]
+                    s, lev = s[first], lev[first]
                     parts = np.maximum(1, (FEW << np.minimum(lev.astype(np.int64), 40)) // SALT_ROWS)
                     salted = (lev > 0) & (parts > 1)
                     b = ((bucket_of(s, n) + np.where(salted, (int(doc) & 0xFFFFFFFF) % parts, 0)) % n).astype(np.int32)
-                    w = docs[-1][1] + np.where(order == 0, RARE, 0) + np.where(salted, SALTED, 0)
+                    w = docs[-1][1] + np.where(lev == 0, RARE, 0) + np.where(salted, SALTED, 0)
                     held.append((s, np.full(len(s), doc, np.int64), np.arange(1, len(s) + 1, dtype=np.uint32), w, b))
                     size += len(s)
                 if size > 500_000 or len(docs) > 100_000:

@@ -217,6 +217,18 @@ def test_near_duplicates_in_large_groups(spark, changes, monkeypatch):
     assert Counter((x.doc_id, x.n_shingles, x.component_id) for x in got) == brute_components(rows)
 
 
+def test_levels_of_all_frequent_tokens(spark):
+    """Every token of a template in far more documents than ``FEW`` has a level, whatever its hash."""
+    same = " ".join(f"t{i}" for i in range(60))
+    rows = [(i, f"{same} " + " ".join(f"m{i}x{k}" for k in range(40))) for i in range(64)]
+    docs = spark.createDataFrame(rows, "id long, t string").repartition(4)
+    levels = near_dup.frequency_levels(docs, 4)
+    t = near_dup.shingle_sets(np.frombuffer(same.encode(), np.uint8), np.array([0, len(same)]))
+    t = next(t)
+    assert len(t) == 56 and (t >> np.uint64(63)).any()
+    assert (levels[t & np.uint64((1 << near_dup.LEVEL_BITS) - 1)] == 4).all()
+
+
 @pytest.mark.parametrize("one_task", [1 << 20, 3])
 def test_components_of_a_long_path(spark, one_task):
     n = 300
