@@ -27,8 +27,8 @@ WIDTH, NUM, DEN = 5, 3, 4
 FEW = 8
 #: Frequencies are kept in one byte for each of 2^24 token hashes (16 MB, broadcast); tokens that share a byte share the higher level.
 LEVEL_BITS, BLOCK_BITS = 24, 18
-#: Frequent tokens are dealt out to a task for each so many documents. Members of a large group that are compared in one task.
-SALT_ROWS, CHUNK = 4096, 256
+#: Frequent tokens are dealt out to a task for each so many documents. Members of a large group that are compared in one task, and documents that are held against them there.
+SALT_ROWS, CHUNK, VISITORS = 4096, 256, 1024
 #: Id of null ids.
 NO_ID = -(1 << 63)
 NEED = lambda n: (NUM * n) // (NUM + DEN) + ((NUM * n) % (NUM + DEN) > 0)  # noqa: E731  least overlap of two sets with n tokens in all
@@ -250,13 +250,22 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.select("g", "id", "late", "t").mapInArrow(check, "a bigint, b bigint")
 
 
+def dealt(homes: DataFrame, visits: DataFrame) -> DataFrame:
+    """key, lot, id, component, visits: the visitors of a key in lots of about ``VISITORS``, its members in each of them."""
+    lots = stored(visits.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / VISITORS).cast("int").alias("lots")), "lots")
+    lots = F.broadcast(lots) if lots.count() <= 100_000 else lots
+    inside = homes.join(lots, "key").select("key", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), "id", "component", F.lit(False).alias("visits"))
+    return inside.unionByName(visits.join(lots, "key").select("key", F.pmod(F.xxhash64("id"), F.col("lots")).cast("int").alias("lot"), "id", "component", F.lit(True).alias("visits")))
+
+
 def open_groups(members: DataFrame, texts: DataFrame) -> DataFrame:
     """Links across components inside large groups ``block, id, component``, by the token-group matrix.
 
     Each document has one home: the smallest member that most of its blocks have. Documents of one home are a group; a
     document visits a home if it shares a block with a member of another component. The group's token union bounds what
     the visitor can share with any member; only if the bound reaches the threshold the members are counted. A group is cut
-    into parts of about ``CHUNK``; a large component has parts of its own, which its own documents don't visit.
+    into parts of about ``CHUNK``; a large component has parts of its own, which its own documents don't visit. The visitors
+    of a part are dealt out, and pass its members one by one.
     """
     first = members.groupBy("block").agg(F.min("id").alias("first"))
     votes = members.join(first, "block").groupBy("id", "component", "first").agg(F.count(F.lit(1)).alias("n"))
@@ -269,44 +278,52 @@ def open_groups(members: DataFrame, texts: DataFrame) -> DataFrame:
     h = stored(h.withColumn("key", F.xxhash64("home", "of", "part")).select("key", "home", "of", "id", "component"), "homes")
     there = members.join(h.select("id", "key", "of"), "id").groupBy("block", "key", "of").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     visits = members.join(there, "block").filter((F.col("lo") != F.col("component")) | (F.col("hi") != F.col("component"))).select("key", "id", "component").distinct()
-    m = stored(h.select("key", "id", "component", F.lit(False).alias("visits")).unionByName(visits.withColumn("visits", F.lit(True))), "visits")
+    m = stored(dealt(h, stored(visits, "visits")), "dealt")
 
-    def opened(t: pa.Table) -> pa.Table:
-        ids, comp, visits = t["id"].to_pylist(), t["component"].to_pylist(), t["visits"].to_pylist()
-        sets = list(all_sets(t["t"]))
-        group = [k for k, v in enumerate(visits) if not v and len(sets[k])]
-        a, b, root = [], [], {c: c for c in comp}
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead, group, root, tokens, owner = None, [], {}, None, None
 
         def find(c):
-            while root[c] != c:
+            while root.setdefault(c, c) != c:
                 c = root[c]
             return c
 
-        if group:
-            tokens = np.concatenate([sets[k] for k in group])
-            owner = np.repeat(np.arange(len(group)), [len(sets[k]) for k in group])
-            order = np.argsort(tokens)
-            tokens, owner = tokens[order], owner[order]
-        for q in [k for k, v in enumerate(visits) if v and len(sets[k])] if group else ():
-            s = sets[q]
-            lo, hi = np.searchsorted(tokens, s, "left"), np.searchsorted(tokens, s, "right")
-            held = hi > lo
-            if held.sum() < (NUM * len(s) + DEN - 1) // DEN:  # what any member can share
-                continue
-            lo, n = lo[held], (hi - lo)[held]
-            at = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-            for g in np.argsort(-(shared := np.bincount(owner[at], minlength=len(group))), kind="stable").tolist():
-                k = group[g]
-                if shared[g] * DEN < NUM * len(s):
-                    break
-                if (NUM + DEN) * shared[g] >= NUM * (len(s) + len(sets[k])) and find(comp[k]) != find(comp[q]):
-                    a.append(ids[k])
-                    b.append(ids[q])
-                    root[find(comp[k])] = find(comp[q])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        for batch in batches:
+            a, b = [], []
+            for key, lot, doc, comp, visits, s in zip(*(batch[c].to_pylist() for c in ("key", "lot", "id", "component", "visits")), all_sets(batch["t"]), strict=True):
+                if (key, lot) != lead:
+                    lead, group, root, tokens = (key, lot), [], {}, None
+                if not len(s):
+                    continue
+                if not visits:
+                    group.append((doc, comp, s))
+                    continue
+                if not group:
+                    continue
+                if tokens is None:
+                    tokens = np.concatenate([x for _, _, x in group])
+                    owner = np.repeat(np.arange(len(group)), [len(x) for _, _, x in group])
+                    order = np.argsort(tokens)
+                    tokens, owner = tokens[order], owner[order]
+                lo, hi = np.searchsorted(tokens, s, "left"), np.searchsorted(tokens, s, "right")
+                held = hi > lo
+                if held.sum() < (NUM * len(s) + DEN - 1) // DEN:  # what any member can share
+                    continue
+                lo, n = lo[held], (hi - lo)[held]
+                at = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+                for g in np.argsort(-(shared := np.bincount(owner[at], minlength=len(group))), kind="stable").tolist():
+                    other, c, x = group[g]
+                    if shared[g] * DEN < NUM * len(s):
+                        break
+                    if (NUM + DEN) * shared[g] >= NUM * (len(s) + len(x)) and find(c) != find(comp):
+                        a.append(other)
+                        b.append(doc)
+                        root[find(c)] = find(comp)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     near = texts.filter(might_hold(m, "id")(F.col("id")))
-    return m.hint("merge").join(near, "id").groupBy("key").applyInArrow(opened, "a bigint, b bigint")
+    rows = m.hint("merge").join(near, "id").repartition("key", "lot").sortWithinPartitions("key", "lot", "visits")
+    return rows.select("key", "lot", "id", "component", "visits", "t").mapInArrow(opened, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket_bytes: int = 8 << 20) -> DataFrame:

@@ -229,6 +229,36 @@ def test_levels_of_all_frequent_tokens(spark):
     assert (levels[t & np.uint64((1 << near_dup.LEVEL_BITS) - 1)] == 4).all()
 
 
+def test_visitors_of_one_group_are_dealt_out(spark, monkeypatch):
+    """One block of documents of different components: no task holds all its texts at once, and no link is lost."""
+    r = random.Random(3)
+    rows = []
+    for i in range(120):
+        rows.append((i, " ".join([f"t{k}" for k in range(50)] + [f"m{i % 60}x{k}" for k in range(50)] + [f"n{r.random()}"] * (i >= 60))))
+    whole = near_dup.all_sets
+
+    def few(column):
+        assert len(column) <= 40
+        return whole(column)
+
+    monkeypatch.setattr(near_dup, "CHUNK", 16)
+    monkeypatch.setattr(near_dup, "VISITORS", 32, raising=False)
+    monkeypatch.setattr(near_dup, "all_sets", few)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 40)
+    try:
+        docs = spark.createDataFrame(rows, "id long, t string").repartition(4).cache()
+        members = docs.select(F.lit(1).cast("long").alias("block"), "id", F.col("id").alias("component"))
+        got = components.components(near_dup.open_groups(members, docs)).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert {x.node: x.component for x in got} == {i: i % 60 for i in range(120)}
+    homes = spark.createDataFrame([(1, 0, 0), (1, 1, 1), (2, 9, 9)], "key long, id long, component long")
+    visits = spark.range(500).select(F.lit(1).cast("long").alias("key"), "id", F.col("id").alias("component"))
+    lots = near_dup.dealt(homes, visits).groupBy("key", "lot").agg(F.count_if("visits").alias("n"), F.count_if(~F.col("visits")).alias("m")).collect()
+    assert len(lots) == 16 and sum(x.n for x in lots) == 500 and max(x.n for x in lots) <= 64 and {x.m for x in lots} == {2}
+
+
 @pytest.mark.parametrize("one_task", [1 << 20, 3])
 def test_components_of_a_long_path(spark, one_task):
     n = 300
