@@ -114,6 +114,27 @@ def mutual_best(scores: DataFrame, a: str = "a", b: str = "b", score: str = "sco
     return scores.withColumn("ra", ra).withColumn("rb", rb).filter("ra = 1 and rb = 1").select(a, b, score)
 
 
+def mutual_nearest(left: DataFrame, right: DataFrame, key: str, vector: str, klass: str) -> DataFrame:
+    """C14 on vectors: a, b, score of the left and right rows of one class that are each other's most similar; of equal ones (to 12 digits) the smallest id.
+
+    A task emits one row for each row of its two blocks.
+    """
+
+    def best(x, y):
+        x, y = x.sort_values("id"), y.sort_values("id")
+        s, a, b = products(x, y).round(12), x["id"].to_numpy(), y["id"].to_numpy()
+        i, j = s.argmax(0), s.argmax(1)
+        sides = [pd.DataFrame({"of_a": True, "a": a, "b": b[j], "score": s[np.arange(len(a)), j]}), pd.DataFrame({"of_a": False, "a": a[i], "b": b, "score": s[i, np.arange(len(b))]})]
+        return pd.concat(sides)
+
+    l, r = (normalised(d, vector).select(key, vector, F.col(klass).alias("klass")).filter("klass is not null") for d in (left, right))  # noqa: E741
+    found = pair_blocks(l, r, key, vector, best, "of_a boolean, a long, b long, score double", by=["klass"])
+    one, other = F.when(F.col("of_a"), F.col("a")).otherwise(F.col("b")), F.when(F.col("of_a"), F.col("b")).otherwise(F.col("a"))
+    top = found.groupBy("of_a", one.alias("one")).agg(F.max(F.struct("score", (-other).alias("less"))).alias("m"))
+    a, b = F.when(F.col("of_a"), F.col("one")).otherwise(-F.col("m.less")), F.when(F.col("of_a"), -F.col("m.less")).otherwise(F.col("one"))
+    return top.groupBy(a.alias("a"), b.alias("b")).agg(F.max("m.score").alias("score"), F.count(F.lit(1)).alias("n")).filter("n = 2").drop("n")
+
+
 def assign(cost: np.ndarray) -> np.ndarray:
     """Column of each row in the assignment of least cost (shortest augmenting paths with potentials); rows <= columns."""
     n, m = cost.shape

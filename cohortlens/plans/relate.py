@@ -136,7 +136,8 @@ def d34(spark, d):
 
 @query("c14_mutual_best", f"WITH e AS ({EMB}), s AS (SELECT p.vec_id AS a, q.vec_id AS b, list_inner_product(p.v, q.v) AS score FROM e p JOIN e q ON p.label = q.label AND p.vec_id % 2 = 0 AND q.vec_id % 2 = 1), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS ra, row_number() OVER (PARTITION BY b ORDER BY score DESC, a) AS rb FROM s) SELECT a, b, round(score, 6) AS score FROM r WHERE ra = 1 AND rb = 1")
 def c14(spark, d):
-    return rounded(similarity.mutual_best(pair_scores(spark, d)), "score")
+    e = table(spark, d, "embeddings")
+    return rounded(similarity.mutual_nearest(e.filter("vec_id % 2 = 0"), e.filter("vec_id % 2 = 1"), "vec_id", "embedding", "label"), "score")
 
 
 def pair_scores(spark, d):

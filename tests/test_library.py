@@ -156,6 +156,19 @@ def test_planted_assignment(spark):
     assert sum(cost[i, j] for i, j in enumerate(similarity.assign(cost))) == pytest.approx(best)
 
 
+def test_mutual_nearest_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCK", 7)
+    g = np.random.default_rng(4)
+    v = g.normal(size=(60, 6))
+    v[40:44] = v[10]
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    df = frame(spark, [(i, i // 2 % 3, [float(x) for x in v[i]]) for i in range(60)], "id long, k int, v array<double>")
+    near = lambda i: min((j for j in range(60) if j % 2 != i % 2 and j // 2 % 3 == i // 2 % 3), key=lambda j: (-round(float(v[i] @ v[j]), 12), j))
+    got = similarity.mutual_nearest(df.filter("id % 2 = 0"), df.filter("id % 2 = 1"), "id", "v", "k")
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.a, r.b) for r in got.collect()) == [(i, near(i)) for i in range(0, 60, 2) if near(near(i)) == i]
+
+
 def test_similar_pairs_across_blocks(spark, monkeypatch):
     monkeypatch.setattr(similarity, "BLOCK", 7)
     g = np.random.default_rng(3)
