@@ -1,12 +1,16 @@
 """Exact n-gram Jaccard join by a token-group matrix.
 
 Documents are sets of word 5-grams. Tokens have one order for all documents: rare ones by their hash, then frequent ones by
-frequency. If two sets are similar enough, their first quarters in this order share a
-token, so documents are grouped by the tokens of their first quarters: the matrix of tokens and groups. A document is held
-against a group only if a bound of what the two can share reaches the threshold: the place of the last shared token bounds
-pairs in small groups; large groups are first joined to their smallest member, then cut into their components found so
-far, and a component's token union bounds what any of its members can share with a document. What is left is opened and
-counted exactly. Only links that could join two components matter, so a component already joined isn't opened again.
+frequency. If two sets are similar enough, their first quarters in this order share a token: which documents may visit
+which is told by the tokens of the first quarters, and similar documents, those with one smallest neighbour, make a group.
+The matrix holds each group's token union, and behind each token the members that have it; it is stored. A visitor's set is
+held against the union first, which bounds what it can share with any member; only a group whose bound reaches the threshold
+is opened, and its members are counted exactly. All links but those of equal sets come out of the matrix.
+
+Two rounds: first the neighbours by rare tokens and, for each frequent token, its smallest document; then what frequent
+tokens alone can link and is still apart. Two sets that share no rare token can be linked only by their frequent ones, so of
+all sets with the same frequent tokens the smallest stands for the others there. Only links that could join two components
+matter, so a component already joined isn't opened again.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, GRAM, LOWER, by_bucket, flat, might_hold, mix, parts_for, prefix_hash, range_hash, slices, small_batches, stored, unpack, word_ranges
+from .common import BLANK, GRAM, LOWER, by_bucket, flat, might_hold, mix, parts_for, prefix_hash, range_hash, slices, small_batches, stored, unpack, unused, word_ranges
 from .components import components, joined_further
 
 #: Words of a shingle; two sets are linked from 75 % on.
@@ -27,11 +31,10 @@ WIDTH, NUM, DEN = 5, 3, 4
 FEW = 8
 #: Frequencies are kept in one byte for each of 2^24 token hashes (16 MB, broadcast); tokens that share a byte share the higher level.
 LEVEL_BITS, BLOCK_BITS = 24, 18
-#: Frequent tokens are dealt out to a task for each so many documents. Members of a large group that are compared in one task, and documents that are held against them there.
-SALT_ROWS, CHUNK, VISITORS = 4096, 256, 1024
+#: Frequent tokens are dealt out to a task for each so many documents. A group has about so many members and tokens, and so many visitors come to one copy of it.
+SALT_ROWS, CHUNK, TOKENS, VISITORS = 4096, 256, 1 << 18, 1024
 #: Id of null ids.
 NO_ID = -(1 << 63)
-NEED = lambda n: (NUM * n) // (NUM + DEN) + ((NUM * n) % (NUM + DEN) > 0)  # noqa: E731  least overlap of two sets with n tokens in all
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray) -> Iterator[np.ndarray]:
@@ -107,10 +110,11 @@ def frequency_levels(texts: DataFrame, n: int) -> np.ndarray:
 
 
 ROWS = "kind int, a bigint, b bigint, c bigint, x bigint, y bigint, u bigint, v bigint"
-#: Kinds of rows: a document (n, signature), a pair of a small group, a pair with the smallest of a large group, a member of a large group, the smallest of a part.
+#: Kinds of rows: a document (size, frequent tokens and their sum, signature), a pair by a rare token, a pair with the smallest document of a frequent token, a document of a frequent token, the smallest of a part.
 DOC, PAIR, STAR, MEMBER, LEADER = range(5)
 #: Flags beside a set's size.
 RARE, SALTED = 1 << 40, 1 << 41
+DOC_COLUMNS, MASK = 7, (1 << 64) - 1
 
 
 def rows_of(kind: int, *columns: np.ndarray) -> pa.Table:
@@ -128,25 +132,28 @@ def token_groups(texts: DataFrame, levels, n: int) -> DataFrame:
 
         def out():
             t, i, p, w, b = (np.concatenate(x) for x in zip(*held, strict=True)) if held else [np.zeros(0, d) for d in (np.uint64, np.int64, np.uint32, np.int64, np.int32)]
-            d = np.array(docs, np.uint64).reshape(-1, 4)
+            d = np.array(docs, np.uint64).reshape(-1, DOC_COLUMNS)
             rows = [(0, *r) for r in by_bucket(b, t, i, p, w)] + [(1, *r) for r in by_bucket((mix(d[:, 0]) % np.uint64(n)).astype(np.int32), d)]
             cols = [[c[k] if k < len(c) else None for _, _, c in rows] for k in range(4)]
             return pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows], pa.int32()), pa.array([r[0] for r in rows], pa.int32()), *(pa.array(c, pa.binary()) for c in cols)], ["bucket", "kind", "t", "i", "p", "w"])
 
         for batch in batches:
-            for doc, s in zip(batch["id"].to_numpy(), all_sets(batch["t"]), strict=True):
+            for doc, name, s in zip(batch["id"].to_numpy(), batch["doc"].to_numpy(), all_sets(batch["t"]), strict=True):
                 sig = (int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum()), int(mix(s ^ np.uint64(0x14057B7EF767814F)).sum()))
-                docs.append((int(doc) & (1 << 64) - 1, len(s), *sig))
-                if len(s) and sig not in seen:  # of equal sets in a task, one is enough
+                size_, lev = len(s), level[s & np.uint64((1 << LEVEL_BITS) - 1)]
+                m = size_ - (NUM * size_ + DEN - 1) // DEN + 1
+                hot = s[lev > 0]
+                if size_ - len(hot) >= m or sig in seen:  # frequent tokens alone can't link it; or an equal set of this task does it
+                    hot = hot[:0]
+                docs.append((int(doc) & MASK, int(name) & MASK, size_, len(hot), int(mix(hot ^ np.uint64(0x2545F4914F6CDD1D)).sum()), *sig))
+                if size_ and sig not in seen:  # of equal sets in a task, one is enough
                     seen.add(sig)
-                    m = len(s) - (NUM * len(s) + DEN - 1) // DEN + 1
-                    lev = level[s & np.uint64((1 << LEVEL_BITS) - 1)]
                     first = np.argsort(lev, kind="stable")[:m]
                     s, lev = s[first], lev[first]
                     parts = np.maximum(1, (FEW << np.minimum(lev.astype(np.int64), 40)) // SALT_ROWS)
                     salted = (lev > 0) & (parts > 1)
                     b = ((bucket_of(s, n) + np.where(salted, (int(doc) & 0xFFFFFFFF) % parts, 0)) % n).astype(np.int32)
-                    w = docs[-1][1] + np.where(lev == 0, RARE, 0) + np.where(salted, SALTED, 0)
+                    w = size_ + np.where(lev == 0, RARE, 0) + np.where(salted, SALTED, 0)
                     held.append((s, np.full(len(s), doc, np.int64), np.arange(1, len(s) + 1, dtype=np.uint32), w, b))
                     size += len(s)
                 if size > 500_000 or len(docs) > 100_000:
@@ -157,9 +164,9 @@ def token_groups(texts: DataFrame, levels, n: int) -> DataFrame:
 
     def grouped(t: pa.Table) -> pa.Table:
         kind = t["kind"].to_numpy()
-        d = unpack(t.filter(pa.array(kind == 1))["t"], np.uint64).reshape(-1, 4)
+        d = unpack(t.filter(pa.array(kind == 1))["t"], np.uint64).reshape(-1, DOC_COLUMNS)
         t = t.filter(pa.array(kind == 0))
-        out = [rows_of(DOC, d[:, 0], d[:, 0] * np.uint64(0), d[:, 1], d[:, 0] * np.uint64(0), d[:, 0] * np.uint64(0), d[:, 2], d[:, 3])]
+        out = [rows_of(DOC, *d.T)]
         token, doc, place, w = unpack(t["t"], np.uint64), unpack(t["i"], np.int64), unpack(t["p"], np.uint32).astype(np.int64), unpack(t["w"], np.int64)
         order = np.lexsort((doc, token))
         token, doc, place, w = token[order], doc[order], place[order], w[order]
@@ -208,122 +215,122 @@ def token_groups(texts: DataFrame, levels, n: int) -> DataFrame:
     return texts.mapInArrow(packed, "bucket int, kind int, t binary, i binary, p binary, w binary").groupBy("bucket").applyInArrow(grouped, ROWS)
 
 
-def linked(x: np.ndarray, y: np.ndarray) -> bool:
-    if NUM * len(x) > DEN * len(y) or NUM * len(y) > DEN * len(x) or not len(x):
-        return False
-    return common(x, y) >= NEED(len(x) + len(y))
+def parts_of(n: str, tokens: str):
+    return F.ceil(F.greatest(F.col(n) / CHUNK, F.col(tokens) / TOKENS)).cast("int")
 
 
-def common(x: np.ndarray, y: np.ndarray) -> int:
-    """How many of the sorted distinct tokens of x are in y."""
-    if len(x) > len(y):
-        x, y = y, x
-    at = np.searchsorted(y, x)
-    at[at == len(y)] = 0
-    return int((y[at] == x).sum()) if len(y) else 0
+def matrix(homes: DataFrame, texts: DataFrame) -> DataFrame:
+    """``key, id, component`` of the members and their texts -> a row for each group: its token union, and which members have each token.
 
+    ``tokens``: sorted and distinct; ``ends``: where the owners of each token end; ``owners``: places in ``ids``, ``components`` and ``sizes``.
+    """
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of the candidate pairs ``a, b`` those that are linked. Texts of b come to a's; a pair with many b is dealt out."""
-    many = stored(pairs.groupBy("a").count().filter(F.col("count") > CHUNK).select("a", F.ceil(F.col("count") / CHUNK).cast("int").alias("parts")), "many")
-    pairs = pairs.join(F.broadcast(many) if many.count() <= 100_000 else many, "a", "left")
-    pairs = stored(pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int").alias("part")), "pairs")
-    leads = pairs.select(F.col("a").alias("g"), "part", F.col("a").alias("id"), F.lit(0).alias("late")).distinct()
-    want = leads.unionByName(pairs.select(F.col("a").alias("g"), "part", F.col("b").alias("id"), F.lit(1).alias("late")))
+    def united(t: pa.Table) -> pa.Table:
+        sets = list(all_sets(t["t"]))
+        token, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.uint32), [len(x) for x in sets])
+        order = np.argsort(token, kind="stable")
+        token, owner = token[order], owner[order]
+        last = np.flatnonzero(np.r_[token[1:] != token[:-1], True]) if len(token) else np.zeros(0, np.int64)
+        cells = {"ids": t["id"].to_numpy(), "components": t["component"].to_numpy(), "sizes": np.array([len(x) for x in sets], np.int64), "tokens": token[last], "ends": last + 1, "owners": owner}
+        return pa.table({"key": t["key"][:1]} | {k: pa.array([np.ascontiguousarray(v).tobytes()], pa.binary()) for k, v in cells.items()})
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lead, sets = None, []
-        for batch in batches:
-            a, b = [], []
-            for g, doc, late, s in zip(batch["g"].to_pylist(), batch["id"].to_pylist(), batch["late"].to_pylist(), all_sets(batch["t"]), strict=True):
-                if not late:
-                    sets = [*sets, s] if g == lead else [s]
-                    lead = g
-                elif any(linked(x, s) for x in sets):
-                    a.append(g)
+    rows = homes.select("key", "id", "component").hint("merge").join(texts.select("id", "t"), "id")
+    return rows.select("key", "id", "component", "t").groupBy("key").applyInArrow(united, "key bigint, ids binary, components binary, sizes binary, tokens binary, ends binary, owners binary")
+
+
+def dealt(groups: DataFrame, visits: DataFrame) -> DataFrame:
+    """Both tables with lot and visits (boolean): the visitors of a key in lots of about ``VISITORS``, its groups in each of them."""
+    lots = stored(visits.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / VISITORS).cast("int").alias("lots")), "lots")
+    lots = F.broadcast(lots) if lots.count() <= 100_000 else lots
+    inside = groups.join(lots, "key").withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1))).withColumn("visits", F.lit(False)).drop("lots")
+    come = visits.join(lots, "key").withColumn("lot", F.pmod(F.xxhash64("id"), F.col("lots")).cast("int")).withColumn("visits", F.lit(True)).drop("lots")
+    return inside.unionByName(come, allowMissingColumns=True)
+
+
+def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Groups, each before its visitors, -> links ``a, b`` across components."""
+    lead, root = None, {}
+
+    def find(c):
+        while root.setdefault(c, c) != c:
+            c = root[c]
+        return c
+
+    for batch in batches:
+        a, b = [], []
+        names = ("key", "lot", "visits", "id", "component")
+        for i, (key, lot, visits, doc, comp, s) in enumerate(zip(*(batch[c].to_pylist() for c in names), all_sets(batch["t"]), strict=True)):
+            if not visits:
+                lead, root = (key, lot), {}
+                ids, comps, sizes, tokens, ends, owners = (np.frombuffer(batch[c][i].as_buffer(), d) for c, d in (("ids", np.int64), ("components", np.int64), ("sizes", np.int64), ("tokens", np.uint64), ("ends", np.int64), ("owners", np.uint32)))
+                continue
+            if (key, lot) != lead or not len(s) or not len(tokens):
+                continue
+            at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
+            at = at[tokens[at] == s]
+            if len(at) * DEN < NUM * len(s):  # more than any member can share
+                continue
+            begin = np.where(at > 0, ends[at - 1], 0)
+            n = ends[at] - begin
+            shared = np.bincount(owners[np.repeat(begin - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())], minlength=len(ids))
+            for g in np.argsort(-shared, kind="stable").tolist():
+                if shared[g] * DEN < NUM * len(s):
+                    break
+                if (NUM + DEN) * shared[g] >= NUM * (len(s) + sizes[g]) and find(int(comps[g])) != find(comp):
+                    a.append(int(ids[g]))
                     b.append(doc)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                    root[find(int(comps[g]))] = find(comp)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    near = texts.filter(might_hold(stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids"), "id")(F.col("id")))
+
+def through_matrix(homes: DataFrame, visits: DataFrame, texts: DataFrame) -> DataFrame:
+    """Members and visitors of groups (both ``key, id, component``) -> the links ``a, b`` between components."""
+    texts = texts.filter(might_hold(homes.select("id").union(visits.select("id")), "id")(F.col("id"))).select("id", "t")
+    every = dealt(stored(matrix(homes, texts), "matrix"), visits.select("key", "id", "component"))
     # Both sides grow with the corpus: never a broadcast.
-    rows = want.hint("merge").join(near, "id").repartition("g", "part").sortWithinPartitions("g", "part", "late")
-    return rows.select("g", "id", "late", "t").mapInArrow(check, "a bigint, b bigint")
+    come = every.filter("visits").select("key", "lot", "visits", "id", "component").hint("merge").join(texts, "id")
+    rows = every.filter("not visits").unionByName(come, allowMissingColumns=True).repartition("key", "lot").sortWithinPartitions("key", "lot", "visits")
+    return rows.mapInArrow(opened, "a bigint, b bigint")
 
 
-def dealt(homes: DataFrame, visits: DataFrame) -> DataFrame:
-    """key, lot, id, component, visits: the visitors of a key in lots of about ``VISITORS``, its members in each of them."""
-    lots = stored(visits.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / VISITORS).cast("int").alias("lots")), "lots")
-    lots = F.broadcast(lots) if lots.count() <= 100_000 else lots
-    inside = homes.join(lots, "key").select("key", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), "id", "component", F.lit(False).alias("visits"))
-    return inside.unionByName(visits.join(lots, "key").select("key", F.pmod(F.xxhash64("id"), F.col("lots")).cast("int").alias("lot"), "id", "component", F.lit(True).alias("visits")))
+def neighbours(edges: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links among candidate pairs ``a, b`` (a < b), ``u``: tokens of a. Those a that have one smallest neighbour make a group, which b visits."""
+    least = edges.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("home"))
+    heads = edges.groupBy(F.col("a").alias("id")).agg(F.max("u").alias("n")).join(least, "id", "left").withColumn("home", F.coalesce("home", "id"))
+    parts = heads.groupBy("home").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("tokens")).withColumn("parts", parts_of("k", "tokens"))
+    homes = heads.join(parts, "home").select(F.xxhash64("home", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("key"), "id", F.col("id").alias("component"))
+    homes = stored(homes, "homes")
+    visits = edges.join(homes.select("key", F.col("id").alias("a")), "a").select("key", F.col("b").alias("id"), F.col("b").alias("component")).distinct()
+    return through_matrix(homes, stored(visits, "visits"), texts)
 
 
 def open_groups(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links across components inside large groups ``block, id, component``, by the token-group matrix.
+    """Links across components among documents of frequent tokens: ``block`` (the token), ``id, component``; ``n`` (tokens) and ``stands`` if given.
 
-    Each document has one home: the smallest member that most of its blocks have. Documents of one home are a group; a
-    document visits a home if it shares a block with a member of another component. The group's token union bounds what
-    the visitor can share with any member; only if the bound reaches the threshold the members are counted. A group is cut
-    into parts of about ``CHUNK``; a large component has parts of its own, which its own documents don't visit. The visitors
-    of a part are dealt out, and pass its members one by one.
+    A document has one home: the smallest member that most of its blocks have. Those of one home are a group, cut into parts
+    of about ``CHUNK`` members; a large component has parts of its own, which its own documents don't visit. Only documents
+    that stand for others (``stands``) are members. Two documents that share a block meet in one of their homes: the
+    document of the smaller visits the larger; those that are no members visit every home.
     """
-    first = members.groupBy("block").agg(F.min("id").alias("first"))
-    votes = members.join(first, "block").groupBy("id", "component", "first").agg(F.count(F.lit(1)).alias("n"))
-    homes = votes.groupBy("id", "component").agg(F.max_by("first", F.struct("n", -F.col("first"))).alias("home"))
-    sizes = homes.groupBy("home", "component").agg(F.count(F.lit(1)).alias("n"))
-    small = sizes.filter(F.col("n") < CHUNK).groupBy("home").agg(F.ceil(F.sum("n") / CHUNK).cast("int").alias("small"))
-    own = F.col("n") >= CHUNK
+    if "stands" not in members.columns:
+        members = members.withColumn("stands", F.lit(True)).withColumn("n", F.lit(1))
+    inside = members.filter("stands")
+    first = inside.groupBy("block").agg(F.min("id").alias("first"))
+    votes = inside.join(first, "block").groupBy("id", "component", "n", "first").agg(F.count(F.lit(1)).alias("votes"))
+    homes = votes.groupBy("id", "component", "n").agg(F.max_by("first", F.struct("votes", -F.col("first"))).alias("home"))
+    sizes = homes.groupBy("home", "component").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("tokens")).withColumn("parts", parts_of("k", "tokens"))
+    own = F.col("parts") > 1
+    small = sizes.filter(~own).groupBy("home").agg(F.sum("k").alias("k"), F.sum("tokens").alias("tokens")).select("home", parts_of("k", "tokens").alias("shared"))
     h = homes.join(sizes, ["home", "component"]).join(small, "home", "left")
-    h = h.withColumn("of", F.when(own, F.col("component"))).withColumn("part", F.when(own, F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / CHUNK))).otherwise(F.pmod(F.xxhash64("component"), F.col("small"))).cast("int"))
-    h = stored(h.withColumn("key", F.xxhash64("home", "of", "part")).select("key", "home", "of", "id", "component"), "homes")
-    there = members.join(h.select("id", "key", "of"), "id").groupBy("block", "key", "of").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    visits = members.join(there, "block").filter((F.col("lo") != F.col("component")) | (F.col("hi") != F.col("component"))).select("key", "id", "component").distinct()
-    m = stored(dealt(h, stored(visits, "visits")), "dealt")
-
-    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lead, group, root, tokens, owner = None, [], {}, None, None
-
-        def find(c):
-            while root.setdefault(c, c) != c:
-                c = root[c]
-            return c
-
-        for batch in batches:
-            a, b = [], []
-            for key, lot, doc, comp, visits, s in zip(*(batch[c].to_pylist() for c in ("key", "lot", "id", "component", "visits")), all_sets(batch["t"]), strict=True):
-                if (key, lot) != lead:
-                    lead, group, root, tokens = (key, lot), [], {}, None
-                if not len(s):
-                    continue
-                if not visits:
-                    group.append((doc, comp, s))
-                    continue
-                if not group:
-                    continue
-                if tokens is None:
-                    tokens = np.concatenate([x for _, _, x in group])
-                    owner = np.repeat(np.arange(len(group)), [len(x) for _, _, x in group])
-                    order = np.argsort(tokens)
-                    tokens, owner = tokens[order], owner[order]
-                lo, hi = np.searchsorted(tokens, s, "left"), np.searchsorted(tokens, s, "right")
-                held = hi > lo
-                if held.sum() < (NUM * len(s) + DEN - 1) // DEN:  # what any member can share
-                    continue
-                lo, n = lo[held], (hi - lo)[held]
-                at = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-                for g in np.argsort(-(shared := np.bincount(owner[at], minlength=len(group))), kind="stable").tolist():
-                    other, c, x = group[g]
-                    if shared[g] * DEN < NUM * len(s):
-                        break
-                    if (NUM + DEN) * shared[g] >= NUM * (len(s) + len(x)) and find(c) != find(comp):
-                        a.append(other)
-                        b.append(doc)
-                        root[find(c)] = find(comp)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    near = texts.filter(might_hold(m, "id")(F.col("id")))
-    rows = m.hint("merge").join(near, "id").repartition("key", "lot").sortWithinPartitions("key", "lot", "visits")
-    return rows.select("key", "lot", "id", "component", "visits", "t").mapInArrow(opened, "a bigint, b bigint")
+    part = F.when(own, F.pmod(F.xxhash64("id"), F.col("parts"))).otherwise(F.pmod(F.xxhash64("component"), F.col("shared")))
+    h = stored(h.select(F.xxhash64("home", F.when(own, F.col("component")), part).alias("key"), "id", "component"), "homes")
+    ranks = h.groupBy("key").agg(F.count(F.lit(1)).alias("rank"))
+    ranked = stored(h.join(ranks, "key").select("id", "key", F.struct("rank", "key").alias("rank")), "ranked")
+    there = inside.join(ranked, "id").groupBy("block", "key", "rank").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    come = members.join(ranked.select("id", F.col("rank").alias("own")), "id", "left").select("block", "id", "component", "own")
+    apart = (F.col("lo") != F.col("component")) | (F.col("hi") != F.col("component"))
+    visits = come.join(there, "block").filter(apart & (F.col("own").isNull() | (F.col("rank") >= F.col("own")))).select("key", "id", "component").distinct()
+    return through_matrix(h, stored(visits, "visits"), texts)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket_bytes: int = 8 << 20) -> DataFrame:
@@ -334,43 +341,58 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     spark = docs.sparkSession
     small_batches(spark)
-    texts = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).alias("t"))
+    name = F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID))
+    # A key of its own for each text of an id.
+    texts = docs.select(F.xxhash64(name, F.coalesce(F.col(text), F.lit(""))).alias("id"), name.alias("doc"), F.col(text).alias("t"))
     n = parts_for(texts, "t", bucket_bytes)
     levels = spark.sparkContext.broadcast(frequency_levels(texts, n))
     found = stored(token_groups(texts, levels, n), "groups")
-    rows = found.filter(F.col("kind") == DOC).select(F.col("a").alias("id"), F.col("c").alias("n_shingles"), "u", "v")
-    # Equal sets.
-    equal = rows.filter("n_shingles > 0").groupBy("u", "v", "n_shingles").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    equal = rows.join(equal, ["u", "v", "n_shingles"]).select(F.col("first").alias("a"), F.col("id").alias("b"))
+    rows = found.filter(F.col("kind") == DOC).select(F.col("a").alias("id"), F.col("b").alias("doc"), F.col("c").alias("n_shingles"), F.col("x").alias("hot_n"), F.col("y").alias("hot"), "u", "v")
+    # Equal sets, and several texts of an id.
+    equal = rows.filter("n_shingles > 0").groupBy("u", "v", "n_shingles").agg(F.min("id").alias("a"), F.max("id").alias("last")).filter("a <> last").drop("last")
+    equal = rows.join(equal, ["u", "v", "n_shingles"]).select("a", F.col("id").alias("b"))
+    again = rows.groupBy("doc").agg(F.min("id").alias("a"), F.max("id").alias("last")).filter("a <> last").drop("last")
+    equal = equal.unionByName(rows.join(again, "doc").select("a", F.col("id").alias("b")))
     # Candidate pairs, and what bounds them.
     pairs = found.filter(F.col("kind").isin(PAIR, STAR)).groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("x").alias("x"), F.max("y").alias("y"), F.max("u").alias("u"), F.max("v").alias("v"))
     fits = (NUM * F.col("u") <= DEN * F.col("v")) & (NUM * F.col("v") <= DEN * F.col("u"))
     most = F.col("c") + F.least(F.col("u") - F.col("x"), F.col("v") - F.col("y"))
-    pairs = pairs.filter(fits & ((F.col("c") == 0) | ((NUM + DEN) * most >= NUM * (F.col("u") + F.col("v"))))).select("a", "b")
+    pairs = pairs.filter(fits & ((F.col("c") == 0) | ((NUM + DEN) * most >= NUM * (F.col("u") + F.col("v"))))).select("a", "b", "u")
     leaders = found.filter(F.col("kind") == LEADER).select("a", "b")
-    heads = leaders.join(leaders.groupBy("a").agg(F.min("b").alias("first")), "a").filter("b <> first").select(F.col("first").alias("a"), "b").distinct()
-    pairs = pairs.unionByName(heads).distinct()
-    links = stored(verified(pairs, texts).unionByName(equal), "links")
+    heads = leaders.join(leaders.groupBy("a").agg(F.min("b").alias("first")), "a").filter("b <> first").select(F.col("first").alias("a"), "b", F.lit(1).cast("long").alias("u"))
+    # Of sets with the same frequent tokens the smallest stands for those that these tokens link to it.
+    hot = rows.filter("hot_n > 0").groupBy("hot", "hot_n").agg(F.min(F.struct("n_shingles", "id")).alias("least"))
+    hot = rows.filter("hot_n > 0").join(hot, ["hot", "hot_n"]).select("id", F.col("n_shingles").alias("n"), F.col("least.id").alias("head"), F.col("least.n_shingles").alias("m"), "hot_n").distinct()
+    hot = stored(hot.withColumn("near", (NUM + DEN) * F.col("hot_n") >= NUM * (F.col("n") + F.col("m"))), "hot")
+    twins = hot.filter("near and id <> head").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b"), F.when(F.col("id") < F.col("head"), F.col("n")).otherwise(F.col("m")).alias("u"))
+    edges = pairs.unionByName(heads).unionByName(twins).groupBy("a", "b").agg(F.max("u").alias("u"))
+    links = stored(neighbours(stored(edges, "edges"), texts).unionByName(equal), "links")
     comp = components(links)
-    # Large groups that still hold several components.
-    members = found.filter(F.col("kind") == MEMBER).select(F.col("a").alias("block"), F.col("b").alias("id")).distinct()
-    members = members.join(comp.withColumnRenamed("node", "id"), "id", "left").select("block", "id", F.coalesce("component", "id").alias("component"))
-    open_ = members.groupBy("block").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("block")
-    members = stored(members.join(open_, "block"), "members")
+    # What frequent tokens may still link.
+    apart = hot.filter("id = head or not near").join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    apart = apart.groupBy("head", "n", "component", (F.col("id") == F.col("head")).alias("stands")).agg(F.min("id").alias("id"))
+    members = found.filter(F.col("kind") == MEMBER).select(F.col("a").alias("block"), F.col("b").alias("id")).distinct().join(apart.select("id", "component", "stands", "n"), "id")
+    several = members.groupBy("block").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("block")
+    members = stored(members.join(several, "block"), "members")
     if not members.isEmpty():
         more = stored(open_groups(members, texts), "more")
         if not more.isEmpty():
             comp = joined_further(comp, more)
-    out = rows.join(comp, rows["id"] == comp["node"], "left").select("id", "n_shingles", F.coalesce("component", "id").alias("c"))
+    least = comp.join(rows.select(F.col("id").alias("node"), "doc"), "node").groupBy("component").agg(F.min("doc").alias("least"))
+    out = rows.join(comp.join(least, "component").select(F.col("node").alias("id"), "least"), "id", "left").select("doc", "n_shingles", F.coalesce("least", "doc").alias("c"))
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return out.select(real("id").alias(doc_id), "n_shingles", real("c").alias("component_id"))
+    return out.select(real("doc").alias(doc_id), "n_shingles", real("c").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` with the smallest id of their component, with all their columns."""
+    """The rows of ``docs`` with the smallest id of their component, with all their columns; any other columns may be there.
+
+    Rows that repeat the id that stays all stay, and so do rows with null ids that link to nothing smaller. No rows: no rows.
+    """
+    gone_id = unused("gone", docs)
     found = near_duplicates(docs, doc_id, text)
-    gone = found.filter(~F.col("component_id").eqNullSafe(F.col(doc_id))).select(F.col(doc_id).alias("__id")).distinct()
-    return docs.join(gone, docs[doc_id].eqNullSafe(F.col("__id")), "left_anti")
+    gone = found.filter(~F.col("component_id").eqNullSafe(F.col(doc_id))).select(F.col(doc_id).alias(gone_id)).distinct()
+    return docs.join(gone, docs[doc_id].eqNullSafe(gone[gone_id]), "left_anti")
 
 
 def op5(spark, docs: DataFrame) -> DataFrame:

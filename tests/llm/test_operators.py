@@ -217,6 +217,33 @@ def test_near_duplicates_in_large_groups(spark, changes, monkeypatch):
     assert Counter((x.doc_id, x.n_shingles, x.component_id) for x in got) == brute_components(rows)
 
 
+def test_near_duplicates_of_a_template(spark, monkeypatch):
+    """Documents that are mostly one passage, some with the rest in common, at sizes about the threshold; ids that repeat."""
+    monkeypatch.setattr(near_dup, "CHUNK", 8)
+    r = random.Random(11)
+    passage, rows = [f"p{k}" for k in range(60)], []
+    for i in range(140):
+        own = [f"o{i % 70 if i % 2 else i}x{k}" for k in range(r.randint(4, 24))]
+        at = r.randrange(3)
+        rows.append((i, " ".join([*own[:at], *passage[: 60 - (i % 5)], *own[at:]])))
+    rows += [(5, "a text of its own with the id of another one"), (9, " ".join(passage[:40])), (None, " ".join(passage)), (None, "a text of its own with the id of another one")]
+    got = near_dup.op5(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert Counter((x.doc_id, x.n_shingles, x.component_id) for x in got) == brute_components(rows)
+
+
+def test_visits_of_template_pages_grow_in_proportion(spark, monkeypatch):
+    """Pages that share most of their tokens and aren't linked: twice the pages, about twice the visits."""
+    seen = {}
+    for n in (300, 600):
+        rows = [(i, " ".join([f"p{k}" for k in range(64)] + [f"o{i}x{k}" for k in range(20 + i % 7)])) for i in range(n)]
+        count, old = [], near_dup.through_matrix
+        monkeypatch.setattr(near_dup, "through_matrix", lambda h, v, t, c=count, f=old: c.append(v.count()) or f(h, v, t))
+        near_dup.op5(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).count()
+        monkeypatch.setattr(near_dup, "through_matrix", old)
+        seen[n] = sum(count)
+    assert seen[600] <= 2.5 * seen[300] + 20
+
+
 def test_levels_of_all_frequent_tokens(spark):
     """Every token of a template in far more documents than ``FEW`` has a level, whatever its hash."""
     same = " ".join(f"t{i}" for i in range(60))
