@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, stored
+from .common import WORD, stored, unused
 
 #: 4 levels of 12 bits: the 48 bits of the row hash.
 STEP, LEVELS = 12, 4
@@ -68,27 +68,40 @@ def thresholds(thin: DataFrame, most: int = 3) -> DataFrame:
     return state.select("source", "source_size", "target", "base", F.when(F.col("rest") > 0, F.col("prefix") + F.when(take, 1).otherwise(0)).otherwise(0).alias("cut"))
 
 
+def with_copies(docs: DataFrame, doc_id: str, text: str, source: str, most: int, seed: str) -> tuple[DataFrame, list[str]]:
+    """``docs`` and, under names that it doesn't have (they are returned too), size, source size, target and copies of each row."""
+    thin = stored(docs.select(F.col(source).alias("source"), words(text).alias("size"), row_hash(doc_id, text, seed).alias("h")), "mix")
+    cuts = stored(thresholds(thin, most), "cuts")
+    few = cuts.count() <= FEW_SOURCES
+    new = [unused(c, docs) for c in ("mix_size", "mix_source_size", "mix_target", "mix_copies")]
+    h, own = unused("mix_hash", docs), {c: unused(f"cut_{c}", docs) for c in cuts.columns}
+    cuts = cuts.withColumnsRenamed(own)
+    out = docs.withColumn(h, row_hash(doc_id, text, seed)).join(F.broadcast(cuts) if few else cuts, F.col(source).eqNullSafe(F.col(own["source"])), "left")
+    copies = F.col(own["base"]) + F.when(F.col(h) < F.col(own["cut"]), 1).otherwise(0)
+    every = [words(text), F.col(own["source_size"]), F.col(own["target"]), copies]
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], *[c.alias(name) for c, name in zip(every, new, strict=True)]), new
+
+
 def mix_to_targets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", most: int = 3, seed: str = "mix") -> DataFrame:
     """All rows and columns of ``docs`` with mix_size, mix_source_size, mix_target and mix_copies (how often the mix takes the row).
 
     A source's words taken come within one row of its target (ties of the whole hash are taken or left together,
     whichever is nearer). Null is a source of its own, the last. Null and empty texts have size 0; a source without words
-    takes no rows. No rows: no rows.
+    takes no rows. Columns of the input with these four names are replaced; others may have any name. No rows: no rows.
     """
-    thin = stored(docs.select(F.col(source).alias("source"), words(text).alias("size"), row_hash(doc_id, text, seed).alias("h")), "mix")
-    cuts = thresholds(thin, most)
-    cuts = stored(cuts.withColumnsRenamed({c: f"__{c}" for c in cuts.columns}), "cuts")
-    few = cuts.count() <= FEW_SOURCES
-    out = docs.drop("mix_size", "mix_source_size", "mix_target", "mix_copies").withColumn("__h", row_hash(doc_id, text, seed)).withColumn("mix_size", words(text))
-    out = out.join(F.broadcast(cuts) if few else cuts, F.col(source).eqNullSafe(F.col("__source")), "left")
-    copies = F.col("__base") + F.when(F.col("__h") < F.col("__cut"), 1).otherwise(0)
-    return out.withColumns({"mix_source_size": F.col("__source_size"), "mix_target": F.col("__target"), "mix_copies": copies}).drop("__h", *cuts.columns)
+    out, _ = with_copies(docs.drop("mix_size", "mix_source_size", "mix_target", "mix_copies"), doc_id, text, source, most, seed)
+    return out
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row as often as it is taken, with the columns of ``docs``."""
-    rows = mix_to_targets(docs, **options)
-    return rows.filter("mix_copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", most: int = 3, seed: str = "mix") -> DataFrame:
+    """The mix itself: each row as often as it is taken, with the columns of ``docs`` and their values, whatever their names.
+
+    Nulls, empty texts and repeated rows as in ``mix_to_targets``; rows of size 0 are taken or left by their hash like
+    others. No rows: no rows.
+    """
+    rows, new = with_copies(docs, doc_id, text, source, most, seed)
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    return rows.filter(F.col(new[3]) > 0).select(*names, F.explode(F.sequence(F.lit(1).cast("long"), F.col(new[3]))).alias(new[0])).select(*names)
 
 
 def op2(spark, docs: DataFrame) -> DataFrame:

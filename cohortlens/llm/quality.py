@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, flat, might_hold, prefix_hash, range_hash, slices, small_batches, stored, word_ranges
+from .common import BLANK, flat, might_hold, prefix_hash, range_hash, slices, small_batches, stored, unused, word_ranges
 
 BITS = 18
 DIM = 1 << BITS
@@ -91,7 +91,8 @@ def train_rows(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", max_fit_rows: int = MAX_FIT_ROWS) -> dict:
     """The model: weight (one for each indicator, scaled), bias, slope and offset.
 
-    Labels of one class only, or none, give a constant score: the smoothed share of good rows.
+    Labels of one class only, or none, give a constant score: the smoothed share of good rows. Rows that repeat an id count
+    as often as they are there, ids or labels that are null not at all. Other columns are not read.
     """
     small_batches(docs.sparkSession)
     share = min(1.0, max_fit_rows / max(1, labels.count()))
@@ -166,9 +167,12 @@ def score(text: Column, model: dict, spark) -> Column:
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, least: float = 0.3, text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that score at least ``least``, with all their columns."""
-    model = fit(docs, labels, text=text, **options)
-    return docs.withColumn("__score", score(F.col(text), model, docs.sparkSession)).filter(F.col("__score") >= least).drop("__score")
+    """The rows of ``docs`` that score at least ``least``, with all their columns, whatever their names.
+
+    Null and empty texts are scored like any other, repeated rows alike. No rows: no rows.
+    """
+    model, name = fit(docs, labels, text=text, **options), unused("score", docs)
+    return docs.withColumn(name, score(F.col(text), model, docs.sparkSession)).filter(F.col(name) >= least).drop(name)
 
 
 def op3(spark, docs: DataFrame, labels: DataFrame) -> DataFrame:

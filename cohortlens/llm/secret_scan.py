@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, flat
+from .common import LOWER, flat, small_batches
 
 # Keywords, patterns and least lengths of the base kinds.
 KEYWORDS = ["password", "passwd", "secret", "token", "apikey", "api_key", "akia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "npm_"]
@@ -80,7 +80,7 @@ def secrets(text: Column) -> Column:
     """All secrets of each text: kind, start, end (code points, end exclusive), sorted by start, then kind.
 
     Kinds: assign, access and hex (the base), and ``checked``: tokens with an embedded checksum that is right. A null or
-    empty text has none.
+    empty text has none; long texts are read whole, repeated ones give the same. No rows: no rows.
     """
 
     @F.arrow_udf(SPANS)
@@ -99,6 +99,7 @@ def joined(spans: Column) -> Column:
 
 
 def op9(spark, docs: DataFrame) -> DataFrame:
+    small_batches(spark)
     rows = docs.select("doc_id", secrets(F.col("text")).alias("s"))
     count = lambda kind: F.size(F.filter("s", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("s", lambda x: x["kind"] != "checked")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bucket, flat, parts_for, prefix_hash, range_hash, slices, small_batches, text_bytes, unpack
+from .common import by_bucket, flat, parts_for, prefix_hash, range_hash, slices, small_batches, text_bytes, unpack, unused
 
 LENGTH, GRAM = 100, 50
 #: Windows that may share an anchor.
@@ -290,17 +290,20 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     A byte is removed if a string of 100 bytes over it also starts earlier: in a row with a smaller id (null first; then a
     smaller hash of the text), or earlier in the same text. Rows that repeat id and text are one document and get the same
-    result. Null and empty texts, and those below 100 bytes, lose nothing. Columns with these two names are replaced.
+    result. Null and empty texts, and those below 100 bytes, lose nothing. Columns with these two names are replaced, others
+    may have any name. No rows: no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.drop("removed", "kept").withColumn("__id", F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID))).withColumn("__h", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    texts = rows.select(F.col("__id").alias("id"), F.col("__h").alias("h"), F.col(text).alias("t"))
+    docs = docs.drop("removed", "kept")
+    k_id, k_h, k_spans, k_cut = (unused(c, docs) for c in ("key_id", "key_hash", "spans", "cut"))
+    rows = docs.withColumn(k_id, F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID))).withColumn(k_h, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    texts = rows.select(F.col(k_id).alias("id"), F.col(k_h).alias("h"), F.col(text).alias("t"))
     total = text_bytes(texts, "t")
     n = parts_for(texts, "t", bucket_bytes, total)
     bits = min(MOST_BITS, max(20, math.ceil(math.log2(total * 4 / (SPAN / 2) + 1))))
     seen = spark.sparkContext.broadcast(repeated_anchors(texts, n, bits))
-    spans = covered(texts, seen, n, bits).groupBy(F.col("id").alias("__id"), F.col("h").alias("__h")).agg(F.collect_list(F.struct("s", "e")).alias("__spans"))
+    spans = covered(texts, seen, n, bits).groupBy(F.col("id").alias(k_id), F.col("h").alias(k_h)).agg(F.collect_list(F.struct("s", "e")).alias(k_spans))
 
     @F.arrow_udf("struct<removed:array<struct<start:bigint,end:bigint>>,kept:binary>")
     def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -320,8 +323,8 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 out.append({"removed": [{"start": x, "end": y} for x, y in zip(s.tolist(), e.tolist(), strict=True)], "kept": b[np.cumsum(keep[:-1]) == 0].tobytes()})
             yield pa.array(out, kind)
 
-    done = rows.join(spans, ["__id", "__h"], "left").withColumn("__cut", cut(F.col(text), F.col("__spans")))
-    return done.withColumn("removed", F.col("__cut.removed")).withColumn("kept", F.col("__cut.kept")).drop("__cut", "__spans", "__id", "__h")
+    done = rows.join(spans, [k_id, k_h], "left").withColumn(k_cut, cut(F.col(text), F.col(k_spans)))
+    return done.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(k_cut)["removed"].alias("removed"), F.col(k_cut)["kept"].alias("kept"))
 
 
 def op10(spark, docs: DataFrame) -> DataFrame:

@@ -40,8 +40,8 @@ def write_archive(pages: DataFrame, path: str, page_id: str = "page_id", url: st
 
     Of records with equal payloads of at least ``min_bytes`` bytes, that with the largest page_id (null: smallest; ties:
     the last row read) is a response, the others are revisits of it; smaller ones are all responses. A null payload is
-    empty; a null id is written as ``null``, line breaks in a URL as spaces. Payloads whose digests agree are verified to
-    agree in length and two more hashes, else the job fails.
+    empty; a null id is written as ``null``, carriage returns and line feeds in a URL as spaces. Payloads whose digests agree
+    are verified to agree in length and two more hashes, else the job fails. No pages: an archive without records.
     """
     payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
     thin = stored(
@@ -79,7 +79,8 @@ def read_archive(spark, path: str) -> DataFrame:
     heads = heads.join(spread, "digest", "left").withColumn("part", F.pmod(F.xxhash64("uid"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
     payloads = payloads.join(spread, "digest", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1))).drop("parts")
     text = F.decode("header", "UTF-8")
-    field = lambda k: F.nullif(F.regexp_extract(text, rf"(?m)^{k}\r?$", 1), F.lit(""))
+    # (?d): a line ends at a line feed only, and those in URLs are gone; other line separators stay part of the URL.
+    field = lambda k: F.nullif(F.regexp_extract(text, rf"(?dm)^{k}\r$", 1), F.lit(""))
     kind = field("WARC-Type: ([a-z]+)")
     return heads.join(payloads, ["digest", "part"], "left").select(
         "uid", field("WARC-Record-ID: <urn:page:([0-9-]+)>").cast("long").alias("page_id"), kind.alias("record_type"), field("WARC-Refers-To: <urn:page:([0-9-]+)>").cast("long").alias("refers_to"),
