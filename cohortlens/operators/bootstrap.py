@@ -1,28 +1,27 @@
 """Cluster bootstrap: units are drawn with replacement, all resamples in one pass.
 
-A unit's weight in resample b comes from md5(b | i): in ``exact`` mode n draws hit ranks md5 mod n, so a resample has exactly
-n draws; in ``poisson`` mode each unit has an independent Poisson(1) weight, which needs no ranks and no second table. Rows
-never cross resamples in a shuffle: each task adds up confusion counts per resample first.
+A unit's weight in resample b comes from a hash: in ``exact`` mode n draws hit ranks md5(b | i) mod n, so a resample has
+exactly n draws; in ``poisson`` mode each unit has an independent Poisson(1) weight, which needs no ranks and no second
+table. Rows never cross resamples in a shuffle: each task adds up confusion counts per resample first.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import math
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .metrics import classification
+from .order import numbered
 
 
 def draws(units: DataFrame, unit: str, n_resamples: int, seed: int = 0) -> DataFrame:
-    """Exact mode: b, unit, weight. Rank r of n is drawn by md5(seed|b|i) mod n for i < n; for n up to about 10^5."""
+    """Exact mode: b, unit, weight. Rank r of n is drawn by md5(seed|b|i) mod n for i < n: n_resamples * n draws in all; for many units take the Poisson mode."""
     u = units.select(unit).distinct()
     n = u.count()
-    ranked = u.withColumn("rank", F.row_number().over(W.orderBy(unit)) - 1)
+    ranked = numbered(u, unit, "rank")
     spark = units.sparkSession
     grid = spark.range(n_resamples).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))).alias("i"))
     rank = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("b").cast("string"), F.col("i").cast("string"))), 1, 8), 16, 10).cast("long"), F.lit(max(n, 1)))
@@ -35,20 +34,23 @@ def exact_counts(rows: DataFrame, unit: str, y: str, pred: str, n_resamples: int
     return draws(rows, unit, n_resamples, seed).join(per_unit, unit).groupBy("b", "y", "pred").agg(F.sum(F.col("weight") * F.col("k")).alias("n"))
 
 
+def poisson_weight(seed: int, b: Column, unit: Column) -> Column:
+    """A Poisson(1) number for each resample and unit: how many of its cumulative probabilities a uniform hash exceeds."""
+    u = F.pmod(F.xxhash64(F.lit(seed), b, unit), F.lit(1 << 52)) / float(1 << 52)
+    out, upto = F.lit(0), 0.0
+    for k in range(16):
+        upto += math.exp(-1) / math.factorial(k)
+        out = out + (u >= upto).cast("int")
+    return out
+
+
 def poisson_counts(rows: DataFrame, unit: str, y: str, pred: str, n_classes: int, n_resamples: int, seed: int = 0) -> DataFrame:
-    """The same with Poisson(1) weights: one tensor of counts per task, then one sum."""
-
-    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out = np.zeros((n_resamples, n_classes * n_classes))
-        for f in frames:
-            cell = f["y"].to_numpy() * n_classes + f["pred"].to_numpy()
-            for u, c, k in zip(f["u"].to_numpy(), cell, f["k"].to_numpy(), strict=True):
-                out[:, c] += k * np.random.default_rng([seed, int(u) & 0x7FFFFFFFFFFFFFFF]).poisson(1.0, n_resamples)
-        b, c = np.nonzero(out)
-        yield pd.DataFrame({"b": b, "y": c // n_classes, "pred": c % n_classes, "n": out[b, c].astype(np.int64)})
-
-    per_unit = rows.groupBy(F.xxhash64(unit).alias("u"), F.col(y).cast("int").alias("y"), F.col(pred).cast("int").alias("pred")).agg(F.count(F.lit(1)).alias("k"))
-    return per_unit.mapInPandas(add, "b long, y int, pred int, n long").groupBy("b", "y", "pred").agg(F.sum("n").alias("n"))
+    """The same with Poisson(1) weights; classes from 0 to ``n_classes`` - 1, others are left out."""
+    inside = F.col(y).between(0, n_classes - 1) & F.col(pred).between(0, n_classes - 1)
+    per_unit = rows.filter(inside).groupBy(F.xxhash64(unit).alias("u"), F.col(y).cast("int").alias("y"), F.col(pred).cast("int").alias("pred")).agg(F.count(F.lit(1)).alias("k"))
+    each = per_unit.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_resamples - 1).cast("long"))))
+    n = F.col("k") * poisson_weight(seed, F.col("b"), F.col("u"))
+    return each.groupBy("b", "y", "pred").agg(F.sum(n).alias("n")).filter("n > 0")
 
 
 def interval(values: DataFrame, column: str, level: float = 0.95, by: Sequence[str] = ()) -> DataFrame:

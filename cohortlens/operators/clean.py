@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .order import numbered
 from .profile import aggregate_columns
 
 
@@ -164,13 +165,14 @@ class FitParams:
 def sorted_codes(df: DataFrame, column: str) -> DataFrame:
     """Value -> code by sorted value, from 0."""
     values = df.select(F.col(column).alias("value")).filter("value is not null").distinct()
-    return values.select("value", (F.dense_rank().over(W.orderBy("value")) - 1).alias("code"))
+    return numbered(values, "value", "code").select("value", F.col("code").cast("int").alias("code"))
 
 
 def appearance_codes(df: DataFrame, column: str, order: str) -> DataFrame:
     """Value -> code by first appearance along ``order``."""
     firsts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.min(order).alias("__first"))
-    return firsts.select("value", (F.dense_rank().over(W.orderBy("__first")) - 1).alias("code"))
+    places = sorted_codes(firsts, "__first").select(F.col("value").alias("__first"), "code")
+    return firsts.join(places, "__first").select("value", "code")
 
 
 def encode(df: DataFrame, column: str, codes: DataFrame, unseen: int = -1) -> DataFrame:

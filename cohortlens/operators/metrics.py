@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .order import running
+
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """N / (K * n_c); with two classes neg/pos follows from ``n``."""
@@ -96,9 +98,8 @@ def roc_counts(df: DataFrame, y: str, score: str, by: Sequence[str] = ()) -> Dat
 
 def roc_auc(df: DataFrame, y: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """Mann-Whitney with ties as halves; NULL if a class is absent."""
-    c = roc_counts(df, y, score, by)
-    below = F.coalesce(F.sum("neg").over(W.partitionBy(*by).orderBy("score").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    x = c.withColumn("won", F.col("pos") * (below + F.col("neg") / 2))
+    c = running(roc_counts(df, y, score, by), "score", ["neg"], by)
+    x = c.withColumn("won", F.col("pos") * (F.col("before_neg") + F.col("neg") / 2))
     return x.groupBy(*by).agg(F.try_divide(F.sum("won"), F.sum("pos") * F.sum("neg")).alias("auc"))
 
 
@@ -111,9 +112,9 @@ def roc_auc_ovr(df: DataFrame, y: str, p: str, weighted: bool = False) -> DataFr
 
 def roc_curve(df: DataFrame, y: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """False and true positive rates at each threshold (score >= threshold)."""
-    c = roc_counts(df, y, score, by)
-    down, all_ = W.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0), W.partitionBy(*by)
-    return c.select(*by, F.col("score").alias("threshold"), F.try_divide(F.sum("neg").over(down), F.sum("neg").over(all_)).alias("fpr"), F.try_divide(F.sum("pos").over(down), F.sum("pos").over(all_)).alias("tpr"))
+    c = running(roc_counts(df, y, score, by), "score", ["neg", "pos"], by, descending=True)
+    rate = lambda k: F.try_divide(F.col(f"before_{k}") + F.col(k), F.col(f"all_{k}"))
+    return c.select(*by, F.col("score").alias("threshold"), rate("neg").alias("fpr"), rate("pos").alias("tpr"))
 
 
 def calibration_bins(df: DataFrame, confidence: str, correct: str, bins: int = 10) -> DataFrame:

@@ -19,7 +19,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ordinal_probabilities
-from .metrics import class_weights
+from .metrics import class_weights, classification
+from .order import numbered, running
 from .similarity import nearest
 from .split import seeded_int
 
@@ -85,11 +86,15 @@ def knn_classify(train: DataFrame, test: DataFrame, key: str, vector: str, label
 
 
 def ridge_classify(train: DataFrame, test: DataFrame, label: str, classes: Sequence[int], alpha: float = 1.0) -> DataFrame:
-    """H9: one ridge regression on +1/-1 for each class; the largest value wins."""
-    out = test
+    """H9: one ridge regression on +1/-1 for each class (squared error + ``alpha`` times squared weights); the largest value wins."""
+    out, counts = test, {r[0]: r[1] for r in train.groupBy(label).count().collect()}
+    n = max(1, sum(counts.values()))
     for c in classes:
+        share = counts.get(c, 0) / n
+        # Spark's penalty is per row and in units of the target's deviation.
+        penalty = alpha / n * (2 * (share * (1 - share)) ** 0.5 or 1.0)
         y = train.withColumn("__y", F.when(F.col(label) == c, 1.0).otherwise(-1.0))
-        m = LinearRegression(labelCol="__y", predictionCol=f"__v{c}", elasticNetParam=0.0, regParam=alpha / max(1, y.count()), maxIter=20).fit(y)
+        m = LinearRegression(labelCol="__y", predictionCol=f"__v{c}", elasticNetParam=0.0, regParam=penalty, standardization=False, maxIter=50).fit(y)
         out = m.transform(out)
     v = F.array(*[F.col(f"__v{c}") for c in classes])
     best = F.element_at(F.array(*[F.lit(c) for c in classes]), F.array_position(v, F.array_max(v)).cast("int"))
@@ -166,17 +171,39 @@ def smote(train: DataFrame, key: str, vector: str, label: str, minority, k: int
     """
     counts = {r[0]: r[1] for r in train.groupBy(label).count().collect()}
     few, most = counts.get(minority, 0), max(counts.values(), default=0)
+    if few < 2 or most < ratio * few:
+        return train
+    own = train.filter(F.col(label) == minority).withColumn("copies", F.lit(-(-(most - few) // few)))
+    new = between_neighbours(own, key, vector, label, min(k, few - 1), seed)
+    return train.select(vector, label).unionByName(new.orderBy("copy", "o", key).limit(most - few).select(vector, label))
+
+
+def adasyn(train: DataFrame, key: str, vector: str, label: str, minority, k: int = 5, ratio: float = 1.5, seed: int = 0) -> DataFrame:
+    """As ``smote``, but a minority row gets new rows by the share of other classes among its neighbours; none if no neighbour is of another class."""
+    counts = {r[0]: r[1] for r in train.groupBy(label).count().collect()}
+    few, most = counts.get(minority, 0), max(counts.values(), default=0)
     if few < 2 or most < ratio * few:
         return train
     own = train.filter(F.col(label) == minority)
-    near = nearest(own, own, key, vector, k).select(F.col("id").alias(key), "other", "rank")
-    new = own.select(key, vector, label).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(-(-(most - few) // few)))))
+    hard = nearest(own, train, key, vector, k).join(train.select(F.col(key).alias("other"), F.col(label).alias("__of")), "other").groupBy("id").agg(F.avg((F.col("__of") != minority).cast("double")).alias("share"))
+    total = hard.agg(F.sum("share")).first()[0] or 0.0
+    if not total:
+        return train
+    own = own.join(hard.select(F.col("id").alias(key), F.round(F.col("share") / total * (most - few)).cast("int").alias("copies")), key).filter("copies > 0")
+    mine = train.filter(F.col(label) == minority)
+    return train.select(vector, label).unionByName(between_neighbours(own, key, vector, label, min(k, few - 1), seed, mine).select(vector, label))
+
+
+def between_neighbours(own: DataFrame, key: str, vector: str, label: str, k: int, seed: int, among: DataFrame | None = None) -> DataFrame:
+    """``copies`` new rows for each row of ``own``: between it and one of its k nearest of ``among`` (else ``own``)."""
+    among = own if among is None else among
+    near = nearest(own, among, key, vector, k).select(F.col("id").alias(key), "other", "rank")
+    new = own.select(key, vector, label, "copies").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     h = seeded_int(seed, key, "copy")
-    new = new.withColumn("rank", (F.pmod(h, F.lit(min(k, few - 1))) + 1).cast("int")).withColumn("t", F.pmod(F.floor(h / 64), F.lit(1000)) / 1000.0).withColumn("o", h)
-    new = new.join(near, [key, "rank"]).join(own.select(F.col(key).alias("other"), F.col(vector).alias("w")), "other")
-    new = new.orderBy("copy", "o", key).limit(most - few)
+    new = new.withColumn("rank", (F.pmod(h, F.lit(k)) + 1).cast("int")).withColumn("t", F.pmod(F.floor(h / 64), F.lit(1000)) / 1000.0).withColumn("o", h)
+    new = new.join(near, [key, "rank"]).join(among.select(F.col(key).alias("other"), F.col(vector).alias("w")), "other")
     mixed = F.zip_with(F.col(vector), F.col("w"), lambda a, b: a + F.col("t") * (b - a))
-    return train.select(vector, label).unionByName(new.select(mixed.cast(dict(train.dtypes)[vector]).alias(vector), label))
+    return new.withColumn(vector, mixed.cast(dict(own.dtypes)[vector]))
 
 
 def platt(train: DataFrame, score: str, y: str) -> Model:
@@ -224,14 +251,18 @@ def linear_contributions(model, df: DataFrame, key: str) -> DataFrame:
 
 
 def permutation_importance(model, df: DataFrame, features: Sequence[int], key: str, label: str = "label", seed: int = 0) -> DataFrame:
-    """Loss of weighted F1 when a feature's values are shuffled among the rows, by a join of two orders of the rows."""
-    base, rows = scored(model, df, label), []
-    own = df.withColumn("__r", F.row_number().over(W.orderBy(key)))
-    for i in features:
-        other = df.select(vector_to_array("features")[i].alias("__x"), F.row_number().over(W.orderBy(seeded_int(f"{seed}:{i}", key), key)).alias("__r"))
-        a = F.transform(vector_to_array("features"), lambda v, j: F.when(j == i, F.col("__x")).otherwise(v))  # noqa: B023
-        rows.append((i, base - scored(model, own.join(other, "__r").withColumn("features", array_to_vector(a)).drop("__x", "__r"), label)))
-    return df.sparkSession.createDataFrame(rows, "feature int, importance double")
+    """Loss of weighted F1 when a feature's values are shuffled among the rows: all features in one pass. Keys are distinct.
+
+    A shuffle is a join of two orders of the rows, by key and by a seeded hash.
+    """
+    one = F.lit(1).cast("long")
+    values = df.select(F.col(key).alias("__key"), F.posexplode(vector_to_array("features")).alias("feature", "__x")).filter(F.col("feature").isin(list(features)))
+    values = values.select("feature", "__x", F.xxhash64(F.lit(seed), "feature", "__key").alias("__h"), one.alias("__one"))
+    shuffled = running(values, "__h", ["__one"], ["feature"]).select("feature", "__x", F.col("before___one").alias("__n"))
+    a = F.transform(vector_to_array("features"), lambda v, j: F.when(j == F.col("feature"), F.col("__x")).otherwise(v))
+    rows = numbered(df.select(key, label, "features"), key, "__n").join(shuffled, "__n").withColumn("features", array_to_vector(a))
+    found = model.transform(rows).groupBy("feature", F.col(label).alias("y"), F.col("prediction").alias("pred")).agg(F.count(one).alias("n"))
+    return classification(found, ["feature"]).select("feature", (F.lit(scored(model, df, label)) - F.col("weighted_f1")).alias("importance"))
 
 
 def bag_pool(df: DataFrame, bag: str, how: str = "mean") -> DataFrame:

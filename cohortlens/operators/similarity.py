@@ -71,10 +71,11 @@ def nearest(left: DataFrame, right: DataFrame, key: str, vector: str, k: int = 1
     """For each left row its k most similar right rows (not itself): id, other, sim, rank. A task emits k rows for each left row."""
 
     def best(x, y):
+        y = y.sort_values("id")  # of equal similarities the smaller id is kept
         s, a, b = products(x, y), x["id"].to_numpy(), y["id"].to_numpy()
         s[a[:, None] == b[None, :]] = -2
-        m = min(k, s.shape[1])
-        at = np.argpartition(-s, m - 1, axis=1)[:, :m]
+        at = np.argsort(-s, axis=1, kind="stable")[:, :k]
+        m = at.shape[1]
         out = pd.DataFrame({"id": np.repeat(a, m), "other": b[at].ravel(), "sim": np.take_along_axis(s, at, 1).ravel()})
         return out[out["sim"] > -2]
 

@@ -222,7 +222,8 @@ def g11(spark, d):
     return table(spark, d, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("stamp"), F.concat(F.lit("v"), F.date_format("ts", "yyyyMMdd")).alias("version"))
 
 
-N_B = 40
+#: Resamples of D36 and D37.
+N_B = 1000
 
 
 def draw_sql(pred):
@@ -241,7 +242,7 @@ def d36(spark, d):
 
 @query("d36_bootstrap_poisson")
 def d36_poisson(spark, d):
-    counts = B.poisson_counts(predictions(spark, d), "unit", "y", "pred", 10, 200)
+    counts = B.poisson_counts(predictions(spark, d), "unit", "y", "pred", 10, 2000)
     return B.interval(M.classification(counts, ["b"]), "accuracy")
 
 

@@ -6,6 +6,7 @@ import uuid
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -67,9 +68,9 @@ def a4(spark, d):
     return io.scan_files(spark, d, ["parquet"]).select("class_name", "split", "stem", "bytes", "file_md5")
 
 
-@query("a6_csv_sink", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+@query("a6_csv_sink", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders")
 def a6(spark, d):
-    return io.write_table(table(spark, d, "nation"), folder(spark, "sink"), "csv")
+    return io.write_table(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"), folder(spark, "sink"), "csv")
 
 
 @query("a7_metadata_sink", "SELECT 'l_quantity' AS column_name, min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem")
@@ -82,9 +83,9 @@ def a7(spark, d):
     return spark.createDataFrame([(c, v[0], v[1]) for c, v in q.ranges.items()], "column_name string, lo double, hi double")
 
 
-@query("a8_named_table", "SELECT r_regionkey, r_name FROM region")
+@query("a8_named_table", "SELECT c_custkey, c_name, c_nationkey FROM customer")
 def a8(spark, d):
-    return io.save_named(table(spark, d, "region"), f"regions_{uuid.uuid4().hex}")
+    return io.save_named(table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey"), f"customers_{uuid.uuid4().hex}")
 
 
 @query("a9_registry", "SELECT event_type AS method, '{\"n\":' || count(*) || '}' AS config, NULL AS note FROM events GROUP BY 1 UNION ALL SELECT event_type, '{\"n\":' || count(*) || '}', NULL FROM events GROUP BY 1")
@@ -103,15 +104,16 @@ def a10(spark, d):
 
 @query("a11_model_bundle")
 def a11(spark, d):
-    from pyspark.ml.classification import NaiveBayesModel
-
+    """A pipeline (scaler and model) is saved under its version with threshold, classes and feature order, and served by a pointer to that version."""
     from ..operators import ml
 
-    e = ml.vectors(table(spark, d, "embeddings").withColumn("label", F.col("label").cast("double")), "embedding")
+    e = ml.vectors(table(spark, d, "embeddings").withColumn("label", (F.col("label") >= 5).cast("double")), "embedding")
     path = folder(spark, "bundle")
-    ml.classifier("naive_bayes").fit(e).write().overwrite().save(f"{path}/model")
-    io.write_table(spark.createDataFrame([(0.5, list(range(10)), ["embedding"])], "threshold double, classes array<int>, features array<string>"), f"{path}/meta", "json")
-    return NaiveBayesModel.load(f"{path}/model").transform(e).select("vec_id", F.col("prediction").cast("int").alias("prediction"))
+    model = ml.pipeline(ml.features_in_fold(8), ml.classifier("logistic", e.count(), maxIter=5)).fit(e)
+    io.save_bundle(spark, path, "v1", model, {"threshold": 0.4, "classes": ["0", "1"], "features": ["embedding"]})
+    served, meta = io.load_bundle(spark, path)
+    p = served.transform(e).select("vec_id", vector_to_array("probability")[1].alias("p"))
+    return p.select("vec_id", (F.col("p") >= meta.threshold).cast("int").alias("prediction"), F.lit(meta.version).alias("version"))
 
 
 @query("a12_content_cache", "SELECT md5(text) AS md5, min(doc_id) AS doc_id FROM documents WHERE text IS NOT NULL GROUP BY 1")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml import PipelineModel
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -115,3 +116,16 @@ def manifest(inputs: DataFrame, outputs: DataFrame, key: str) -> DataFrame:
 def comparison_report(df: DataFrame, name: str, value: str, lo: str, hi: str) -> DataFrame:
     """``x.xxx [lo, hi]`` and whether 0 is outside; best first."""
     return df.orderBy(F.desc(value), name).select(name, F.format_string("%.3f [%.3f, %.3f]", value, lo, hi).alias("estimate"), F.when((F.col(lo) > 0) | (F.col(hi) < 0), "yes").otherwise("no").alias("differs"))
+
+
+def save_bundle(spark: SparkSession, path: str, version: str, model, meta: dict) -> None:
+    """The fitted pipeline and its meta data under ``path/<version>``; ``path/served`` names the version in use."""
+    model.write().overwrite().save(f"{path}/{version}/model")
+    for name, row in ((f"{version}/meta", meta | {"version": version}), ("served", {"version": version})):
+        spark.createDataFrame([Row(**row)]).coalesce(1).write.mode("overwrite").json(f"{path}/{name}")
+
+
+def load_bundle(spark: SparkSession, path: str) -> tuple[PipelineModel, Row]:
+    """The pipeline that is served, and its meta data."""
+    version = spark.read.json(f"{path}/served").first().version
+    return PipelineModel.load(f"{path}/{version}/model"), spark.read.json(f"{path}/{version}/meta").first()
