@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, unused
 
 # The patterns (made possessive, which finds the same and doesn't recurse), and the limits of each kind.
 KINDS = ["email", "ip", "card", "phone"]
@@ -105,18 +105,21 @@ def personal_data(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """All rows and columns of ``docs`` with ``base`` (entities) and ``terms`` (words that give one of them away).
 
     Both are arrays of (start, rank, end, value), code points, end exclusive, sorted. Null and empty texts have none;
-    repeated rows are rows like any other. Columns of the input with these names are replaced.
+    repeated rows are rows like any other. Columns of the input with these two names are replaced, others may have any
+    name. No rows: no rows.
     """
     docs = docs.drop("base", "terms")
     found = entities(docs, text)
-    key = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    hits = stored(found.select(F.col(text), "base").filter(F.size("base") > 0).withColumn("__k", key), "entities")
-    told = disclosing_terms(docs, hits, text, **options)
+    hashed = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    key, words = unused("key", found), unused("words", found)
+    hits = stored(found.select(F.col(text).alias("t"), "base").filter(F.size("base") > 0).withColumn("__k", F.xxhash64("t")), "entities")
+    told = disclosing_terms(docs.select(F.col(text).alias("t")), hits, "t", **options)
     held = hits.select("__k", F.explode(F.array_distinct(F.transform("base", lambda s: s["value"]))).alias("entity")).distinct()
-    per_text = stored(held.join(told, "entity").groupBy("__k").agg(F.array_sort(F.collect_set("term")).alias("__terms")), "terms")
+    per_text = stored(held.join(told, "entity").groupBy(F.col("__k").alias(key)).agg(F.array_sort(F.collect_set("term")).alias(words)), "terms")
     none = F.array().cast("array<struct<start:int,rank:int,end:int,value:string>>")
-    rows = found.withColumn("__k", key).join(F.broadcast(per_text) if per_text.count() <= 10_000 else per_text, "__k", "left").drop("__k")
-    return rows.withColumn("terms", F.when(F.col("__terms").isNotNull(), term_spans(F.col(text), F.col("__terms"))).otherwise(none)).drop("__terms")
+    rows = found.withColumn(key, hashed).join(F.broadcast(per_text) if per_text.count() <= 10_000 else per_text, key, "left")
+    terms = F.when(F.col(words).isNotNull(), term_spans(F.col(text), F.col(words))).otherwise(none)
+    return rows.select(*[F.col(f"`{c}`") for c in found.columns], terms.alias("terms"))
 
 
 def term_spans(text: Column, terms: Column) -> Column:

@@ -69,6 +69,44 @@ def test_sharding_with_one_hot_id(spark):
     assert Counter(r.shard for r in got) == {i: 120 for i in range(5)} and len({r.row for r in got}) == 600
 
 
+def test_shards_follow_from_seed_and_rows_alone(spark, docs):
+    """Another partitioning and another order of the rows: the same shards and slots, also where a bucket is scattered again."""
+    rows = docs.drop("row", "shard", "slot").filter("doc_id is not null").dropDuplicates()
+    for bucket in (16 << 20, 4096):
+        got = [Counter((r.doc_id, r.text, r.shard, r.slot) for r in sharding.shuffle_into_shards(x, 5, bucket_bytes=bucket).collect()) for x in (rows, rows.repartition(7).orderBy(F.desc("text")), rows.coalesce(1))]
+        assert got[0] == got[1] == got[2]
+
+
+def test_a_bucket_is_permuted_by_fisher_yates(spark):
+    """One bucket: the slots are the permutation of the rows in the order of their hashes."""
+    spark.conf.set("spark.sql.shuffle.partitions", 1)
+    try:
+        rows = spark.range(50).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))
+        got = {r.doc_id: r.slot for r in sharding.shuffle_into_shards(rows, 1, seed=5).collect()}
+        order = [r.doc_id for r in rows.orderBy(F.xxhash64(F.lit(5), "doc_id", "text")).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert [got[order[i]] for i in sharding.fisher_yates(50, [5, 0])] == list(range(50))
+
+
+#: Names that an operator might use itself.
+ODD = ["hash", "score", "hits", "bucket", "order", "first", "parts", "spans", "cut", "key", "gone", "block", "k1", "k2", "mix_size", "mix_copies", "cut_cut", "key_id", "id", "h", "t", "__h", "__k", "__id", "__source", "__terms", "__bucket", "__spans", "__hits"]
+
+
+def test_columns_of_any_name_keep_their_values(spark):
+    rows = spark.createDataFrame([(i, f"some text number {i} with words", "ab"[i % 2], *range(i, i + len(ODD))) for i in range(12)], f"doc_id long, text string, source string, {', '.join(f'`{c}` int' for c in ODD)}").cache()
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, quality int")
+    bench = spark.createDataFrame([(1, "nothing of the kind")], "item_id long, text string")
+    outs = [sharding.shuffle_into_shards(rows, 2), sharding.shuffle_into_shards(rows, 2, bucket_bytes=64), mixing.mix_to_targets(rows.drop("mix_size", "mix_copies")), mixing.mixed(rows), quality.good_documents(rows, labels, least=0.0)]
+    outs += [near_dup.one_of_each(rows), decontamination.decontaminated(rows, bench), pii.personal_data(rows), substring_dedup.without_repeats(rows)]
+    want = {r.doc_id: r.asDict() for r in rows.collect()}
+    for out in outs:
+        got = out.collect()
+        kept = set(rows.columns) - ({"mix_size", "mix_copies"} if "mix_target" in out.columns else set())
+        assert got and all(r.asDict().items() >= {k: want[r.doc_id][k] for k in kept}.items() for r in got)
+        assert set(out.columns) >= set(rows.columns) - {"mix_size", "mix_copies"}
+
+
 def test_fisher_yates_is_uniform():
     seen = Counter(tuple(sharding.fisher_yates(3, [s])) for s in range(1200))
     assert len(seen) == 6 and min(seen.values()) > 140
@@ -165,6 +203,19 @@ def test_warc(spark, empty):
     assert warc.op4(spark, pages.limit(0)).count() == 0
 
 
+def test_header_lines_in_a_url(spark):
+    """A URL can't put a header line of its own into the record, whatever it takes for a line end."""
+    ends = ["\u2028", "\u2029", "\u0085", "\r", "\n", "\r\n"]
+    urls = [f"http://x/{e}{line}" for e in ends for line in ("WARC-Refers-To: <urn:page:7>", "WARC-Payload-Digest: sha1:AAAA", "WARC-Type: revisit")]
+    pages = spark.createDataFrame([(i, u, f"<p>{i}</p>") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    got = warc.op4(spark, pages).collect()
+    assert len(got) == len(urls) and all(r.record_type == "response" and r.refers_to is None for r in got)
+    path = warc.scratch_path(spark, "t")
+    warc.write_archive(pages, path)
+    heads = {r.page_id: bytes(r.header).decode() for r in warc.read_archive(spark, path).collect()}
+    assert all(f"WARC-Target-URI: {u}\r\n" in heads[i] for i, u in enumerate(urls) if not set(u) & set("\r\n"))
+
+
 def linked(a, b):
     return 100 * len(a & b) >= 75 * len(a | b) and bool(a)
 
@@ -376,6 +427,28 @@ def test_tree_merge_over_many_runs(spark):
     assert got.filter("kept").count() == 2001 and got.filter("group_size = 2000 and keep_id = 0").count() == 2000
 
 
+def test_merge_of_sorted_runs(spark, monkeypatch):
+    """Many small runs, three rounds: one entry for each digest, its best row and its count."""
+    r = random.Random(2)
+    entry = lambda d, neg, i, u: (hashlib.sha256(str(d).encode()).digest(), neg, 0, i, u, 1, d, d)
+    rows = [entry(r.randrange(60), -r.randrange(3), r.randrange(5), u) for u in range(300)]
+    runs = [exact_dedup.sorted_run(np.array(rows[i : i + 25], exact_dedup.ENTRY)) for i in range(0, 300, 25)]
+    whole = runs[0]
+    for x in runs[1:]:
+        whole = exact_dedup.merged(whole, x)
+    assert list(whole["digest"]) == sorted(set(np.array(rows, exact_dedup.ENTRY)["digest"])) and whole["n"].sum() == 300
+    for e in whole:
+        mine = [x for x in rows if x[6] == e["bytes"]]
+        assert len(mine) == e["n"] and min((x[1], x[3], x[4]) for x in mine) == (e["neg"], e["id"], e["uid"])
+    with pytest.raises(ValueError, match="one SHA-256"):
+        exact_dedup.merged(runs[0][:1], np.array([(runs[0]["digest"][0], 0, 0, 0, 0, 1, 999, 999)], exact_dedup.ENTRY))
+    monkeypatch.setattr(exact_dedup, "RUN_ROWS", 3)
+    texts_ = [(i, f"t {i % 40}" + " " * (i % 3)) for i in range(400)]
+    got = exact_dedup.op7(spark, spark.createDataFrame(texts_, "doc_id long, text string").repartition(70)).collect()
+    best = {k: min((-len(t), i) for i, t in texts_ if i % 40 == k)[1] for k in range(40)}
+    assert {(x.doc_id, x.keep_id, x.group_size, x.kept) for x in got} == {(i, best[i % 40], 10, best[i % 40] == i) for i, _ in texts_}
+
+
 def test_decontamination(spark, docs, empty):
     items = [(1, " ".join(f"w{i}" for i in range(14))), (1, "one TWO"), (2, "--"), (3, None), (None, "Ärger漢 字 q7"), (4, " ".join(texts()[3][1].split()[2:25])), (5, "9x 8y")]
     bench = spark.createDataFrame(items, "item_id long, text string")
