@@ -32,7 +32,7 @@ FEW = 8
 #: Frequencies are kept in one byte for each of 2^24 token hashes (16 MB, broadcast); tokens that share a byte share the higher level.
 LEVEL_BITS, BLOCK_BITS = 24, 18
 #: Frequent tokens are dealt out to a task for each so many documents. A group has about so many members and tokens, and so many visitors come to one copy of it.
-SALT_ROWS, CHUNK, TOKENS, VISITORS = 4096, 256, 1 << 18, 1024
+SALT_ROWS, CHUNK, TOKENS, VISITORS, HOT = 4096, 256, 1 << 18, 1024, 500
 #: Id of null ids.
 NO_ID = -(1 << 63)
 
@@ -378,8 +378,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         more = stored(open_groups(members, texts), "more")
         if not more.isEmpty():
             comp = joined_further(comp, more)
-    least = comp.join(rows.select(F.col("id").alias("node"), "doc"), "node").groupBy("component").agg(F.min("doc").alias("least"))
-    out = rows.join(comp.join(least, "component").select(F.col("node").alias("id"), "least"), "id", "left").select("doc", "n_shingles", F.coalesce("least", "doc").alias("c"))
+    least = comp.join(rows.select(F.col("id").alias("node"), "doc"), "node").groupBy("component").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("n"))
+    least = stored(least, "least")
+    total = least.agg(F.sum("n")).first()[0] or 0
+    # A component with over 1 / HOT of all linked rows is joined by broadcast; there are fewer than HOT of them.
+    large = F.broadcast(least.filter(F.col("n") * HOT > total).select("component", F.col("least").alias("hot")))
+    named = comp.join(large, "component", "left")
+    named = named.filter("hot is null").join(least, "component").select("node", "least").unionByName(named.filter("hot is not null").select("node", F.col("hot").alias("least")))
+    out = rows.join(named.withColumnRenamed("node", "id"), "id", "left").select("doc", "n_shingles", F.coalesce("least", "doc").alias("c"))
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return out.select(real("doc").alias(doc_id), "n_shingles", real("c").alias("component_id"))
 

@@ -1,4 +1,7 @@
-"""Secret scans: an Aho-Corasick keyword prefilter, anchored expressions near its hits, then checksums."""
+"""Secret scans: an Aho-Corasick keyword prefilter, anchored expressions near its hits, then checksums.
+
+Hexadecimal runs have no keyword that could be filtered for, so one expression finds them in the whole text.
+"""
 
 from __future__ import annotations
 
