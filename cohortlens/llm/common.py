@@ -23,11 +23,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 _own: dict[str, str] = {}
+_written: dict[str, list[str]] = {}
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share (``spark.checkpoint.dir``); a temporary one only where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.gettempdir()}/cohortlens-{uuid.uuid4().hex}")
+    """A new path in the folder that all executors share (``spark.checkpoint.dir``); unset, as in tests, a temporary one in local mode alone."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = _own.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.gettempdir()}/cohortlens-{uuid.uuid4().hex}")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -35,9 +40,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
+    _written.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written(spark: SparkSession) -> list[str]:
+    """The tables of this session that ``stored`` wrote and ``release`` has not deleted, in the order of writing."""
+    return list(_written.get(spark.sparkContext.applicationId, ()))
+
+
+def release(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Delete such tables, all of them if ``paths`` is left out. Only when whatever reads them has been written or is no longer needed."""
+    conf, kept = spark.sparkContext._jsc.hadoopConfiguration(), _written.get(spark.sparkContext.applicationId, [])
+    for p in written(spark) if paths is None else paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+        kept.remove(p)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000, size: int = 32 << 20) -> None:
     """Texts can be long: at most so many rows, and about so many bytes, go to a Python task at once."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
