@@ -16,6 +16,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
     """
     context = edges.sparkSession.sparkContext
     if not context.getCheckpointDir():  # unset, as in tests
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="cohortlens-"))
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v")
     e = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct().checkpoint()

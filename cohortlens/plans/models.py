@@ -27,8 +27,25 @@ def plain(df):
     return df.select("vec_id", F.col("label").cast("int").alias("y"), F.col("prediction").cast("int").alias("prediction"))
 
 
-def model_query(name, kind, two=False, **options):
-    @query(name)
+FOLDS = "e AS (SELECT vec_id, label, embedding, ('0x' || substr(md5('3|' || vec_id), 1, 8))::BIGINT % 5 AS fold FROM embeddings)"
+
+
+def bayes_sql(units: str, fit: str, score: str, out: str, priors: bool = True) -> str:
+    """Gaussian naive Bayes over ``units`` (id, label, fold, v): fitted on the rows of ``fit``, predicted for those of ``score``."""
+    prior = "ln(count(*))" if priors else "0"
+    return f"""WITH {FOLDS}, u AS ({units}), l AS (SELECT id, label, fold, unnest(v)::DOUBLE AS x, generate_subscripts(v, 1) AS i FROM u),
+    g AS (SELECT label AS c, i, avg(x) AS m, var_pop(x) AS w FROM l WHERE {fit} GROUP BY ALL),
+    f AS (SELECT 1e-9 * max(w) AS least FROM (SELECT var_pop(x) AS w FROM l WHERE {fit} GROUP BY i)),
+    p AS (SELECT label AS c, {prior} AS prior FROM u WHERE {fit} GROUP BY 1),
+    s AS (SELECT id, l.label, c, any_value(prior) + sum(-0.5 * ln(w + least) - (x - m) ** 2 / (2 * (w + least))) AS score FROM l JOIN g USING (i) JOIN p USING (c) CROSS JOIN f WHERE {score} GROUP BY ALL)
+    SELECT {out} FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, c) AS r FROM s) WHERE r = 1"""
+
+
+ROWS, PLAIN = "SELECT vec_id AS id, label, fold, embedding AS v FROM e", "id AS vec_id, label::INT AS y, c::INT AS prediction"
+
+
+def model_query(name, kind, two=False, sql=None, **options):
+    @query(name, sql)
     def run(spark, d):
         train, test = halves(spark, d, two)
         est = ml.classifier(kind, train.count(), n_classes=2 if two else 10, weight=None if kind == "perceptron" else "weight", **options)
@@ -39,14 +56,14 @@ def model_query(name, kind, two=False, **options):
 
 model_query("h1_logistic_regression", "logistic", C=1.0, maxIter=20)
 model_query("h2_linear_svm", "svm", two=True, maxIter=10)
-model_query("h4_naive_bayes", "naive_bayes")
+model_query("h4_naive_bayes", "naive_bayes", sql=bayes_sql(ROWS, "fold <> 4", "fold = 4", PLAIN, priors=False))  # balanced weights: equal priors
 model_query("h5_decision_tree", "tree", maxDepth=5)
 model_query("h6_random_forest", "forest", numTrees=10)
 model_query("h7_perceptron", "perceptron", layers=[64, 16, 10])
 model_query("h8_boosting", "boosting", two=True, maxIter=5)
 
 
-@query("h3_knn")
+@query("h3_knn", f"WITH {FOLDS}, u AS (SELECT *, sqrt(list_inner_product(v, v)) AS norm FROM (SELECT *, embedding::DOUBLE[] AS v FROM e)), s AS (SELECT t.vec_id, r.label, row_number() OVER (PARTITION BY t.vec_id ORDER BY list_inner_product(t.v, r.v) / (t.norm * r.norm) DESC, r.vec_id) AS k FROM u t JOIN u r ON t.fold = 4 AND r.fold <> 4), n AS (SELECT vec_id, label, row_number() OVER (PARTITION BY vec_id ORDER BY count(*) DESC, label) AS r FROM s WHERE k <= 5 GROUP BY 1, 2) SELECT vec_id, label::INT AS prediction FROM n WHERE r = 1")
 def h3(spark, d):
     train, test = halves(spark, d)
     return ml.knn_classify(train, test, "vec_id", "embedding", "label").select("vec_id", F.col("prediction").cast("int").alias("prediction"))
@@ -68,7 +85,7 @@ def h10(spark, d):
 @query("h11_stacking")
 def h11(spark, d):
     train, test = halves(spark, d, two=True)
-    kinds = {"nb": ml.classifier("naive_bayes"), "tree": ml.classifier("tree", maxDepth=3)}
+    kinds = {"forest": ml.classifier("forest"), "boosting": ml.classifier("boosting"), "logistic": ml.classifier("logistic", train.count(), maxIter=20)}
     return plain(ml.stack(train, test, kinds, "fold", 4, "vec_id"))
 
 
@@ -93,7 +110,8 @@ def h13(spark, d):
 def h14(spark, d):
     train, _ = halves(spark, d, two=True)
     est = ml.classifier("logistic", train.count(), maxIter=5)
-    m = ml.grid_search(train, est, {"regParam": [0.001, 0.1], "elasticNetParam": [0.0, 1.0]}, "fold", 4, draws=3)
+    grid = {"regParam": [0.001, 0.003, 0.01, 0.03, 0.1, 0.3], "elasticNetParam": [0.0, 0.25, 0.5, 1.0]}
+    m = ml.grid_search(train, est, grid, "fold", 4, draws=20)
     return spark.createDataFrame([(i, float(v)) for i, v in enumerate(m.avgMetrics)], "cell int, f1 double")
 
 
@@ -103,13 +121,13 @@ def h15(spark, d):
     return plain(ml.nested_cv(x, ml.classifier("logistic", 400, maxIter=5), {"regParam": [0.001, 0.1]}, "outer", 2, "inner", 2))
 
 
-@query("h16_refit")
+@query("h16_refit", bayes_sql(ROWS, "fold < 4", "fold = 4", PLAIN))
 def h16(spark, d):
     x = rows(spark, d)
     return plain(ml.refit([x.filter("fold < 3"), x.filter("fold = 3")], ml.classifier("naive_bayes")).transform(x.filter("fold = 4")))
 
 
-@query("h17_smote")
+@query("h17_smote", "WITH c AS (SELECT (label = 0)::INT::DOUBLE AS label, count(*) AS n FROM embeddings GROUP BY 1), m AS (SELECT max(n) AS most, coalesce(min(n) FILTER (label = 1), 0) AS few FROM c) SELECT label, CASE WHEN label = 1 AND few >= 2 AND most >= 1.5 * few THEN most ELSE n END AS n FROM c CROSS JOIN m")
 def h17(spark, d):
     x = rows(spark, d).withColumn("label", (F.col("label") == 0).cast("double"))
     return ml.smote(x, "vec_id", "embedding", "label", 1.0).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
@@ -172,7 +190,7 @@ def h26(spark, d):
     return p.select("vec_id", vector_to_array("probability")[1].alias("p")).select("vec_id", F.round("p", 6).alias("p"), S.decision(F.col("p")).alias("d")).select("vec_id", "p", "d.predicted", "d.uncertain")
 
 
-@query("h28_bag_pooling")
+@query("h28_bag_pooling", bayes_sql("SELECT id, label, 0 AS fold, list(x ORDER BY i) AS v FROM (SELECT label || '-' || vec_id % 5 AS id, label, i, avg(x) AS x FROM (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM e) GROUP BY ALL) GROUP BY ALL", "true", "true", "id AS bag, c::INT AS prediction"))
 def h28(spark, d):
     x = rows(spark, d).withColumn("bag", F.concat_ws("-", F.col("label").cast("int").cast("string"), (F.col("vec_id") % 5).cast("string")))
     bags = ml.bag_pool(x, "bag").withColumn("label", F.substring_index("bag", "-", 1).cast("double"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cohortlens.llm import decontamination, mixing, near_dup, quality, sharding
-from cohortlens.llm.common import stored, table
+from cohortlens.llm.common import release, stored, table, written
 
 N_SHARDS = 24
 
@@ -46,7 +46,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The rows after all stages. Once a stage is written, what it read and the tables between its steps are deleted."""
+    docs, earlier = table(spark, sf_dir, "documents"), written(spark)
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
+        release(spark, [p for p in written(spark)[:-1] if p not in earlier])
     return STAGES[-1][1](spark, docs, sf_dir)
