@@ -2,7 +2,7 @@
 
 import corpus_pipeline
 from cohortlens.llm import near_dup
-from cohortlens.llm.common import table
+from cohortlens.llm.common import release, table, written
 
 SF = "/root/testdata/sf0.001"
 
@@ -49,3 +49,17 @@ def test_stages_on_odd_rows(spark):
     assert corpus_pipeline.decontamination_stage(spark, odd, SF).count() == len(rows)
     assert corpus_pipeline.near_dup_stage(spark, odd, SF).count() == len(rows)
     assert corpus_pipeline.sharding_stage(spark, odd, SF).count() == len(rows)
+
+
+def test_run_leaves_few_tables_and_its_rows(spark):
+    release(spark)
+    other = near_dup.stored(spark.range(3), "other")
+    once = corpus_pipeline.run(spark, SF)
+    rows = sorted((r.shard, r.slot, r.doc_id) for r in once.collect())
+    assert other.count() == 3
+    names = [p.rsplit("/", 1)[1].rsplit("-", 5)[0] for p in written(spark)]
+    assert not {"quality", "near_duplicates", "decontamination", "groups", "edges", "digests"} & set(names)
+    again = sorted((r.shard, r.slot, r.doc_id) for r in corpus_pipeline.run(spark, SF).collect())
+    assert rows == again and rows
+    release(spark)
+    assert written(spark) == []
