@@ -76,10 +76,11 @@ def features_in_fold(k: int, robust: bool = False) -> list:
     return [scale, PCA(k=k, inputCol="scaled", outputCol="pca")]
 
 
-def knn_classify(train: DataFrame, test: DataFrame, key: str, vector: str, label: str, k: int = 5, weights: str = "uniform") -> DataFrame:
-    """H3: vote of the k most similar training rows (cosine), each one vote or its similarity."""
-    near = nearest(test, train, key, vector, k).join(train.select(F.col(key).alias("other"), F.col(label).alias("vote")), "other")
-    w = F.lit(1.0) if weights == "uniform" else F.greatest(F.col("sim"), F.lit(0.0))
+def knn_classify(train: DataFrame, test: DataFrame, key: str, vector: str, label: str, k: int = 5, weights: str = "uniform", metric: str = "cosine") -> DataFrame:
+    """H3: vote of the k nearest training rows (cosine, l1 or l2), each one vote (uniform), its ``similarity`` (cosine) or one over its ``distance``."""
+    near = nearest(test, train, key, vector, k, metric).join(train.select(F.col(key).alias("other"), F.col(label).alias("vote")), "other")
+    far = (1 if metric == "cosine" else 0) - F.col("sim")
+    w = {"uniform": F.lit(1.0), "similarity": F.greatest(F.col("sim"), F.lit(0.0)), "distance": 1 / F.greatest(far, F.lit(1e-9))}[weights]
     votes = near.groupBy("id", "vote").agg(F.sum(w).alias("votes"))
     best = F.row_number().over(W.partitionBy("id").orderBy(F.desc("votes"), "vote"))
     return votes.withColumn("r", best).filter("r = 1").select(F.col("id").alias(key), F.col("vote").alias("prediction"))

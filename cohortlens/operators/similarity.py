@@ -52,6 +52,18 @@ def products(x: pd.DataFrame, y: pd.DataFrame) -> np.ndarray:
     return np.stack(x["v"].to_numpy()) @ np.stack(y["v"].to_numpy()).T
 
 
+def closeness(x: pd.DataFrame, y: pd.DataFrame, metric: str) -> np.ndarray:
+    """Cosine of unit vectors, or the negative Manhattan (``l1``) or Euclidean (``l2``) distance."""
+    if metric == "cosine":
+        return products(x, y)
+    a, b = np.stack(x["v"].to_numpy()), np.stack(y["v"].to_numpy())
+    far = np.zeros((len(a), len(b)))
+    for i in range(a.shape[1]):
+        d = a[:, i, None].astype(np.float64) - b[:, i]
+        far += np.abs(d) if metric == "l1" else d * d
+    return -far if metric == "l1" else -np.sqrt(far)
+
+
 def similar_pairs(df: DataFrame, key: str, vector: str, least: float) -> DataFrame:
     """C11: a, b, sim for pairs a < b with cosine >= ``least``; only those leave a task."""
 
@@ -67,19 +79,25 @@ def similar_pairs(df: DataFrame, key: str, vector: str, least: float) -> DataFra
     return pair_blocks(d, d, key, vector, pairs, "a long, b long, sim double", half=True)
 
 
-def nearest(left: DataFrame, right: DataFrame, key: str, vector: str, k: int = 1) -> DataFrame:
-    """For each left row its k most similar right rows (not itself): id, other, sim, rank. A task emits k rows for each left row."""
+def nearest(left: DataFrame, right: DataFrame, key: str, vector: str, k: int = 1, metric: str = "cosine") -> DataFrame:
+    """For each left row its k most similar right rows (not itself): id, other, sim, rank. A task emits k rows for each left row.
+
+    ``metric``: cosine, or l1 or l2, of which ``sim`` is the negative distance.
+    """
+    if metric not in ("cosine", "l1", "l2"):
+        raise ValueError(f"no metric is called {metric}")
 
     def best(x, y):
         y = y.sort_values("id")  # of equal similarities the smaller id is kept
-        s, a, b = products(x, y), x["id"].to_numpy(), y["id"].to_numpy()
-        s[a[:, None] == b[None, :]] = -2
+        s, a, b = closeness(x, y, metric), x["id"].to_numpy(), y["id"].to_numpy()
+        s[a[:, None] == b[None, :]] = -np.inf
         at = np.argsort(-s, axis=1, kind="stable")[:, :k]
         m = at.shape[1]
         out = pd.DataFrame({"id": np.repeat(a, m), "other": b[at].ravel(), "sim": np.take_along_axis(s, at, 1).ravel()})
-        return out[out["sim"] > -2]
+        return out[out["sim"] > -np.inf]
 
-    found = pair_blocks(normalised(left, vector), normalised(right, vector), key, vector, best, "id long, other long, sim double")
+    sides = (normalised(d, vector) if metric == "cosine" else d for d in (left, right))
+    found = pair_blocks(*sides, key, vector, best, "id long, other long, sim double")
     return found.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy(F.desc("sim"), "other"))).filter(F.col("rank") <= k)
 
 

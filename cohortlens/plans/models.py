@@ -63,10 +63,24 @@ model_query("h7_perceptron", "perceptron", layers=[64, 16, 10])
 model_query("h8_boosting", "boosting", two=True, maxIter=5)
 
 
-@query("h3_knn", f"WITH {FOLDS}, u AS (SELECT *, sqrt(list_inner_product(v, v)) AS norm FROM (SELECT *, embedding::DOUBLE[] AS v FROM e)), s AS (SELECT t.vec_id, r.label, row_number() OVER (PARTITION BY t.vec_id ORDER BY list_inner_product(t.v, r.v) / (t.norm * r.norm) DESC, r.vec_id) AS k FROM u t JOIN u r ON t.fold = 4 AND r.fold <> 4), n AS (SELECT vec_id, label, row_number() OVER (PARTITION BY vec_id ORDER BY count(*) DESC, label) AS r FROM s WHERE k <= 5 GROUP BY 1, 2) SELECT vec_id, label::INT AS prediction FROM n WHERE r = 1")
-def h3(spark, d):
-    train, test = halves(spark, d)
-    return ml.knn_classify(train, test, "vec_id", "embedding", "label").select("vec_id", F.col("prediction").cast("int").alias("prediction"))
+def knn_sql(distance: str, vote: str = "count(*)") -> str:
+    return f"""WITH {FOLDS}, u AS (SELECT *, sqrt(list_inner_product(v, v)) AS norm FROM (SELECT *, embedding::DOUBLE[] AS v FROM e)),
+    d AS (SELECT t.vec_id, r.vec_id AS other, r.label, {distance} AS far FROM u t JOIN u r ON t.fold = 4 AND r.fold <> 4),
+    s AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY far, other) AS k FROM d),
+    n AS (SELECT vec_id, label, row_number() OVER (PARTITION BY vec_id ORDER BY {vote} DESC, label) AS r FROM s WHERE k <= 5 GROUP BY 1, 2)
+    SELECT vec_id, label::INT AS prediction FROM n WHERE r = 1"""
+
+
+def knn_query(name, sql, **options):
+    @query(name, sql)
+    def run(spark, d):
+        train, test = halves(spark, d)
+        return ml.knn_classify(train, test, "vec_id", "embedding", "label", **options).select("vec_id", F.col("prediction").cast("int").alias("prediction"))
+
+
+knn_query("h3_knn", knn_sql("-list_inner_product(t.v, r.v) / (t.norm * r.norm)"))
+knn_query("h3_knn_l1", knn_sql("list_sum(list_transform(range(1, len(t.v) + 1), lambda i: abs(t.v[i] - r.v[i])))"), metric="l1")
+knn_query("h3_knn_l2", knn_sql("list_distance(t.v, r.v)", "sum(1 / greatest(far, 1e-9))"), metric="l2", weights="distance")
 
 
 @query("h9_ridge")

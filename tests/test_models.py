@@ -118,6 +118,19 @@ def test_knn(two, df, weights):
     assert (predicted(got) == np.array(want)).mean() == 1.0
 
 
+@pytest.mark.parametrize(("metric", "order"), [("l1", 1), ("l2", 2)])
+def test_knn_by_distance(two, df, metric, order):
+    x, y = two
+    fit, rest = np.arange(len(x)) % 3 > 0, np.arange(len(x)) % 3 == 0
+    want = []
+    for i in np.flatnonzero(rest):
+        far = np.linalg.norm(x[fit] - x[i], ord=order, axis=1)
+        top = np.lexsort((np.flatnonzero(fit), far))[:5]
+        want.append(np.argmax([(1 / far[top][y[fit][top] == c]).sum() for c in (0, 1)]))
+    got = ml.knn_classify(df.filter("id % 3 > 0"), df.filter("id % 3 = 0"), "id", "v", "label", weights="distance", metric=metric)
+    assert (predicted(got) == np.array(want)).mean() == 1.0
+
+
 def test_equal_neighbours_are_taken_by_id(spark):
     d = table(spark, [[1.0, 0.0]] * 40 + [[1.0, 0.1]] * 3, [0] * 43)
     got = ml.nearest(d.filter("id >= 40"), d.filter("id < 40"), "id", "v", 3)
