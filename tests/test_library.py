@@ -156,6 +156,31 @@ def test_planted_assignment(spark):
     assert sum(cost[i, j] for i, j in enumerate(similarity.assign(cost))) == pytest.approx(best)
 
 
+def test_assignment_query_by_label_and_range(spark, monkeypatch, tmp_path):
+    from itertools import permutations
+
+    from cohortlens.plans import relate as plan
+
+    monkeypatch.setattr(plan, "NEAR", 8)
+    g = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in g.normal(size=6)], None if i == 5 else i // 3 % 2) for i in range(40)]
+    frame(spark, rows, "vec_id long, embedding array<double>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = plan.c14_assign(spark, str(tmp_path)).collect()
+    v = {i: np.array(e) / np.linalg.norm(e) for i, e, _ in rows}
+    blocks = {}
+    for i, _, label in rows:
+        if label is not None:
+            blocks.setdefault(f"{label}|{i // 8}", ([], []))[i % 2].append(i)
+    assert len({r.a for r in got}) == len({r.b for r in got}) == len(got)
+    for name, (even, odd) in blocks.items():
+        here = [r for r in got if r.block == name]
+        few, many = sorted((even, odd), key=len)
+        best = max((sum(v[x] @ v[y] for x, y in zip(few, p, strict=True)) for p in permutations(many, len(few))), default=0)
+        assert len(here) == len(few)
+        assert all(r.a in even and r.b in odd for r in here)
+        assert sum(r.score for r in here) == pytest.approx(best)
+
+
 def test_mutual_nearest_across_blocks(spark, monkeypatch):
     monkeypatch.setattr(similarity, "BLOCK", 7)
     g = np.random.default_rng(4)
