@@ -260,5 +260,5 @@ def op12(spark, docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
         import public_tokenizers
 
         tokenizer = public_tokenizers.path("byte_bpe_50k.json")
-    pieces = tokenised(docs, tokenizer).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    pieces = stored(tokenised(docs, tokenizer).withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "tokenised")
     return placed(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
