@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def once(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn(value)`` with the value computed once, not again for each element of a lambda in it."""
+    return F.transform(F.array(value), fn)[0]
+
+
 def parse_subject(name: Column, per_class: Column) -> Column:
     """``nameN`` -> (N mod P, N div P), ``a (b)`` -> (b - 1, a), a bare number a -> (0, a); else NULL. A struct (subject, pos)."""
     pair = F.regexp_extract(name, r"^([0-9]+) \(([0-9]+)\)$", 1), F.regexp_extract(name, r"^([0-9]+) \(([0-9]+)\)$", 2)
@@ -43,12 +48,12 @@ def total(p: Column) -> Column:
 
 def scaled(p: Column) -> Column:
     """Values divided by their sum."""
-    return F.transform(p, lambda x: x / total(p))
+    return once(total(p), lambda t: F.transform(p, lambda x: x / t))
 
 
 def softmax(x: Column, temperature: float = 1.0) -> Column:
     """exp(x / T), scaled to sum 1 (shifted by the maximum, so that nothing overflows)."""
-    return scaled(F.transform(x, lambda v: F.exp((v - F.array_max(x)) / temperature)))
+    return scaled(once(F.array_max(x), lambda m: F.transform(x, lambda v: F.exp((v - m) / temperature))))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -58,14 +63,13 @@ def dot(a: Column, b: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """The vector over its length; a zero vector stays zero."""
-    n = F.sqrt(dot(a, a))
-    return F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(0.0))
+    return once(F.sqrt(dot(a, a)), lambda n: F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(0.0)))
 
 
 def centred(a: Column) -> Column:
     """Without its mean."""
     mean = F.aggregate(a, F.lit(0.0), lambda s, v: s + v.cast("double")) / F.size(a)
-    return F.transform(a, lambda x: x.cast("double") - mean)
+    return once(mean, lambda m: F.transform(a, lambda x: x.cast("double") - m))
 
 
 def class_map(classes: Sequence[str], p: Column) -> Column:

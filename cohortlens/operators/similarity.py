@@ -1,7 +1,8 @@
-"""Similarity of vectors: thresholds, best matches and assignments, by blocks.
+"""Similarity of vectors: thresholds, best matches and assignments.
 
-Vectors are normalised once. A join sends each row of one side to one part and each row of the other side to every part,
-both in blocks, and a task multiplies two blocks of bounded size; only pairs that count leave it.
+Rows meet in the cells of a metric index (``metric_index``), by blocks of bounded size, and only where bounds on their
+distance leave a match possible. Only pairs that count leave a task. Similarities count to 12 digits; of equal ones the
+smaller id is first. Rows without a vector are left out; ids are whole numbers, each once.
 """
 
 from __future__ import annotations
@@ -10,120 +11,118 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import dot, unit
-
-#: Rows of a block: two blocks of 64-dimensional doubles and their product take about 20 MB.
-BLOCK = 1024
-
-
-def normalised(df: DataFrame, vector: str) -> DataFrame:
-    return df.withColumn(vector, unit(F.col(vector)))
-
-
-def blocks(df: DataFrame, key: str, name: str) -> tuple[DataFrame, int]:
-    n = max(1, math.ceil(df.count() / BLOCK))
-    return df.withColumn(name, F.pmod(F.xxhash64(key), F.lit(n)).cast("int")), n
-
-
-def pair_blocks(left: DataFrame, right: DataFrame, key: str, vector: str, fn, schema: str, by: Sequence[str] = (), keep: Sequence[str] = (), half: bool = False) -> DataFrame:
-    """``fn(left frame, right frame)`` for each pair of a left and a right block (of one value of ``by``); both have id, v and ``keep``.
-
-    ``half``: the two sides are one table, and each pair of blocks meets once (i <= j).
-    """
-    pick = lambda d: d.select(F.col(key).alias("id"), F.col(vector).alias("v"), *by, *keep)
-    a, n = blocks(pick(left), "id", "i")
-    b, m = blocks(pick(right), "id", "j")
-    a = a.withColumn("j", F.explode(F.sequence(F.col("i") if half else F.lit(0), F.lit(m - 1))))
-    b = b.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("j") if half else F.lit(n - 1))))
-    empty = pd.DataFrame({c.split(" ")[0]: [] for c in schema.split(", ")})
-
-    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        return fn(x, y) if len(x) and len(y) else empty
-
-    return a.groupBy("i", "j", *by).cogroup(b.groupBy("i", "j", *by)).applyInPandas(run, schema)
-
-
-def products(x: pd.DataFrame, y: pd.DataFrame) -> np.ndarray:
-    return np.stack(x["v"].to_numpy()) @ np.stack(y["v"].to_numpy()).T
-
-
-def closeness(x: pd.DataFrame, y: pd.DataFrame, metric: str) -> np.ndarray:
-    """Cosine of unit vectors, or the negative Manhattan (``l1``) or Euclidean (``l2``) distance."""
-    if metric == "cosine":
-        return products(x, y)
-    a, b = np.stack(x["v"].to_numpy()), np.stack(y["v"].to_numpy())
-    far = np.zeros((len(a), len(b)))
-    for i in range(a.shape[1]):
-        d = a[:, i, None].astype(np.float64) - b[:, i]
-        far += np.abs(d) if metric == "l1" else d * d
-    return -far if metric == "l1" else -np.sqrt(far)
+from . import metric_index as M
+from .scratch import stored
 
 
 def similar_pairs(df: DataFrame, key: str, vector: str, least: float) -> DataFrame:
-    """C11: a, b, sim for pairs a < b with cosine >= ``least``; only those leave a task."""
-
-    def pairs(x, y):
-        s, a, b = products(x, y), x["id"].to_numpy(), y["id"].to_numpy()
-        same = x["i"].iloc[0] == x["j"].iloc[0]
+    """C11: a, b, sim for pairs a < b with cosine >= ``least``. A row visits its own cell and later ones, so a pair meets once."""
+    index, schema = M.build(df, key, vector), "a long, b long, sim double"
+    if not len(index.count):
+        return df.sparkSession.createDataFrame([], schema)
+    rows = index.rows.select("id", "v", F.col("cell").alias("home"))
+    come = stored(M.visits(rows, index, math.acos(max(-1.0, min(1.0, least))), after="home"), "visits")
+
+    def pairs(x: pa.Table, y: pa.Table) -> pa.Table:
+        s, a, b = M.closeness(M.matrix(x["v"]), M.matrix(y["v"]), "cosine"), x["id"].to_numpy(), y["id"].to_numpy()
         i, j = np.nonzero(s >= least - 1e-12)
-        use = a[i] < b[j] if same else a[i] != b[j]
+        use = np.where(x["home"].to_numpy()[i] == x["cell"][0].as_py(), a[i] < b[j], a[i] != b[j])
         i, j = i[use], j[use]
-        return pd.DataFrame({"a": np.minimum(a[i], b[j]), "b": np.maximum(a[i], b[j]), "sim": s[i, j]})
+        return pa.table({"a": np.minimum(a[i], b[j]), "b": np.maximum(a[i], b[j]), "sim": s[i, j]})
 
-    d = normalised(df, vector)
-    return pair_blocks(d, d, key, vector, pairs, "a long, b long, sim double", half=True)
+    return M.meet(come, index, pairs, schema)
 
 
-def nearest(left: DataFrame, right: DataFrame, key: str, vector: str, k: int = 1, metric: str = "cosine") -> DataFrame:
-    """For each left row its k most similar right rows (not itself): id, other, sim, rank. A task emits k rows for each left row.
+def reach_of(close: Column, metric: str) -> Column:
+    """The distance that a similarity stands for."""
+    return F.acos(F.greatest(F.least(close, F.lit(1.0)), F.lit(-1.0))) if metric == "cosine" else -close
 
-    ``metric``: cosine, or l1 or l2, of which ``sim`` is the negative distance.
-    """
-    if metric not in ("cosine", "l1", "l2"):
-        raise ValueError(f"no metric is called {metric}")
 
-    def best(x, y):
-        y = y.sort_values("id")  # of equal similarities the smaller id is kept
-        s, a, b = closeness(x, y, metric), x["id"].to_numpy(), y["id"].to_numpy()
-        s[a[:, None] == b[None, :]] = -np.inf
+def best_columns(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each row where its k largest values are, largest first, ties by place; and the values."""
+    if k > 8:
         at = np.argsort(-s, axis=1, kind="stable")[:, :k]
-        m = at.shape[1]
-        out = pd.DataFrame({"id": np.repeat(a, m), "other": b[at].ravel(), "sim": np.take_along_axis(s, at, 1).ravel()})
-        return out[out["sim"] > -np.inf]
+        return at, np.take_along_axis(s, at, 1)
+    s, rows, at, top = s.copy(), np.arange(len(s)), [], []
+    for _ in range(min(k, s.shape[1])):
+        at.append(s.argmax(1))
+        top.append(s[rows, at[-1]])
+        s[rows, at[-1]] = -np.inf
+    return np.stack(at, axis=1), np.stack(top, axis=1)
 
-    sides = (normalised(d, vector) if metric == "cosine" else d for d in (left, right))
-    found = pair_blocks(*sides, key, vector, best, "id long, other long, sim double")
-    return found.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy(F.desc("sim"), "other"))).filter(F.col("rank") <= k)
 
+def nearest(left: DataFrame, right: DataFrame, key: str, vector: str, k: int = 1, metric: str = "cosine", by: Sequence[str] = (), itself: bool = False) -> DataFrame:
+    """For each left row its k most similar right rows (of equal ``by``; not itself): id, other, sim, rank.
 
-def group_match(left: DataFrame, right: DataFrame, key: str, vector: str, klass: str, group: str) -> DataFrame:
+    ``metric``: cosine, or l1 or l2, of which ``sim`` is the negative distance. The cells around a row tell how near its k-th
+    match is at least; only cells that can hold nearer rows are opened after that.
+    """
+    index, schema = M.build(right, key, vector, metric, by), "id long, other long, sim double"
+    if not len(index.count):
+        return left.sparkSession.createDataFrame([], schema + ", rank int")
+
+    def best(x: pa.Table, y: pa.Table) -> pa.Table:
+        s, a, b = M.closeness(M.matrix(x["v"]), M.matrix(y["v"]), metric), x["id"].to_numpy(), y["id"].to_numpy()
+        if not itself:
+            s[a[:, None] == b[None, :]] = -np.inf
+        if "reach" in x.column_names:
+            s[M.distance(s, metric) > x["reach"].fill_null(np.inf).to_numpy()[:, None] + M.SLACK] = -np.inf
+        at, found = best_columns(s, k)
+        r, c = np.nonzero(found > -np.inf)
+        return pa.table({"id": a[r], "other": b[at[r, c]], "sim": found[r, c]})
+
+    order = W.partitionBy("id").orderBy(F.desc("sim"), "other")
+    ranked = lambda d: d.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    around = stored(M.visits(M.plain(left, key, vector, metric, by), index, least=k + 1), "around")
+    first = stored(ranked(M.meet(around, index, best, schema, by)), "first")
+    reach = first.filter(F.col("rank") == k).select("id", reach_of(F.col("sim"), metric).alias("reach"))
+    again = stored(M.visits(around.withColumnRenamed("cells", "seen").join(reach, "id", "left"), index, "reach", but="seen"), "again")
+    return ranked(first.drop("rank").unionByName(M.meet(again, index, best, schema, by)))
+
+
+def group_match(left: DataFrame, right: DataFrame, key: str, vector: str, klass: str, group: str, around: int = 256) -> DataFrame:
     """For each left row the best and second-best group of its class (by the group's most similar row, not itself), the margin, and the row.
 
-    A task emits one row for each left row and group of a block.
+    The second-best group of the cells around a row (``around`` rows at least) tells which other cells can matter.
     """
-
-    def best(x, y):
-        s = products(x, y)
-        s[x["id"].to_numpy()[:, None] == y["id"].to_numpy()[None, :]] = -2
-        groups, at = np.unique(y["grp"].to_numpy(), return_inverse=True)
-        out = []
-        for g, name in enumerate(groups):
-            cols = np.flatnonzero(at == g)
-            top = s[:, cols].argmax(1)
-            out.append(pd.DataFrame({"id": x["id"].to_numpy(), "grp": name, "nearest": y["id"].to_numpy()[cols[top]], "sim": s[np.arange(len(x)), cols[top]]}))
-        return pd.concat(out)
-
-    a, b = (normalised(d, vector).select(key, vector, F.col(klass).alias("klass"), g.alias("grp")) for d, g in ((left, F.lit(None).cast("long")), (right, F.col(group))))
-    kind = dict(b.dtypes)["grp"]
-    found = pair_blocks(a, b, key, vector, best, f"id long, grp {kind}, nearest long, sim double", by=["klass"], keep=["grp"]).filter("sim > -2")
-    g = found.groupBy("id", "grp").agg(F.max(F.struct("sim", (-F.col("nearest")).alias("less"))).alias("m")).select("id", "grp", F.col("m.sim").alias("sim"), (-F.col("m.less")).alias("nearest"))
-    w = W.partitionBy("id").orderBy(F.desc("sim"), "grp")
-    return g.withColumn("r", F.row_number().over(w)).withColumn("second", F.lead("sim").over(w)).filter("r = 1").select("id", "grp", "sim", (F.col("sim") - F.coalesce("second", F.lit(0.0))).alias("margin"), "nearest")
+    a, b = (d.select(key, vector, F.col(klass).alias("klass"), g.alias("grp")).filter("klass is not null") for d, g in ((left, F.lit(None).cast("long")), (right, F.col(group))))
+    index = M.build(b, key, vector, "cosine", ["klass", "grp"])
+    schema = f"id long, grp {dict(b.dtypes)['grp']}, nearest long, sim double"
+
+    def best(x: pa.Table, y: pa.Table) -> pa.Table:
+        s, own, ids = M.closeness(M.matrix(x["v"]), M.matrix(y["v"]), "cosine"), x["id"].to_numpy(), y["id"].to_numpy()
+        s[own[:, None] == ids[None, :]] = -np.inf
+        if "reach" in x.column_names:
+            s[M.distance(s, "cosine") > x["reach"].fill_null(np.inf).to_numpy()[:, None] + M.SLACK] = -np.inf
+        code = y["grp"].combine_chunks().dictionary_encode()
+        groups, out = code.indices.to_numpy(zero_copy_only=False), []
+        for g in range(len(code.dictionary)):
+            columns = np.flatnonzero(groups == g)
+            top = s[:, columns].argmax(1)
+            sim = s[np.arange(len(own)), columns[top]]
+            r = np.flatnonzero(sim > -np.inf)
+            out.append(pa.table({"id": own[r], "grp": code.dictionary.take(pa.array(np.full(len(r), g))), "nearest": ids[columns[top[r]]], "sim": sim[r]}))
+        return pa.concat_tables(out) if out else pa.table({"id": [], "grp": code.dictionary, "nearest": [], "sim": []})
+
+    def by_group(found: DataFrame) -> DataFrame:
+        g = found.groupBy("id", "grp").agg(F.max(F.struct("sim", (-F.col("nearest")).alias("less"))).alias("m"))
+        return g.select("id", "grp", F.col("m.sim").alias("sim"), (-F.col("m.less")).alias("nearest"))
+
+    order = W.partitionBy("id").orderBy(F.desc("sim"), "grp")
+    if not len(index.count):
+        return left.sparkSession.createDataFrame([], f"id long, grp {dict(b.dtypes)['grp']}, sim double, margin double, nearest long")
+    near = stored(M.visits(M.plain(a, key, vector, "cosine", ["klass"]), index, least=around), "around")
+    first = stored(by_group(M.meet(near, index, best, schema, ["klass"])), "first")
+    reach = first.withColumn("r", F.row_number().over(order)).filter("r = 2").select("id", reach_of(F.col("sim"), "cosine").alias("reach"))
+    again = stored(M.visits(near.withColumnRenamed("cells", "seen").join(reach, "id", "left"), index, "reach", but="seen"), "again")
+    g = by_group(first.select("id", "grp", "nearest", "sim").unionByName(M.meet(again, index, best, schema, ["klass"])))
+    return g.withColumn("r", F.row_number().over(order)).withColumn("second", F.lead("sim").over(order)).filter("r = 1").select("id", "grp", "sim", (F.col("sim") - F.coalesce("second", F.lit(0.0))).alias("margin"), "nearest")
 
 
 def mutual_best(scores: DataFrame, a: str = "a", b: str = "b", score: str = "score") -> DataFrame:
@@ -134,68 +133,11 @@ def mutual_best(scores: DataFrame, a: str = "a", b: str = "b", score: str = "sco
 
 
 def mutual_nearest(left: DataFrame, right: DataFrame, key: str, vector: str, klass: str) -> DataFrame:
-    """C14 on vectors: a, b, score of the left and right rows of one class that are each other's most similar; of equal ones (to 12 digits) the smallest id.
-
-    A task emits one row for each row of its two blocks.
-    """
-
-    def best(x, y):
-        x, y = x.sort_values("id"), y.sort_values("id")
-        s, a, b = products(x, y).round(12), x["id"].to_numpy(), y["id"].to_numpy()
-        i, j = s.argmax(0), s.argmax(1)
-        sides = [pd.DataFrame({"of_a": True, "a": a, "b": b[j], "score": s[np.arange(len(a)), j]}), pd.DataFrame({"of_a": False, "a": a[i], "b": b, "score": s[i, np.arange(len(b))]})]
-        return pd.concat(sides)
-
-    l, r = (normalised(d, vector).select(key, vector, F.col(klass).alias("klass")).filter("klass is not null") for d in (left, right))  # noqa: E741
-    found = pair_blocks(l, r, key, vector, best, "of_a boolean, a long, b long, score double", by=["klass"])
-    one, other = F.when(F.col("of_a"), F.col("a")).otherwise(F.col("b")), F.when(F.col("of_a"), F.col("b")).otherwise(F.col("a"))
-    top = found.groupBy("of_a", one.alias("one")).agg(F.max(F.struct("score", (-other).alias("less"))).alias("m"))
-    a, b = F.when(F.col("of_a"), F.col("one")).otherwise(-F.col("m.less")), F.when(F.col("of_a"), -F.col("m.less")).otherwise(F.col("one"))
-    return top.groupBy(a.alias("a"), b.alias("b")).agg(F.max("m.score").alias("score"), F.count(F.lit(1)).alias("n")).filter("n = 2").drop("n")
-
-
-def assign(cost: np.ndarray) -> np.ndarray:
-    """Column of each row in the assignment of least cost (shortest augmenting paths with potentials); rows <= columns."""
-    n, m = cost.shape
-    u, v, match = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, int)
-    for i in range(1, n + 1):
-        match[0], j0, best, way, used = i, 0, np.full(m + 1, np.inf), np.zeros(m + 1, int), np.zeros(m + 1, bool)
-        while True:
-            used[j0] = True
-            i0 = match[j0]
-            free = ~used[1:]
-            gap = cost[i0 - 1] - u[i0] - v[1:]
-            better = free & (gap < best[1:])
-            best[1:][better], way[1:][better] = gap[better], j0
-            j1 = 1 + int(np.argmin(np.where(free, best[1:], np.inf)))
-            step = best[j1]
-            u[match[used]] += step
-            v[used] -= step
-            best[~used] -= step
-            j0 = j1
-            if match[j0] == 0:
-                break
-        while j0:
-            match[j0], j0 = match[way[j0]], way[j0]
-    out = np.full(n, -1)
-    for j in range(1, m + 1):
-        if match[j]:
-            out[match[j] - 1] = j - 1
-    return out
-
-
-def one_to_one(scores: DataFrame, block: str, a: str = "a", b: str = "b", score: str = "score") -> DataFrame:
-    """C14: within each (small) block the assignment of a to b with the largest sum of scores; missing pairs count -1."""
-    kinds = dict(scores.dtypes)
-
-    def solve(x: pd.DataFrame) -> pd.DataFrame:
-        m = x.pivot_table(index=a, columns=b, values=score, aggfunc="max").fillna(-1.0)
-        flip = m.shape[0] > m.shape[1]
-        got = assign(-(m.T if flip else m).to_numpy())
-        rows = [(m.index[c], m.columns[r]) if flip else (m.index[r], m.columns[c]) for r, c in enumerate(got)]
-        return pd.DataFrame({block: x[block].iloc[0], a: [r[0] for r in rows], b: [r[1] for r in rows], score: [m.loc[r[0], r[1]] for r in rows]})
-
-    return scores.groupBy(block).applyInPandas(solve, f"{block} {kinds[block]}, {a} {kinds[a]}, {b} {kinds[b]}, {score} double")
+    """C14 on vectors: a, b, score of the left and right rows of one class that are each other's most similar; of equal ones the smallest id."""
+    l, r = (d.select(key, vector, F.col(klass).alias("klass")).filter("klass is not null") for d in (left, right))  # noqa: E741
+    there = nearest(l, r, key, vector, by=["klass"], itself=True).select(F.col("id").alias("a"), F.col("other").alias("b"), F.col("sim").alias("score"))
+    back = nearest(r, l, key, vector, by=["klass"], itself=True).select(F.col("id").alias("b"), F.col("other").alias("a"))
+    return there.join(back, ["a", "b"]).select("a", "b", "score")
 
 
 def neighbours(df: DataFrame, group: str, order: str, vector: str) -> DataFrame:

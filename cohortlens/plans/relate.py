@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import relate as R
 from ..operators import split as P
-from ..operators import graph, similarity
+from ..operators import auction, graph, similarity
 from ..registry import query
 from ..sources.tables import table
 from .profile import rounded
@@ -140,22 +140,11 @@ def c14(spark, d):
     return rounded(similarity.mutual_nearest(e.filter("vec_id % 2 = 0"), e.filter("vec_id % 2 = 1"), "vec_id", "embedding", "label"), "score")
 
 
-#: Rows of a block for assignments: ids in so wide a range, of one label.
-NEAR = 128
-
-
-def pair_scores(spark, d):
-    """Scores of even and odd vectors of one label and one range of ids: at most NEAR / 2 partners for each row, however large a label is."""
-    e = table(spark, d, "embeddings").filter("label is not null")
-    e = e.select("vec_id", F.concat_ws("|", F.col("label").cast("string"), F.floor(F.col("vec_id") / NEAR).cast("string")).alias("block"), S.unit(F.col("embedding")).alias("v"))
-    a = e.filter("vec_id % 2 = 0").withColumnsRenamed({"vec_id": "a", "v": "va"})
-    b = e.filter("vec_id % 2 = 1").withColumnsRenamed({"vec_id": "b", "v": "vb"})
-    return a.join(b, "block").select("block", "a", "b", S.dot(F.col("va"), F.col("vb")).alias("score"))
-
-
 @query("c14_assignment")
 def c14_assign(spark, d):
-    return similarity.one_to_one(pair_scores(spark, d), "block")
+    e = table(spark, d, "embeddings")
+    got = auction.assigned(e.filter("vec_id % 2 = 0"), e.filter("vec_id % 2 = 1"), "vec_id", "embedding", "label")
+    return got.select(F.col("klass").cast("string").alias("block"), "a", "b", "score")
 
 
 @query("c15_successors", "SELECT a.l_orderkey, a.l_linenumber FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) a JOIN (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1")

@@ -141,74 +141,6 @@ def test_components_of_planted_groups(spark):
     assert {x.node: x.component for x in got.collect()} == want
 
 
-def test_planted_assignment(spark):
-    g = np.random.default_rng(1)
-    heads = g.normal(size=(12, 32))
-    order = g.permutation(12)
-    tails = heads[order] + g.normal(scale=0.3, size=(12, 32))
-    rows = [("k", i, j, float(heads[i] @ tails[j])) for i in range(12) for j in range(12)]
-    got = similarity.one_to_one(frame(spark, rows, "blk string, a int, b int, score double"), "blk").collect()
-    assert {(r.a, r.b) for r in got} == {(int(order[j]), j) for j in range(12)}
-    cost = g.random((5, 7))
-    from itertools import permutations
-
-    best = min(sum(cost[i, p[i]] for i in range(5)) for p in permutations(range(7), 5))
-    assert sum(cost[i, j] for i, j in enumerate(similarity.assign(cost))) == pytest.approx(best)
-
-
-def test_assignment_query_by_label_and_range(spark, monkeypatch, tmp_path):
-    from itertools import permutations
-
-    from cohortlens.plans import relate as plan
-
-    monkeypatch.setattr(plan, "NEAR", 8)
-    g = np.random.default_rng(2)
-    rows = [(i, [float(x) for x in g.normal(size=6)], None if i == 5 else i // 3 % 2) for i in range(40)]
-    frame(spark, rows, "vec_id long, embedding array<double>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
-    got = plan.c14_assign(spark, str(tmp_path)).collect()
-    v = {i: np.array(e) / np.linalg.norm(e) for i, e, _ in rows}
-    blocks = {}
-    for i, _, label in rows:
-        if label is not None:
-            blocks.setdefault(f"{label}|{i // 8}", ([], []))[i % 2].append(i)
-    assert len({r.a for r in got}) == len({r.b for r in got}) == len(got)
-    for name, (even, odd) in blocks.items():
-        here = [r for r in got if r.block == name]
-        few, many = sorted((even, odd), key=len)
-        best = max((sum(v[x] @ v[y] for x, y in zip(few, p, strict=True)) for p in permutations(many, len(few))), default=0)
-        assert len(here) == len(few)
-        assert all(r.a in even and r.b in odd for r in here)
-        assert sum(r.score for r in here) == pytest.approx(best)
-
-
-def test_mutual_nearest_across_blocks(spark, monkeypatch):
-    monkeypatch.setattr(similarity, "BLOCK", 7)
-    g = np.random.default_rng(4)
-    v = g.normal(size=(60, 6))
-    v[40:44] = v[10]
-    v /= np.linalg.norm(v, axis=1, keepdims=True)
-    df = frame(spark, [(i, i // 2 % 3, [float(x) for x in v[i]]) for i in range(60)], "id long, k int, v array<double>")
-    near = lambda i: min((j for j in range(60) if j % 2 != i % 2 and j // 2 % 3 == i // 2 % 3), key=lambda j: (-round(float(v[i] @ v[j]), 12), j))
-    got = similarity.mutual_nearest(df.filter("id % 2 = 0"), df.filter("id % 2 = 1"), "id", "v", "k")
-    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
-    assert sorted((r.a, r.b) for r in got.collect()) == [(i, near(i)) for i in range(0, 60, 2) if near(near(i)) == i]
-
-
-def test_similar_pairs_across_blocks(spark, monkeypatch):
-    monkeypatch.setattr(similarity, "BLOCK", 7)
-    g = np.random.default_rng(3)
-    v = g.normal(size=(40, 6))
-    v[5] = v[30] * 2
-    v[9] = 0
-    df = frame(spark, [(i, [float(x) for x in v[i]]) for i in range(40)], "id long, v array<double>")
-    u = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-    s = u @ u.T
-    assert {(r.a, r.b) for r in similarity.similar_pairs(df, "id", "v", 0.6).collect()} == {(i, j) for i in range(40) for j in range(i + 1, 40) if s[i, j] >= 0.6}
-    np.fill_diagonal(s, -2)
-    near = similarity.nearest(df, df, "id", "v", 2).filter("rank = 1 and id <> 9")
-    assert {r.id: r.other for r in near.collect()} == {i: int(np.argmax(s[i])) for i in range(40) if i != 9}
-
-
 def test_unit_split_of_small_classes(spark):
     units = [(f"M{i}", "M") for i in range(2)] + [(f"N{i}", "N") for i in range(100)] + [(f"V{i}", "V") for i in range(70)] + [("O0", "O")]
     df = frame(spark, units, "u string, c string")
