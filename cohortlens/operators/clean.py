@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .order import numbered
+from .order import numbered, running
 from .profile import aggregate_columns
+from .quantiles import fitted
+from .scratch import stored
 
 
 def drop_identifiers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -120,8 +122,8 @@ class FitParams:
 
     def fit_fills(self, train: DataFrame, numeric: Sequence[str], text: Sequence[str] = ()) -> FitParams:
         """Exact medians of numeric columns, modes of text columns (ties: the smallest)."""
-        row = train.agg(*[F.percentile(F.col(c).cast("double"), 0.5).alias(c) for c in numeric], *[F.mode(c, True).alias(c) for c in text]).first()
-        self.fills = {c: row[c] for c in [*numeric, *text]}
+        medians, modes = fitted(train, numeric, [0.5]), train.agg(*[F.mode(c, True).alias(c) for c in text]).first() if text else {}
+        self.fills = {c: medians.get(c, [None])[0] for c in numeric} | {c: modes[c] for c in text}
         return self
 
     def impute(self, df: DataFrame) -> DataFrame:
@@ -132,8 +134,8 @@ class FitParams:
         flags = {r.column_name for r in binary_columns(train, columns).collect() if r.kind == "binary"} if skip_binary else set()
         use = [c for c in columns if c not in flags]
         if method == "iqr":
-            row = train.agg(*[F.percentile(F.col(c).cast("double"), F.array(F.lit(0.25), F.lit(0.75))).alias(c) for c in use]).first()
-            self.bounds = {c: [row[c][0] - width * (row[c][1] - row[c][0]), row[c][1] + width * (row[c][1] - row[c][0])] for c in use if row[c]}
+            q = fitted(train, use, [0.25, 0.75])
+            self.bounds = {c: [q[c][0] - width * (q[c][1] - q[c][0]), q[c][1] + width * (q[c][1] - q[c][0])] for c in use if c in q}
         else:
             row = train.agg(*[F.struct(F.avg(c), F.stddev_pop(c)).alias(c) for c in use]).first()
             self.bounds = {c: [row[c][0] - width * row[c][1], row[c][0] + width * row[c][1]] for c in use if row[c][0] is not None}
@@ -151,8 +153,8 @@ class FitParams:
     def fit_scales(self, train: DataFrame, columns: Sequence[str], robust: bool = False) -> FitParams:
         """Mean and population deviation, or median and IQR."""
         if robust:
-            row = train.agg(*[F.percentile(F.col(c).cast("double"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(c) for c in columns]).first()
-            self.scales = {c: [row[c][1], row[c][2] - row[c][0] or 1.0] for c in columns if row[c]}
+            q = fitted(train, columns, [0.25, 0.5, 0.75])
+            self.scales = {c: [q[c][1], q[c][2] - q[c][0] or 1.0] for c in columns if c in q}
         else:
             row = train.agg(*[F.struct(F.avg(c), F.stddev_pop(c)).alias(c) for c in columns]).first()
             self.scales = {c: [row[c][0], row[c][1] or 1.0] for c in columns if row[c][0] is not None}
@@ -216,6 +218,48 @@ def mutual_information(df: DataFrame, features: Sequence[str], label: str, bins:
     return c.withColumn("i", F.col("n") / all_ * F.ln(F.col("n") * all_ / (by_bin * by_y))).groupBy("feature").agg(F.sum("i").alias("mi"))
 
 
+def digamma(n: Column) -> Column:
+    """Of numbers from 1 on: the series at n + 6, less the six steps to it."""
+    x = n + 6.0
+    steps = [1 / (n + float(i)) for i in range(6)]
+    return F.ln(x) - 1 / (2 * x) - 1 / (12 * x**2) + 1 / (120 * x**4) - 1 / (252 * x**6) + 1 / (240 * x**8) - sum(steps[1:], steps[0])
+
+
+#: Rows of a run of sorted values in which neighbours are looked for.
+RUN = 4096
+
+
+def neighbour_information(df: DataFrame, features: Sequence[str], label: str, key: str, k: int = 3) -> DataFrame:
+    """Feature, mi: mutual information of each feature with the class (nats) from nearest neighbours, at least 0.
+
+    A row's radius is the distance to its k-th neighbour of its own class (all others, if fewer); how many rows of any class are
+    strictly inside it (at no distance, if the radius is 0), against what the class alone would give, tells the information.
+    Rows with a NULL or NaN are left out of that feature, and so are classes with one row there. Ids are distinct. Values are
+    sorted in slices and cut into runs that overlap by k; ranks of the two ends of a radius come from one more sorted pass.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features]))
+    rows = df.filter(F.col(label).isNotNull()).select(F.col(key).alias("id"), F.col(label).alias("y"), each.alias("e")).select("id", "y", "e.*").filter("x is not null and not isnan(x)")
+    of_class = rows.groupBy("feature", "y").agg(F.count(F.lit(1)).alias("ny")).filter("ny > 1")
+    rows = stored(rows.join(of_class, ["feature", "y"]).withColumn("at", F.struct("x", "id")), "values")
+    placed = stored(running(rows.withColumn("one", F.lit(1).cast("long")), "at", ["one"], ["feature", "y"]).select("feature", "y", "id", "x", "ny", F.col("before_one").alias("place")), "places")
+    runs = F.explode(F.sequence(F.greatest(F.floor((F.col("place") - k) / RUN), F.lit(0)), F.floor((F.col("place") + k) / RUN)))
+    w = W.partitionBy("feature", "y", "run").orderBy("place")
+    sides = {f"l{j}": F.coalesce(F.col("x") - F.lag("x", j).over(w), F.lit(float("inf"))) for j in range(1, k + 1)} | {f"r{j}": F.coalesce(F.lead("x", j).over(w) - F.col("x"), F.lit(float("inf"))) for j in range(1, k + 1)}
+    near = placed.withColumn("run", runs).withColumns(sides).filter(F.floor(F.col("place") / RUN) == F.col("run"))
+    left, right = F.array(F.lit(0.0), *[F.col(f"l{j}") for j in range(1, k + 1)]), F.array(F.lit(0.0), *[F.col(f"r{j}") for j in range(1, k + 1)])
+    kth = F.least(F.lit(k), F.col("ny") - 1).cast("int")
+    radius = F.array_min(F.transform(F.sequence(F.lit(0), kth), lambda j: F.greatest(left[j], right[kth - j])))
+    near = near.select("feature", "id", "x", "ny", kth.alias("k"), radius.alias("r"))
+    # 1 is a value; what is asked stands before (0) or after (2) the values that it equals.
+    zero = F.col("r") == 0
+    marks = F.explode(F.array(F.struct(F.col("x").alias("v"), F.lit(1).alias("kind"), F.lit(0).alias("sign")), F.struct((F.col("x") - F.col("r")).alias("v"), F.when(zero, 0).otherwise(2).alias("kind"), F.lit(-1).alias("sign")), F.struct((F.col("x") + F.col("r")).alias("v"), F.when(zero, 2).otherwise(0).alias("kind"), F.lit(1).alias("sign"))))
+    marked = near.withColumn("m", marks).select("feature", "id", "ny", "k", "m.sign", (F.col("m.kind") == 1).cast("long").alias("value"), F.struct("m.v", "m.kind", "id", "m.sign").alias("at"))
+    counted = running(stored(marked, "marks"), "at", ["value"], ["feature"])
+    inside = counted.groupBy("feature", "id", "ny", "k").agg(F.sum(F.col("sign") * F.col("before_value")).alias("m"))
+    mi = digamma(F.count(F.lit(1)).cast("double")) + F.avg(digamma(F.col("k").cast("double"))) - F.avg(digamma(F.col("ny").cast("double"))) - F.avg(digamma(F.col("m").cast("double")))
+    return inside.groupBy("feature").agg(F.greatest(mi, F.lit(0.0)).alias("mi"))
+
+
 def risk_band(positive: Column, score: Column) -> Column:
     """Class and score to one of six labels."""
     band = F.when(score >= 0.8, "high").when(score >= 0.6, "moderate").otherwise("low")

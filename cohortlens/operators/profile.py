@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
+
 
 def rows_per_column(wide: DataFrame, columns: Sequence[str], fields: Sequence[str]) -> DataFrame:
     """Turn one row with fields ``<field>__<column>`` into rows (column_name, field, ...)."""
@@ -26,12 +28,11 @@ def describe(df: DataFrame, columns: Sequence[str], exact: bool = True) -> DataF
 
     ``exact=False`` takes quartiles from sketches, for tables whose columns have very many distinct values.
     """
-    three = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    quartiles = (lambda c: F.percentile(c.cast("double"), three)) if exact else (lambda c: F.percentile_approx(c.cast("double"), three))
-    x = aggregate_columns(
-        df, columns,
-        {"n": lambda c: F.count(F.lit(1)), "non_null": F.count, "mean": lambda c: F.avg(c.cast("double")), "std": lambda c: F.stddev_samp(c.cast("double")), "min": lambda c: F.min(c).cast("double"), "q": quartiles, "max": lambda c: F.max(c).cast("double")},
-    )
+    fields = {"n": lambda c: F.count(F.lit(1)), "non_null": F.count, "mean": lambda c: F.avg(c.cast("double")), "std": lambda c: F.stddev_samp(c.cast("double")), "min": lambda c: F.min(c).cast("double"), "max": lambda c: F.max(c).cast("double")}
+    if exact:
+        x = aggregate_columns(df, columns, fields).join(quantiles(df, columns, [0.25, 0.5, 0.75]), "column_name", "left")
+    else:
+        x = aggregate_columns(df, columns, fields | {"q": lambda c: F.percentile_approx(c.cast("double"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))})
     return x.select("column_name", "n", "non_null", "mean", "std", "min", *[F.col("q")[i].alias(f"q{p}") for i, p in enumerate((25, 50, 75))], "max")
 
 
@@ -131,8 +132,7 @@ def target_mean(df: DataFrame, by: str, target: str) -> DataFrame:
 
 def box_statistics(df: DataFrame, by: str, column: str) -> DataFrame:
     """Quartiles, whiskers (the last values within 1.5 IQR) and number of outliers for each group."""
-    q = F.percentile(F.col(column), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")
-    box = df.groupBy(by).agg(q).select(F.col(by).alias("__by"), F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+    box = quantiles(df, [column], [0.25, 0.5, 0.75], [by]).select(F.col(by).alias("__by"), F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     rows = df.select(by, F.col(column).alias("x")).join(box, F.col(by).eqNullSafe(F.col("__by")))
     inside = F.col("x").between(F.col("q1") - reach, F.col("q3") + reach)

@@ -155,6 +155,24 @@ def b18_mi(spark, d):
     return rounded(C.mutual_information(dims(spark, d, 64), [f"x{i}" for i in range(64)], "label"), "mi")
 
 
+def psi(n):
+    """SQL of the digamma function."""
+    x = f"({n} + 6.0)"
+    return f"(ln({x}) - 1 / (2 * {x}) - 1 / (12 * {x}**2) + 1 / (120 * {x}**4) - 1 / (252 * {x}**6) + 1 / (240 * {x}**8)" + "".join(f" - 1 / ({n} + {i}.0)" for i in range(6)) + ")"
+
+
+NEIGHBOURS = f"""WITH v AS (SELECT vec_id AS id, label AS y, 'x' || (unnest(range(0, 64)))::VARCHAR AS f, unnest(embedding)::DOUBLE AS x FROM embeddings),
+n AS (SELECT *, count(*) OVER (PARTITION BY f, y) AS ny FROM v), w AS (SELECT *, least(3, ny - 1) AS k FROM n WHERE ny > 1),
+r AS (SELECT a.f, a.id, a.x, a.ny, a.k, list_sort(list(abs(b.x - a.x)))[any_value(a.k)] AS r FROM w a JOIN w b ON a.f = b.f AND a.y = b.y AND a.id <> b.id GROUP BY ALL),
+m AS (SELECT r.f, r.id, any_value(ny) AS ny, any_value(k) AS k, count(*) FILTER (CASE WHEN r.r > 0 THEN w2.x > r.x - r.r AND w2.x < r.x + r.r ELSE w2.x = r.x END) AS m FROM r JOIN (SELECT f, x FROM w) w2 USING (f) GROUP BY r.f, r.id)
+SELECT f AS feature, round(greatest({psi('count(*)')} + avg({psi('k')}) - avg({psi('ny')}) - avg({psi('m')}), 0), 6) AS mi FROM m GROUP BY f"""
+
+
+@query("b18_neighbour_information", NEIGHBOURS)
+def b18_neighbours(spark, d):
+    return rounded(C.neighbour_information(dims(spark, d, 64), [f"x{i}" for i in range(64)], "label", "vec_id"), "mi")
+
+
 @query("b19_finite", "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber IN (3, 5) THEN NULL ELSE l_tax END AS l_tax FROM lineitem")
 def b19(spark, d):
     li = table(spark, d, "lineitem")
