@@ -253,6 +253,17 @@ def d37(spark, d):
     return rounded(x, "mean", "lo", "hi", "p", digits=9)
 
 
+@query("d36_bootstrap_split")
+def d36_split(spark, d):
+    return B.metric_interval(predictions(spark, d), "unit", "y", "pred", n_resamples=2000, how="split")
+
+
+@query("d37_paired_split")
+def d37_split(spark, d):
+    p = predictions(spark, d)
+    return B.paired_difference(p.select("unit", "y", "pred"), p.select("unit", "y", F.col("other").alias("pred")), "unit", "y", "pred", n_resamples=2000, how="split")
+
+
 @query("c16_paired_join", f"SELECT vec_id, pred, other, pred = y AND other <> y AS first_only FROM ({PRED})")
 def c16(spark, d):
     p = predictions(spark, d)

@@ -6,7 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import ml
+from ..operators import explain, ml
 from ..operators import split as P
 from ..registry import query
 from ..sources.tables import table
@@ -197,6 +197,12 @@ def h25_permutation(spark, d):
     return ml.permutation_importance(ml.classifier("naive_bayes").fit(train), test, range(64), "vec_id")
 
 
+@query("h25_tree_shapley")
+def h25_trees(spark, d):
+    train, test = halves(spark, d, two=True)
+    return explain.shapley_values(ml.classifier("boosting", maxIter=10).fit(train), test, "vec_id")
+
+
 @query("h26_batch_scoring")
 def h26(spark, d):
     train, test = halves(spark, d, two=True)
