@@ -27,25 +27,26 @@ _written: dict[str, list[str]] = {}
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share (``spark.checkpoint.dir``); unset, as in tests, a temporary one in local mode alone."""
+    """A new path in the folder that all executors share (``spark.checkpoint.dir``); unset, as in tests, a temporary one in local mode alone. ``release`` deletes it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = _own.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.gettempdir()}/cohortlens-{uuid.uuid4().hex}")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    _written.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def written(spark: SparkSession) -> list[str]:
-    """The tables of this session that ``stored`` wrote and ``release`` has not deleted, in the order of writing."""
+    """The tables and files of this session in the shared folder that ``release`` has not deleted, in the order of writing."""
     return list(_written.get(spark.sparkContext.applicationId, ()))
 
 

@@ -10,6 +10,7 @@ import zlib
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,8 +76,11 @@ def find(text: bytes, keywords) -> list[tuple[int, int, int]]:
 
 
 def in_code_points(text: bytes, spans: list[tuple[int, int, int]]) -> list[dict]:
-    chars = (lambda b: b) if text.isascii() else (lambda b: len(text[:b].decode("utf-8", "replace")))
-    return [{"kind": KINDS[k], "start": chars(s), "end": chars(e)} for s, k, e in spans]
+    if not text.isascii():
+        # Code points before each byte: bytes that don't continue one.
+        before = np.r_[0, np.cumsum(np.frombuffer(text, np.uint8) & 0xC0 != 0x80)]
+        spans = [(int(before[s]), k, int(before[e])) for s, k, e in spans]
+    return [{"kind": KINDS[k], "start": s, "end": e} for s, k, e in spans]
 
 
 def secrets(text: Column) -> Column:

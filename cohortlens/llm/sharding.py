@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from .common import scratch_path, stored, unused
 
-#: Offsets of the buckets are broadcast: 8 bytes each, so 8 MB at most. Beyond it buckets grow (100 MB each at 100 TB).
+#: Offsets of the buckets are broadcast: 8 bytes each, so 8 MB at most. Beyond it (4 TB) buckets grow, to 100 MB each at 100 TB.
 MOST_BUCKETS = 1 << 20
 
 
@@ -31,12 +31,12 @@ def fisher_yates(n: int, seed: list[int]) -> np.ndarray:
     return order
 
 
-def shuffle_into_shards(docs: DataFrame, n_shards: int, doc_id: str = "doc_id", text: str = "text", seed: int = 17, bucket_bytes: int = 16 << 20) -> DataFrame:
+def shuffle_into_shards(docs: DataFrame, n_shards: int, doc_id: str = "doc_id", text: str = "text", seed: int = 17, bucket_bytes: int = 4 << 20) -> DataFrame:
     """All rows and columns of ``docs`` with ``shard`` (int) and ``slot`` (long, gapless from 0 in each shard).
 
     A bucket is chosen by a seeded hash of the id. One that holds over twice ``bucket_bytes`` (an id that many rows repeat)
     is scattered again by a hash of the whole row. A bucket is sorted by the rows' hashes before Fisher-Yates, so seed and
-    rows alone decide: any partitioning, and any repeated task, gives the same shards. Only where copies of one whole row
+    rows alone decide: any partitioning or session, and any repeated task, gives the same shards. Only where copies of one whole row
     fill over a bucket they are dealt out by their place in the input, which is stored first. Null ids, null or empty texts
     and repeated rows are rows like any other. Columns of the input that are called shard or slot are replaced; others may
     have any name. No rows: no rows.
@@ -47,7 +47,7 @@ def shuffle_into_shards(docs: DataFrame, n_shards: int, doc_id: str = "doc_id",
     bucket, order = unused("bucket", rows), unused("order", rows)
     size = F.coalesce(F.octet_length(F.col(text)), F.lit(0)) + 8
     total = rows.agg(F.sum(size.cast("long")).alias("n")).first().n or 0
-    n = int(min(MOST_BUCKETS, max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // bucket_bytes))))
+    n = int(min(MOST_BUCKETS, max(1, -(-total // bucket_bytes))))
     limit, ids = 2 * max(bucket_bytes, total // n), n
     rows = rows.withColumn(bucket, F.pmod(F.xxhash64(F.lit(seed), F.col(doc_id)), F.lit(n)).cast("int")).withColumn(order, F.xxhash64(F.lit(seed), *whole))
     for by_row in (True, False):

@@ -1,7 +1,9 @@
 """Hard negatives, packing and the filter audit against brute force, on nulls, ties, repeats, long texts, clashing names and empty tables."""
 
 import math
+import os
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 from itertools import permutations
@@ -12,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cohortlens.llm import filter_audit, hard_negatives, packing
+from cohortlens.llm import common, filter_audit, hard_negatives, packing, secret_scan, sharding, warc
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -200,3 +202,37 @@ def test_copies_of_one_text_are_dealt_out(spark, monkeypatch):
     for x in filter_audit.masks(df, part_bytes=500).collect():
         n[x.part, x.mask & filter_audit.COPY > 0] += x.n
     assert n == {("en", True): 299 + 80, ("en", False): 41, ("de", False): 50}
+
+
+def test_shards_do_not_follow_from_the_session(spark):
+    """Other numbers of shuffle partitions: the same shards and slots."""
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    earlier, got = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in (3, 8, 13):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got += [{r.doc_id: (r.shard, r.slot) for r in sharding.shuffle_into_shards(rows, 5, bucket_bytes=b).collect()} for b in (4 << 20, 4096)]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", earlier)
+    assert got[0] == got[2] == got[4] and got[1] == got[3] == got[5]
+
+
+def test_files_of_shards_and_archives_are_released(spark):
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    pages = spark.createDataFrame([(1, "u", "h")], "page_id long, url string, html string")
+    before = len(common.written(spark))
+    assert sharding.op1(spark, docs).count() == warc.op4(spark, pages).count() == 1
+    mine = common.written(spark)[before:]
+    assert any("shards" in p for p in mine) and all(os.path.exists(p.removeprefix("file://")) for p in mine if "shards" in p)
+    common.release(spark, mine)
+    assert not any(os.path.exists(p.removeprefix("file://")) for p in mine) and len(common.written(spark)) == before
+
+
+def test_many_secrets_in_one_long_text():
+    """Places in code points are looked up in one count, so 80,000 secrets of a text take seconds."""
+    text = "é token=abcdef123456 " * 80_000
+    spans = secret_scan.find(text.encode(), secret_scan.prefilter())
+    began = time.perf_counter()
+    told = secret_scan.in_code_points(text.encode(), spans)
+    assert len(told) == 80_000 and time.perf_counter() - began < 5
+    assert told[-1] == {"kind": "assign", "start": 21 * 79_999 + 2, "end": 21 * 79_999 + 20} and text[told[-1]["start"] : told[-1]["end"]] == "token=abcdef123456"
