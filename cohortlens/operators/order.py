@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Slices of an order. About so many values for each slice are drawn, by their hash, to find where it begins.
-SLICES, DRAWN = 64, 32
+#: Rows of a slice of an order, slices at least and at most. About so many values for each slice are drawn, by their hash, to find where it begins.
+ROWS, LEAST, SLICES, DRAWN = 50_000, 8, 256, 32
 
 
 def literal(v) -> Column:
@@ -20,14 +20,21 @@ def literal(v) -> Column:
 def slice_of(df: DataFrame, column: str, descending: bool = False) -> Column:
     """The number of the slice that the column's value lies in, from 0; NULLs come first. Bounds are values, so equal values share a slice."""
     values = df.select(F.col(column).alias("v")).filter("v is not null")
-    every = max(1, values.count() // (SLICES * DRAWN))
+    n = values.count()
+    slices = min(SLICES, max(LEAST, n // ROWS))
+    every = max(1, n // (slices * DRAWN))
     drawn = [r.v for r in values.filter(F.pmod(F.xxhash64("v"), F.lit(every)) == 0).select("v").distinct().orderBy("v").collect()]
-    bounds = [drawn[i] for i in sorted({len(drawn) * i // SLICES for i in range(1, SLICES)})] if drawn else []
+    bounds = [drawn[i] for i in sorted({len(drawn) * i // slices for i in range(1, slices)})] if drawn else []
     kind = df.schema[column].dataType.simpleString()
-    above = F.lit(0)
-    for b in bounds:
-        above = above + (F.col(column) >= literal(b).cast(kind)).cast("int")
-    above = F.coalesce(above, F.lit(-1))
+
+    def upto(lo: int, hi: int) -> Column:
+        """How many bounds are at or below the value, if it is from lo to hi: by halving."""
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(F.col(column) >= literal(bounds[mid]).cast(kind), upto(mid + 1, hi)).otherwise(upto(lo, mid))
+
+    above = F.when(F.col(column).isNotNull(), upto(0, len(bounds))).otherwise(-1)
     return len(bounds) - above if descending else above
 
 

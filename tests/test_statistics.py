@@ -69,7 +69,7 @@ def information(x, y, k):
 @pytest.mark.parametrize("run", [4096, 5])
 def test_information_of_neighbours(spark, monkeypatch, run):
     monkeypatch.setattr(clean, "RUN", run)
-    monkeypatch.setattr(order, "SLICES", 7)
+    monkeypatch.setattr(order, "ROWS", 9)
     g = np.random.default_rng(run)
     y = [*g.integers(0, 3, 120).tolist(), 8, 8, 9]  # a class with fewer rows than k, one with a single row
     told, ties, noise = [v + float(n) for v, n in zip(y, g.normal(scale=0.1, size=123), strict=True)], [float(v) for v in g.integers(0, 4, 123)], g.normal(size=123).tolist()
