@@ -23,15 +23,22 @@ def folder(spark: SparkSession) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` and read it back: nothing above is computed twice, and a lost executor costs tasks."""
+    return stored_at(df, name)[0]
+
+
+def stored_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``stored``, and where it lies, for ``release``."""
     spark = df.sparkSession
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
-def release(spark: SparkSession) -> None:
-    """Delete this session's tables; only when whatever reads them has been written."""
-    for p in _written.pop(spark.sparkContext.applicationId, []):
+def release(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Delete these tables of the session, all if ``paths`` is left out; only when whatever reads them has been written."""
+    mine = _written.get(spark.sparkContext.applicationId, [])
+    for p in list(mine) if paths is None else paths:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        mine.remove(p)

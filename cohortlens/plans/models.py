@@ -6,7 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import explain, ml
+from ..operators import boosting, explain, ml
 from ..operators import split as P
 from ..registry import query
 from ..sources.tables import table
@@ -63,6 +63,42 @@ model_query("h7_perceptron", "perceptron", layers=[64, 16, 10])
 model_query("h8_boosting", "boosting", two=True, maxIter=5)
 
 
+@query("h8_histogram_boosting")
+def h8_histograms(spark, d):
+    train, test = halves(spark, d)
+    model = boosting.fit(train, "embedding", "label", "vec_id", rounds=8, max_depth=3, max_leaves=6, rate=0.3)
+    return plain(model.transform(test, "embedding"))
+
+
+STUMPS = f"""WITH {FOLDS}, l AS (SELECT vec_id, label, fold, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS f FROM e),
+t AS (SELECT * FROM l WHERE fold <> 4),
+b AS (SELECT DISTINCT f, unnest(quantile_cont(x, {[i / 16 for i in range(1, 16)]})) AS border FROM t GROUP BY f),
+c AS (SELECT label AS c, count(*) AS n_c, sum(count(*)) OVER () AS n FROM e WHERE fold <> 4 GROUP BY 1),
+s AS (SELECT f, border, label, count(*) AS n_l FROM t JOIN b USING (f) WHERE x <= border GROUP BY ALL),
+g AS (SELECT f, border, c, n_c / n AS p, n, n_c, coalesce(sum(n_l), 0) AS n_low, coalesce(sum(n_l) FILTER (label = c), 0) AS n_own FROM b CROSS JOIN c JOIN s USING (f, border) GROUP BY ALL),
+h AS (SELECT *, p * n_low - n_own AS gl, p * (1 - p) * n_low AS hl, p * (n - n_low) - (n_c - n_own) AS gr, p * (1 - p) * (n - n_low) AS hr FROM g),
+k AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY round(gl ** 2 / (hl + 1) + gr ** 2 / (hr + 1), 9) DESC, f, border) AS r FROM h WHERE n_low < n AND least(hl, hr) >= 1e-3),
+m AS (SELECT vec_id, label, c, round(ln(p) - 0.3 * CASE WHEN x <= border THEN gl / (hl + 1) ELSE gr / (hr + 1) END, 9) AS m FROM l JOIN k USING (f) WHERE fold = 4 AND r = 1)
+SELECT vec_id, label::INT AS y, arg_max(c, (m, -c))::INT AS prediction FROM m GROUP BY ALL"""
+
+
+@query("h8_first_stumps", STUMPS)
+def h8_stumps(spark, d):
+    train, test = halves(spark, d)
+    return plain(boosting.fit(train, "embedding", "label", "vec_id", rounds=1, max_depth=1, bins=16).transform(test, "embedding"))
+
+
+@query(
+    "h8_ordered_statistics",
+    """WITH o AS (SELECT o_orderkey, o_orderpriority, (o_orderstatus = 'F')::INT AS y, md5('5|' || o_orderkey) AS h FROM orders)
+    SELECT o_orderkey, round((coalesce(sum(y) OVER w, 0) + 10 * (SELECT avg(y) FROM o)) / (count(*) OVER w + 10), 9) AS encoded FROM o
+    WINDOW w AS (PARTITION BY o_orderpriority ORDER BY h, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
+)
+def h8_ordered(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderpriority", (F.col("o_orderstatus") == "F").cast("int").alias("y"))
+    return boosting.ordered_statistics(o, "o_orderpriority", "y", "o_orderkey", "encoded", 5, 10.0).select("o_orderkey", F.round("encoded", 9).alias("encoded"))
+
+
 def knn_sql(distance: str, vote: str = "count(*)") -> str:
     return f"""WITH {FOLDS}, u AS (SELECT *, sqrt(list_inner_product(v, v)) AS norm FROM (SELECT *, embedding::DOUBLE[] AS v FROM e)),
     d AS (SELECT t.vec_id, r.vec_id AS other, r.label, {distance} AS far FROM u t JOIN u r ON t.fold = 4 AND r.fold <> 4),
