@@ -6,7 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import boosting, explain, ml
+from ..operators import boosting, explain, kernels, ml, surrogates
 from ..operators import split as P
 from ..registry import query
 from ..sources.tables import table
@@ -63,6 +63,19 @@ model_query("h7_perceptron", "perceptron", layers=[64, 16, 10])
 model_query("h8_boosting", "boosting", two=True, maxIter=5)
 
 
+def kernel_query(name, kind, **options):
+    @query(name)
+    def run(spark, d):
+        train, test = halves(spark, d, two=True)
+        k = kernels.Kernel(kind, kernels.gamma_by_scale(train), 256, **options)
+        fit, rest = (k.apply(x.drop("features"), "embedding") for x in (train, test))
+        return plain(ml.classifier("svm", train.count(), weight="weight", maxIter=10).fit(ml.weighted(fit)).transform(rest))
+
+
+kernel_query("h2_rbf_svm", "rbf")
+kernel_query("h2_poly_svm", "poly", degree=3)
+
+
 @query("h8_histogram_boosting")
 def h8_histograms(spark, d):
     train, test = halves(spark, d)
@@ -239,6 +252,13 @@ def h25_trees(spark, d):
     return explain.shapley_values(ml.classifier("boosting", maxIter=10).fit(train), test, "vec_id")
 
 
+@query("h25_local_surrogates")
+def h25_local(spark, d):
+    train, test = halves(spark, d, two=True)
+    m = ml.classifier("boosting", maxIter=5).fit(train)
+    return surrogates.local_surrogates(m, test, train, "vec_id", vector_to_array("probability")[1], samples=200)
+
+
 @query("h26_batch_scoring")
 def h26(spark, d):
     train, test = halves(spark, d, two=True)
