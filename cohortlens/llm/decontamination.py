@@ -37,25 +37,47 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(NORMAL).split()
 
 
-def automaton(items: list[tuple[str | None, bytes]], width: int):
-    """Maps each anchor, between blanks, to its number of words and where it may stand: words before (nearest first) and after it, words needed, items. None if there is no anchor."""
-    found: dict[bytes, dict[tuple, set]] = {}
-    gram = (width + 1) // 2
-    step, side = width - gram + 1, width - gram
-    for name, text in items:
-        w = words(text)
-        if 0 < len(w) < width:
-            found.setdefault(b" ".join(w), {}).setdefault(((), (), len(w)), set()).add(name)
-        for p in range(0, len(w) - gram + 1, step) if len(w) >= width else ():
-            around = (tuple(w[max(0, p - side) : p][::-1]), tuple(w[p + gram : p + gram + side]), width)
-            found.setdefault(b" ".join(w[p : p + gram]), {}).setdefault(around, set()).add(name)
-    if not found:
-        return None
-    a = ahocorasick.Automaton()
-    for k, places in found.items():
-        a.add_word(f" {k.decode('latin-1')} ", (k.count(b" ") + 1, [(*place, names) for place, names in places.items()]))
-    a.make_automaton()
-    return a
+#: An anchor with more places than a hit has windows is told by its windows instead.
+FEW = 6
+
+
+class Anchors:
+    """The automaton of anchors, between blanks, and the windows of anchors that many places share.
+
+    An anchor's value is its number of words, its places (words before, nearest first, and after it, words needed, items) and
+    whether it has windows, so that a hit costs as much as a window has words, however many items share the anchor.
+    """
+
+    def __init__(self, items: list[tuple[str | None, bytes]], width: int):
+        found: dict[bytes, dict[tuple, set]] = {}
+        gram = (width + 1) // 2
+        step, self.side = width - gram + 1, width - gram
+        for name, text in items:
+            w = words(text)
+            if 0 < len(w) < width:
+                found.setdefault(b" ".join(w), {}).setdefault(((), (), len(w)), set()).add(name)
+            for p in range(0, len(w) - gram + 1, step) if len(w) >= width else ():
+                around = (tuple(w[max(0, p - self.side) : p][::-1]), tuple(w[p + gram : p + gram + self.side]), width)
+                found.setdefault(b" ".join(w[p : p + gram]), {}).setdefault(around, set()).add(name)
+        self.windows: dict[bytes, set] = {}
+        self.automaton = ahocorasick.Automaton()
+        for k, places in found.items():
+            n, hot = k.count(b" ") + 1, len(places) > FEW
+            kept = [(*place, names) for place, names in places.items() if not hot or place[2] == n]
+            for (before, after, need), names in places.items() if hot else ():
+                for b in range(need - n + 1) if need > n else ():
+                    if b <= len(before) and need - n - b <= len(after):
+                        self.windows.setdefault(b" ".join((*before[:b][::-1], k, *after[: need - n - b])), set()).update(names)
+            self.automaton.add_word(f" {k.decode('latin-1')} ", (n, kept, hot))
+        if found:
+            self.automaton.make_automaton()
+        self.empty = not found
+
+
+def automaton(items: list[tuple[str | None, bytes]], width: int) -> Anchors | None:
+    """None if there is no anchor."""
+    a = Anchors(items, width)
+    return None if a.empty else a
 
 
 def agree(x, y) -> int:
@@ -68,23 +90,30 @@ def agree(x, y) -> int:
     return n
 
 
-def scan(text: bytes, a) -> tuple[int, np.ndarray | None, set]:
+def scan(text: bytes, a: Anchors | None) -> tuple[int, np.ndarray | None, set]:
     """Words, flags of the words hit (None: none) and the items with a window in the text."""
     w = words(text)
     line = f" {b' '.join(w).decode('latin-1')} "
-    hit, names, ends = None, set(), None
-    for at, (k, places) in a.iter(line) if a and w else ():
+    hit, ends, whose = None, None, {}
+    for at, (k, places, hot) in a.automaton.iter(line) if a and w else ():
         if ends is None:
             ends = np.cumsum([len(x) + 1 for x in w])
         last = int(np.searchsorted(ends, at))
         first = last - k + 1
-        for before, after, need, whose in places:
+        seen = []
+        for before, after, need, names in places:
             x, y = agree(before, w[max(0, first - len(before)) : first][::-1]), agree(after, w[last + 1 : last + 1 + len(after)])
             if x + k + y >= need:
-                hit = np.zeros(len(w), bool) if hit is None else hit
-                hit[first - x : last + 1 + y] = True
-                names |= whose
-    return len(w), hit, names
+                seen.append((first - x, last + 1 + y, names))
+        for start in range(max(0, first - a.side), min(first, len(w) - k - a.side) + 1) if hot else ():
+            names = a.windows.get(b" ".join(w[start : start + k + a.side]))
+            if names:
+                seen.append((start, start + k + a.side, names))
+        for start, end, names in seen:
+            hit = np.zeros(len(w), bool) if hit is None else hit
+            hit[start:end] = True
+            whose[id(names)] = names
+    return len(w), hit, set().union(*whose.values())
 
 
 def runs(text: bytes, hit: np.ndarray) -> list[dict]:

@@ -27,6 +27,9 @@ BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 TERM = r"[^\W\d_]+"
 #: Words that give an entity away: seen with it in at least ``SUPPORT`` different texts, at a PMI of ``SHARE`` of its information.
 SUPPORT, SHARE, NEAR = 3, 0.9, 60
+SPANS = "array<struct<start:int,rank:int,end:int,value:string>>"
+#: Elements that are added up at once, and code points of a piece of text: long texts cost in proportion.
+BLOCK, CHUNK = 128, 1024
 
 
 def digits(c: Column) -> Column:
@@ -45,26 +48,53 @@ def holds(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def matches(text: Column, kind: str) -> Column:
-    """Array of (start, rank of the kind, end, value): all matches that hold; start and end in code points.
+def before(values: Column, most: bool = False) -> Column:
+    """For each element the sum (or with ``most`` the maximum, 0 at least) of the integers before it.
 
-    The pieces between the matches give the places: start = the lengths of all pieces and matches before it.
+    By blocks of ``BLOCK``, then over the blocks, as each step of an aggregation copies what it has gathered.
     """
+    more = (lambda a, b: F.greatest(a, b)) if most else (lambda a, b: a + b)
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    step = lambda acc, v: F.struct(more(acc["at"], v).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+    # A one-element array binds a value, so that a lambda doesn't compute it again for each element.
+    bound = lambda c, f: F.element_at(F.transform(F.array(c), f), 1)
+    cut = lambda v: F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(v) - 1, F.lit(0)) / BLOCK).cast("int")), lambda b: F.slice(v, b * BLOCK + 1, F.lit(BLOCK)))
+    sums = F.transform(bound(values, cut), lambda b: F.aggregate(b, zero, step))
+    starts = lambda s: F.aggregate(s, zero, lambda acc, x: step(acc, x["at"]), lambda acc: acc["out"])
+    return bound(sums, lambda s: F.flatten(F.zip_with(s, starts(s), lambda x, at: F.transform(x["out"], lambda v: more(v, at)))))
+
+
+def placed(found: Column, pieces: Column, rank: int) -> Column:
+    """Spans of the matches: pieces of text and matches alternate, so a match starts after all pieces and matches before it."""
+    both = F.arrays_zip(F.slice(pieces, F.lit(1), F.size(found)).alias("piece"), found.alias("m"))
+
+    def span(x, at):
+        start = at + x["piece"]
+        return F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + F.length(x["m"])).alias("end"), x["m"].alias("value"))
+
+    return F.zip_with(both, before(F.transform(both, lambda x: x["piece"] + F.length(x["m"]))), span)
+
+
+def matches(text: Column, kind: str) -> Column:
+    """Array of (start, rank of the kind, end, value): all matches that hold; start and end in code points."""
     found = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
-    # An empty mark behind the text keeps the last piece; pieces and matches alternate.
+    # An empty mark behind the text keeps the last piece.
     pieces = F.transform(F.split(text, PATTERNS[kind], -1), lambda x: F.length(x))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,rank:int,end:int,value:string>>").alias("out"))
+    spans = F.filter(placed(found, pieces, KINDS.index(kind)), lambda s: holds(kind, s["value"]))
+    may = text.contains(NEEDS[kind]) if kind in NEEDS else F.lit(True)
+    return F.when(may & text.rlike(PATTERNS[kind].replace(r"|\G", "")), spans).otherwise(F.array().cast(SPANS))
 
-    def step(acc, x):
-        start = acc["at"] + x["piece"]
-        end = start + F.length(x["m"])
-        span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), end.alias("end"), x["m"].alias("value"))
-        return F.struct(end.alias("at"), F.when(holds(kind, x["m"]), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    both = F.arrays_zip(F.slice(pieces, F.lit(1), F.size(found)).alias("piece"), found.alias("m"))
-    spans = F.aggregate(both, zero, step, lambda acc: acc["out"])
-    may = text.contains(NEEDS[kind]) if kind in NEEDS else F.lit(True)
-    return F.when(may & text.rlike(PATTERNS[kind].replace(r"|\G", "")), spans).otherwise(zero["out"])
+def chunks(text: Column) -> Column:
+    """The text in pieces of ``CHUNK`` code points: a place is found without walking to it from the start."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+
+def cut_from(c: Column, start: Column, end: Column) -> Column:
+    """Code points ``start`` to ``end`` (exclusive) of a text in chunks."""
+    first = F.floor(start / CHUNK).cast("int")
+    whole = F.array_join(F.slice(c, first + 1, F.floor(F.greatest(end, start) / CHUNK).cast("int") - first + 1), "")
+    return F.substring(whole, start - first * CHUNK + 1, F.greatest(end - start, F.lit(0)))
 
 
 def entities(docs: DataFrame, text: str) -> DataFrame:
@@ -76,14 +106,17 @@ def entities(docs: DataFrame, text: str) -> DataFrame:
 
 def terms_near(found: DataFrame, text: str) -> DataFrame:
     """__k (the text), entity, term: each word that lies within ``NEAR`` code points of an entity. A word cut by the edge is none."""
-    one = found.select("__k", F.col(text).alias("t"), F.explode("base").alias("e"))
-    before = F.substring(F.col("t"), F.greatest(F.col("e.start") - NEAR, F.lit(1)), F.least(F.col("e.start"), F.lit(NEAR + 1)))
-    before = F.when(F.col("e.start") > NEAR, F.regexp_replace(before, f"(?U)^{TERM}", "")).otherwise(before)
-    after = F.substring(F.col("t"), F.col("e.end") + 1, F.lit(NEAR + 1))
-    after = F.when(F.length(after) > NEAR, F.regexp_replace(after, f"(?U){TERM}$", "")).otherwise(after)
-    around = F.concat(before, F.lit(" \n "), after)
-    words = F.array_distinct(F.regexp_extract_all(F.lower(around), F.lit(f"(?U){TERM}"), F.lit(0)))
-    return one.select("__k", F.col("e.value").alias("entity"), F.explode(words).alias("term"))
+    def around(c: Column, e: Column) -> Column:
+        before_ = cut_from(c, F.greatest(e["start"] - NEAR - 1, F.lit(0)), e["start"])
+        before_ = F.when(e["start"] > NEAR, F.regexp_replace(before_, f"(?U)^{TERM}", "")).otherwise(before_)
+        after = cut_from(c, e["end"], e["end"] + NEAR + 1)
+        after = F.when(F.length(after) > NEAR, F.regexp_replace(after, f"(?U){TERM}$", "")).otherwise(after)
+        return F.struct(e["value"].alias("entity"), F.concat(before_, F.lit(" \n "), after).alias("near"))
+
+    every = F.element_at(F.transform(F.array(chunks(F.col(text))), lambda c: F.transform("base", lambda e: around(c, e))), 1)
+    one = found.select("__k", F.explode(every).alias("e")).select("__k", "e.entity", "e.near")
+    words = F.array_distinct(F.regexp_extract_all(F.lower("near"), F.lit(f"(?U){TERM}"), F.lit(0)))
+    return one.select("__k", "entity", F.explode(words).alias("term"))
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, text: str = "text", support: int = SUPPORT, share: float = SHARE) -> DataFrame:
@@ -116,7 +149,7 @@ def personal_data(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     told = disclosing_terms(docs.select(F.col(text).alias("t")), hits, "t", **options)
     held = hits.select("__k", F.explode(F.array_distinct(F.transform("base", lambda s: s["value"]))).alias("entity")).distinct()
     per_text = stored(held.join(told, "entity").groupBy(F.col("__k").alias(key)).agg(F.array_sort(F.collect_set("term")).alias(words)), "terms")
-    none = F.array().cast("array<struct<start:int,rank:int,end:int,value:string>>")
+    none = F.array().cast(SPANS)
     rows = found.withColumn(key, hashed).join(F.broadcast(per_text) if per_text.count() <= 10_000 else per_text, key, "left")
     terms = F.when(F.col(words).isNotNull(), term_spans(F.col(text), F.col(words))).otherwise(none)
     return rows.select(*[F.col(f"`{c}`") for c in found.columns], terms.alias("terms"))
@@ -126,28 +159,22 @@ def term_spans(text: Column, terms: Column) -> Column:
     """Where the words occur, as whole words in either case."""
     pattern = F.concat(F.lit(r"(?iU)(?<![^\W\d_])(?:"), F.array_join(terms, "|"), F.lit(r")(?![^\W\d_])"))
     found, pieces = F.regexp_extract_all(text, pattern, F.lit(0)), F.transform(F.split(text, pattern, F.lit(-1)), lambda x: F.length(x))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,rank:int,end:int,value:string>>").alias("out"))
-
-    def step(acc, x):
-        start = acc["at"] + x["piece"]
-        end = start + F.length(x["m"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), F.lit(len(KINDS)).alias("rank"), end.alias("end"), x["m"].alias("value")))).alias("out"))
-
-    return F.aggregate(F.arrays_zip(F.slice(pieces, F.lit(1), F.size(found)).alias("piece"), found.alias("m")), zero, step, lambda acc: acc["out"])
+    return placed(found, pieces, len(KINDS))
 
 
 def sanitised(rows: DataFrame, text: str = "text") -> DataFrame:
     """Texts with entities generalised to ``<kind>`` and telling words to ``<term>``; of overlapping spans the first (then the longest) counts."""
     spans = F.array_sort(F.concat("base", "terms"))
-    names = F.array(*[F.lit(f"<{k}>") for k in [*KINDS, "term"]])
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    name = lambda rank: F.element_at(F.array(*[F.lit(f"<{k}>") for k in [*KINDS, "term"]]), rank + 1)
+    none = F.array().cast("array<struct<start:int,rank:int,at:int>>")
 
-    def step(acc, s):
-        put = F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, s["start"] - acc["at"]), F.element_at(names, s["rank"] + 1))
-        return F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), put.alias("out"))).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
+    def put(c: Column) -> Column:
+        kept = F.filter(F.zip_with(spans, before(F.transform(spans, lambda s: s["end"]), most=True), lambda s, at: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), at.alias("at"))), lambda s: s["start"] >= s["at"])
+        parts = F.transform(F.coalesce(kept, none), lambda s: F.concat(cut_from(c, s["at"], s["start"]), name(s["rank"])))
+        return F.concat(F.array_join(parts, ""), cut_from(c, F.array_max(F.transform(spans, lambda s: s["end"])), F.length(F.col(text))))
 
-    rest = lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.length(F.col(text))))
-    return rows.withColumn(text, F.when(F.size(spans) > 0, F.aggregate(spans, zero, step, rest)).otherwise(F.col(text)))
+    whole = F.element_at(F.transform(F.array(chunks(F.col(text))), put), 1)
+    return rows.withColumn(text, F.when(F.size(spans) > 0, whole).otherwise(F.col(text)))
 
 
 def joined(spans: Column) -> Column:
