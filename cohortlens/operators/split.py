@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .order import running
+
 
 def seeded(seed: int | str, *keys: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
@@ -20,9 +22,9 @@ def seeded_int(seed: int | str, *keys: str) -> Column:
 
 def stratified_split(units: DataFrame, unit: str, klass: str, seed: int, shares: Sequence[float] = (0.7, 0.15, 0.15), names: Sequence[str] = ("train", "val", "test")) -> DataFrame:
     """Each class is shuffled and cut by rounded shares; val and test get one unit at least, of two units one trains and one tests."""
-    w = W.partitionBy(klass)
-    rank = F.row_number().over(w.orderBy(seeded(seed, unit), unit))
-    u = units.withColumn("__r", rank).withColumn("__n", F.count(F.lit(1)).over(w))
+    one = F.lit(1).cast("long")
+    u = running(units.withColumns({"__at": F.struct(seeded(seed, unit), F.col(unit)), "__one": one}), "__at", ["__one"], [klass])
+    u = u.withColumns({"__r": F.col("before___one") + 1, "__n": F.col("all___one")}).drop("__at", "__one", "before___one", "all___one")
     n_val, n_test = (F.when(F.col("__n") > 2, F.greatest(F.floor(F.col("__n") * s + 0.5), F.lit(1))) for s in shares[1:])
     n_val, n_test = F.coalesce(n_val, F.lit(0)), F.coalesce(n_test, F.when(F.col("__n") == 2, 1).otherwise(0))
     split = F.when(F.col("__r") <= n_val, names[1]).when(F.col("__r") <= n_val + n_test, names[2]).otherwise(names[0])
@@ -37,9 +39,10 @@ def group_folds(groups: DataFrame, group: str, klass: str, seeds: Sequence[int]
     """
     seeds_ = F.explode(F.array(*[F.struct(F.lit(i).alias("repeat"), F.lit(s).alias("seed")) for i, s in enumerate(seeds)]))
     g = groups.select(F.col(group).alias("group"), F.col(klass).alias("klass")).distinct().withColumn("x", seeds_).select("group", "klass", "x.*")
-    rank = F.row_number().over(W.partitionBy("repeat", "klass").orderBy(F.md5(F.concat_ws("|", F.col("seed").cast("string"), F.col("group").cast("string"))), "group"))
+    at = F.struct(F.md5(F.concat_ws("|", F.col("seed").cast("string"), F.col("group").cast("string"))), "group")
+    g = running(g.withColumns({"__at": at, "__one": F.lit(1).cast("long")}), "__at", ["__one"], ["repeat", "klass"])
     begin = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.col("seed").cast("string"), F.col("klass").cast("string"))), 1, 8), 16, 10).cast("long"), F.lit(k))
-    return g.select("group", "klass", "repeat", F.pmod(rank - 1 + begin, F.lit(k)).cast("int").alias("outer_fold"))
+    return g.select("group", "klass", "repeat", F.pmod(F.col("before___one") + begin, F.lit(k)).cast("int").alias("outer_fold"))
 
 
 def inner_folds(folds: DataFrame, repeat: int, outer_fold: int, k: int = 3, seed: int = 7) -> DataFrame:
