@@ -11,6 +11,10 @@ Two rounds: first the neighbours by rare tokens and, for each frequent token, it
 tokens alone can link and is still apart. Two sets that share no rare token can be linked only by their frequent ones, so of
 all sets with the same frequent tokens the smallest stands for the others there. Only links that could join two components
 matter, so a component already joined isn't opened again.
+
+Places bound what two sets can share. If their first common token has the places p and q in sets of n and m tokens, they share
+at most min(n - p, m - q) + 1; who can't reach the threshold so doesn't visit. Pages made of common passages in ever new orders
+share many frequent tokens, but only late ones, so they stay apart.
 """
 
 from __future__ import annotations
@@ -110,10 +114,10 @@ def frequency_levels(texts: DataFrame, n: int) -> np.ndarray:
 
 
 ROWS = "kind int, a bigint, b bigint, c bigint, x bigint, y bigint, u bigint, v bigint"
-#: Kinds of rows: a document (size, frequent tokens and their sum, signature), a pair by a rare token, a pair with the smallest document of a frequent token, a document of a frequent token, the smallest of a part.
+#: Kinds of rows: a document (size, frequent tokens and their sum, signature), a pair by a rare token, a pair with the smallest document of a frequent token, a document of a frequent token (and its first place), the smallest of a part.
 DOC, PAIR, STAR, MEMBER, LEADER = range(5)
-#: Flags beside a set's size.
-RARE, SALTED = 1 << 40, 1 << 41
+#: Beside a set's size (31 bits): two flags, and how many tokens the set has beyond the rare ones of its first quarter.
+LONGEST, RARE, SALTED, TAIL = (1 << 31) - 1, 1 << 31, 1 << 32, 33
 DOC_COLUMNS, MASK = 7, (1 << 64) - 1
 
 
@@ -150,10 +154,11 @@ def token_groups(texts: DataFrame, levels, n: int) -> DataFrame:
                     seen.add(sig)
                     first = np.argsort(lev, kind="stable")[:m]
                     s, lev = s[first], lev[first]
+                    tail = size_ - int((lev == 0).sum())
                     parts = np.maximum(1, (FEW << np.minimum(lev.astype(np.int64), 40)) // SALT_ROWS)
                     salted = (lev > 0) & (parts > 1)
                     b = ((bucket_of(s, n) + np.where(salted, (int(doc) & 0xFFFFFFFF) % parts, 0)) % n).astype(np.int32)
-                    w = size_ + np.where(lev == 0, RARE, 0) + np.where(salted, SALTED, 0)
+                    w = size_ + np.where(lev == 0, RARE, 0) + np.where(salted, SALTED, 0) + (tail << TAIL)
                     held.append((s, np.full(len(s), doc, np.int64), np.arange(1, len(s) + 1, dtype=np.uint32), w, b))
                     size += len(s)
                 if size > 500_000 or len(docs) > 100_000:
@@ -172,7 +177,7 @@ def token_groups(texts: DataFrame, levels, n: int) -> DataFrame:
         token, doc, place, w = token[order], doc[order], place[order], w[order]
         cut = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.zeros(0, np.int64)
         length = np.diff(np.r_[cut, len(token)])
-        size = w & (RARE - 1)
+        size = w & ~(RARE | SALTED)
         small = (w[cut] & RARE > 0) & (length <= FEW) if len(cut) else np.zeros(0, bool)
         pairs = []
         for k in range(2, FEW + 1):
@@ -197,6 +202,9 @@ def token_groups(texts: DataFrame, levels, n: int) -> DataFrame:
             lead = cut[run[member]]
             pair = doc[lead] != doc[member]
             i, j = lead[pair], member[pair]
+            left = np.minimum((size[i] & LONGEST) - place[i], (size[j] & LONGEST) - place[j]) + 1
+            fits = (NUM + DEN) * left >= NUM * ((size[i] & LONGEST) + (size[j] & LONGEST))  # if this is their first common token
+            i, j = i[fits], j[fits]
             both = np.unique(np.c_[doc[i], doc[j], size[i], size[j]], axis=0)
             z = np.zeros(len(both), np.int64)
             out.append(rows_of(STAR, both[:, 0], both[:, 1], z, z, z, both[:, 2], both[:, 3]))
@@ -206,9 +214,15 @@ def token_groups(texts: DataFrame, levels, n: int) -> DataFrame:
             name = np.where(salted, token[cut], mix(sums + length.astype(np.uint64)))
             wide = large & ((length > 2) | salted)
             once = np.zeros(len(cut), bool)
-            once[np.flatnonzero(wide)[np.unique(name[wide], return_index=True)[1]]] = True
+            _, one, back = np.unique(name[wide], return_index=True, return_inverse=True)
+            one = np.flatnonzero(wide)[one]
+            once[one] = True
+            # The first place among the tokens of one name, whose documents are the same in the same order.
+            every = np.flatnonzero(wide[run])
+            least = place.copy()
+            np.minimum.at(least, np.repeat(cut[one][back], length[wide]) + every - cut[run[every]], place[every])
             m = np.flatnonzero(once[run])
-            out.append(rows_of(MEMBER, name[run[m]], doc[m]))
+            out.append(rows_of(MEMBER, name[run[m]], doc[m], least[m]))
             out.append(rows_of(LEADER, token[cut[large & salted]], doc[cut[large & salted]]))
         return pa.concat_tables(out)
 
@@ -304,8 +318,34 @@ def neighbours(edges: DataFrame, texts: DataFrame) -> DataFrame:
     return through_matrix(homes, stored(visits, "visits"), texts)
 
 
+def in_lots(blocks: DataFrame) -> DataFrame:
+    """Rows by block, with ``lots``: once for each lot of the block."""
+    return blocks.withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1))).drop("lots")
+
+
+def could_link(n: str, rest: str, least: str, far: str):
+    """Whether a set of ``n`` tokens, ``rest`` of them from the first common one on, can be linked with one of ``least`` tokens at least and at most ``far`` from there on."""
+    return ((NUM + DEN) * F.least(rest, far) >= NUM * (F.col(n) + F.col(least))) & (DEN * F.col(n) >= NUM * F.col(least))
+
+
+def that_could_link(members: DataFrame) -> DataFrame:
+    """``members`` (block, id, component, stands, n, place) whose block spans components and lets them link, with ``rest, lots, lot``.
+
+    A block with over 1 / HOT of all rows is cut into lots in proportion; there are fewer than HOT such blocks.
+    """
+    members = stored(members.withColumn("rest", F.col("n") - F.col("place") + 1), "members")
+    blocks = members.groupBy("block").agg(F.count(F.lit(1)).alias("k"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n").alias("least"), F.max("rest").alias("far"))
+    blocks = stored(blocks, "blocks")
+    total = blocks.agg(F.sum("k")).first()[0] or 1
+    large = F.broadcast(blocks.filter(F.col("k") * HOT > total).select("block", F.ceil(F.col("k") * HOT / total).cast("int").alias("lots")))
+    spread = lambda rows: rows.join(large, "block", "left").withColumn("lots", F.coalesce("lots", F.lit(1)))
+    members = spread(members).withColumn("lot", F.pmod(F.xxhash64("id"), F.col("lots")).cast("int"))
+    several = in_lots(spread(blocks.filter("lo <> hi").select("block", "least", "far")))
+    return members.join(several, ["block", "lot"]).filter(could_link("n", "rest", "least", "far")).drop("least", "far", "place")
+
+
 def open_groups(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links across components among documents of frequent tokens: ``block`` (the token), ``id, component``; ``n`` (tokens) and ``stands`` if given.
+    """Links across components among documents of frequent tokens: ``block`` (the token), ``id, component``; what ``that_could_link`` adds, if given.
 
     A document has one home: the smallest member that most of its blocks have. Those of one home are a group, cut into parts
     of about ``CHUNK`` members; a large component has parts of its own, which its own documents don't visit. Only documents
@@ -313,10 +353,10 @@ def open_groups(members: DataFrame, texts: DataFrame) -> DataFrame:
     document of the smaller visits the larger; those that are no members visit every home.
     """
     if "stands" not in members.columns:
-        members = members.withColumn("stands", F.lit(True)).withColumn("n", F.lit(1))
+        members = members.select("*", F.lit(True).alias("stands"), F.lit(1).alias("n"), F.lit(1).alias("rest"), F.lit(1).alias("lots"), F.lit(0).alias("lot"))
     inside = members.filter("stands")
-    first = inside.groupBy("block").agg(F.min("id").alias("first"))
-    votes = inside.join(first, "block").groupBy("id", "component", "n", "first").agg(F.count(F.lit(1)).alias("votes"))
+    first = in_lots(inside.groupBy("block", "lots").agg(F.min("id").alias("first")))
+    votes = inside.join(first, ["block", "lot"]).groupBy("id", "component", "n", "first").agg(F.count(F.lit(1)).alias("votes"))
     homes = votes.groupBy("id", "component", "n").agg(F.max_by("first", F.struct("votes", -F.col("first"))).alias("home"))
     sizes = homes.groupBy("home", "component").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("tokens")).withColumn("parts", parts_of("k", "tokens"))
     own = F.col("parts") > 1
@@ -326,10 +366,11 @@ def open_groups(members: DataFrame, texts: DataFrame) -> DataFrame:
     h = stored(h.select(F.xxhash64("home", F.when(own, F.col("component")), part).alias("key"), "id", "component"), "homes")
     ranks = h.groupBy("key").agg(F.count(F.lit(1)).alias("rank"))
     ranked = stored(h.join(ranks, "key").select("id", "key", F.struct("rank", "key").alias("rank")), "ranked")
-    there = inside.join(ranked, "id").groupBy("block", "key", "rank").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    come = members.join(ranked.select("id", F.col("rank").alias("own")), "id", "left").select("block", "id", "component", "own")
+    there = inside.join(ranked, "id").groupBy("block", "lots", "key", "rank").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("far"))
+    come = members.join(ranked.select("id", F.col("rank").alias("own")), "id", "left").select("block", "lot", "id", "component", "own", "n", "rest")
     apart = (F.col("lo") != F.col("component")) | (F.col("hi") != F.col("component"))
-    visits = come.join(there, "block").filter(apart & (F.col("own").isNull() | (F.col("rank") >= F.col("own")))).select("key", "id", "component").distinct()
+    apart = apart & could_link("n", "rest", "least", "far") & (DEN * F.col("most") >= NUM * F.col("n"))
+    visits = come.join(in_lots(there), ["block", "lot"]).filter(apart & (F.col("own").isNull() | (F.col("rank") >= F.col("own")))).select("key", "id", "component").distinct()
     return through_matrix(h, stored(visits, "visits"), texts)
 
 
@@ -355,8 +396,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     equal = equal.unionByName(rows.join(again, "doc").select("a", F.col("id").alias("b")))
     # Candidate pairs, and what bounds them.
     pairs = found.filter(F.col("kind").isin(PAIR, STAR)).groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("x").alias("x"), F.max("y").alias("y"), F.max("u").alias("u"), F.max("v").alias("v"))
+    for end in "uv":
+        pairs = pairs.withColumn(f"{end}_tail", F.shiftright(end, TAIL)).withColumn(end, F.col(end).bitwiseAND(F.lit(LONGEST)))
     fits = (NUM * F.col("u") <= DEN * F.col("v")) & (NUM * F.col("v") <= DEN * F.col("u"))
-    most = F.col("c") + F.least(F.col("u") - F.col("x"), F.col("v") - F.col("y"))
+    # Beyond the last common rare token, and beyond the rare tokens of the first quarter that ends first.
+    most = F.col("c") + F.least(F.col("u") - F.col("x"), F.col("v") - F.col("y"), F.greatest("u_tail", "v_tail"))
     pairs = pairs.filter(fits & ((F.col("c") == 0) | ((NUM + DEN) * most >= NUM * (F.col("u") + F.col("v"))))).select("a", "b", "u")
     leaders = found.filter(F.col("kind") == LEADER).select("a", "b")
     heads = leaders.join(leaders.groupBy("a").agg(F.min("b").alias("first")), "a").filter("b <> first").select(F.col("first").alias("a"), "b", F.lit(1).cast("long").alias("u"))
@@ -371,9 +415,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # What frequent tokens may still link.
     apart = hot.filter("id = head or not near").join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     apart = apart.groupBy("head", "n", "component", (F.col("id") == F.col("head")).alias("stands")).agg(F.min("id").alias("id"))
-    members = found.filter(F.col("kind") == MEMBER).select(F.col("a").alias("block"), F.col("b").alias("id")).distinct().join(apart.select("id", "component", "stands", "n"), "id")
-    several = members.groupBy("block").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("block")
-    members = stored(members.join(several, "block"), "members")
+    members = found.filter(F.col("kind") == MEMBER).groupBy(F.col("a").alias("block"), F.col("b").alias("id")).agg(F.min("c").alias("place"))
+    members = stored(that_could_link(members.join(apart.select("id", "component", "stands", "n"), "id")), "members")
     if not members.isEmpty():
         more = stored(open_groups(members, texts), "more")
         if not more.isEmpty():

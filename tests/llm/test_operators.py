@@ -295,6 +295,38 @@ def test_visits_of_template_pages_grow_in_proportion(spark, monkeypatch):
     assert seen[600] <= 2.5 * seen[300] + 20
 
 
+def test_pages_of_shared_lines_do_not_visit(spark, monkeypatch):
+    """Pages of eight of 200 common lines in ever new orders, none linked: visits stay below the pages', and near copies among them are found."""
+    r = random.Random(9)
+    lines = [" ".join(f"l{i}x{k}" for k in range(20)) for i in range(200)]
+    seen, old = {}, near_dup.through_matrix
+    for n in (500, 1000):
+        rows = [(i, " ".join([*r.sample(lines, 8), *(f"o{i}x{k}" for k in range(5))])) for i in range(n)]
+        rows += [(n + i, " ".join(["new", *rows[i * 10][1].split(" ")[1:]])) for i in range(20)]
+        rows += [(2 * n + i, rows[i * 10 + 5][1].replace(f"o{i * 10 + 5}x", f"q{i}x")) for i in range(20)]
+        count = []
+        monkeypatch.setattr(near_dup, "through_matrix", lambda h, v, t, c=count: c.append(v.count()) or old(h, v, t))
+        got = near_dup.op5(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+        seen[n] = count
+        if n == 500:
+            assert Counter((x.doc_id, x.n_shingles, x.component_id) for x in got) == brute_components(rows)
+        assert {x.doc_id: x.component_id for x in got if x.doc_id >= n} == {n + i: i * 10 for i in range(20)} | {2 * n + i: i * 10 + 5 for i in range(20)}
+    assert sum(seen[500]) <= 500 and sum(seen[1000]) <= 2.2 * sum(seen[500]) + 40, seen
+
+
+def test_frequent_tokens_in_many_sizes_and_lots(spark, monkeypatch):
+    """Sets that only frequent tokens link, of many sizes, with blocks cut into lots: components as by brute force."""
+    r = random.Random(4)
+    monkeypatch.setattr(near_dup, "HOT", 3)
+    pool = [" ".join(f"f{i}x{k}" for k in range(9)) for i in range(30)]
+    rows = []
+    for i in range(260):
+        at = r.randrange(20)
+        rows.append((i, " ".join([*pool[at : at + r.randint(4, 9)], *(f"z{i}x{k}" for k in range(r.randint(0, 12)))])))
+    got = near_dup.op5(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert Counter((x.doc_id, x.n_shingles, x.component_id) for x in got) == brute_components(rows)
+
+
 def test_levels_of_all_frequent_tokens(spark):
     """Every token of a template in far more documents than ``FEW`` has a level, whatever its hash."""
     same = " ".join(f"t{i}" for i in range(60))
