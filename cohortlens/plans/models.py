@@ -6,7 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import boosting, explain, kernels, ml, surrogates
+from ..operators import boosting, explain, kernels, ml, surrogates, ward
 from ..operators import split as P
 from ..registry import query
 from ..sources.tables import table
@@ -234,6 +234,12 @@ def h24(spark, d):
     return ml.hierarchy(rows(spark, d), 4)
 
 
+@query("h24_ward")
+def h24_ward(spark, d):
+    cut = ward.ward(table(spark, d, "embeddings"), "embedding")
+    return cut.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.max("top").alias("top"), F.min("vec_id").alias("first_id"))
+
+
 @query("h25_linear_contributions")
 def h25(spark, d):
     train, test = halves(spark, d, two=True)
