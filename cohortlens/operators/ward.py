@@ -67,9 +67,10 @@ def features_of(df: DataFrame, tree: np.ndarray, shift: np.ndarray) -> dict[int,
             yield pa.RecordBatch.from_arrays([pa.array(np.full(d, k, np.int32)), pa.array(np.arange(d, dtype=np.int32)), *(pa.array(c) for c in f)], ["leaf", "i", "n", "s", "q", "lo", "hi"])
 
     sums = df.mapInArrow(add_up, SUMS).groupBy("leaf", "i").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    out: dict[int, np.ndarray] = {}
-    for r in sums.toLocalIterator():
-        out.setdefault(r.leaf, np.zeros((5, d)))[:, r.i] = r.n, r.s, r.q, r.lo, r.hi
+    told = sums.toPandas()  # as many rows as leaves times columns, at most
+    out = {int(k): np.zeros((5, d)) for k in told["leaf"].unique()}
+    for k, i, f in zip(told["leaf"], told["i"], told[["n", "s", "q", "lo", "hi"]].to_numpy(), strict=True):
+        out[k][:, i] = f
     return out
 
 
