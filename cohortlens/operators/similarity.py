@@ -1,17 +1,18 @@
 """Similarity of vectors: thresholds, best matches and assignments.
 
-Rows meet in the cells of a metric index (``metric_index``), by blocks of bounded size, and only where bounds on their
-distance leave a match possible. Only pairs that count leave a task. Similarities count to 12 digits; of equal ones the
+Rows meet in tiles of bounded size, and there only where the bounds of a metric index (``metric_index``) on their distance leave
+a match possible. Only pairs that count leave a task. Similarities count to 12 digits; of equal ones the
 smaller id is first. Rows without a vector are left out; ids are whole numbers, each once.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,12 +30,16 @@ def similar_pairs(df: DataFrame, key: str, vector: str, least: float) -> DataFra
     rows = index.rows.select("id", "v", F.col("cell").alias("home"))
     come = stored(M.visits(rows, index, math.acos(max(-1.0, min(1.0, least))), after="home"), "visits")
 
-    def pairs(x: pa.Table, y: pa.Table) -> pa.Table:
-        s, a, b = M.closeness(M.matrix(x["v"]), M.matrix(y["v"]), "cosine"), x["id"].to_numpy(), y["id"].to_numpy()
-        i, j = np.nonzero(s >= least - 1e-12)
-        use = np.where(x["home"].to_numpy()[i] == x["cell"][0].as_py(), a[i] < b[j], a[i] != b[j])
-        i, j = i[use], j[use]
-        return pa.table({"a": np.minimum(a[i], b[j]), "b": np.maximum(a[i], b[j]), "sim": s[i, j]})
+    def pairs(x: pa.Table, y: pa.Table, blocks: Callable) -> pa.Table:
+        v, w, a, b, home, cell = M.matrix(x["v"]), M.matrix(y["v"]), x["id"].to_numpy(), y["id"].to_numpy(), x["home"].to_numpy(), y["cell"].to_numpy()
+        out = []
+        for rows, columns, use in blocks():
+            i, j = M.likely(v[rows], w[columns], "cosine", np.full(len(rows), least))
+            i, j = rows[i[use[i, j]]], columns[j[use[i, j]]]
+            s = M.exactly(v[i], w[j], "cosine")
+            keep = (s >= least - 1e-12) & np.where(home[i] == cell[j], a[i] < b[j], a[i] != b[j])
+            out.append((np.minimum(a[i], b[j])[keep], np.maximum(a[i], b[j])[keep], s[keep]))
+        return pa.table({n: np.concatenate([o[k] for o in out]) if out else [] for k, n in enumerate(("a", "b", "sim"))})
 
     return M.meet(come, index, pairs, schema)
 
@@ -44,17 +49,14 @@ def reach_of(close: Column, metric: str) -> Column:
     return F.acos(F.greatest(F.least(close, F.lit(1.0)), F.lit(-1.0))) if metric == "cosine" else -close
 
 
-def best_columns(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each row where its k largest values are, largest first, ties by place; and the values."""
-    if k > 8:
-        at = np.argsort(-s, axis=1, kind="stable")[:, :k]
-        return at, np.take_along_axis(s, at, 1)
-    s, rows, at, top = s.copy(), np.arange(len(s)), [], []
-    for _ in range(min(k, s.shape[1])):
-        at.append(s.argmax(1))
-        top.append(s[rows, at[-1]])
-        s[rows, at[-1]] = -np.inf
-    return np.stack(at, axis=1), np.stack(top, axis=1)
+def closest(x: pa.Table, y: pa.Table, blocks: Callable, k: int, metric: str, itself: bool, group: np.ndarray | None = None) -> M.Best:
+    """The best of a tile for each of its visitors."""
+    v, w, a, b = M.matrix(x["v"]), M.matrix(y["v"]), x["id"].to_numpy(), y["id"].to_numpy()
+    reach = x["reach"].fill_null(np.inf).to_numpy() if "reach" in x.column_names else None
+    state = M.Best(len(a), k, metric, reach, itself, group is not None)
+    for rows, columns, use in blocks():
+        state.step(rows, v[rows], a[rows], w[columns], b[columns], None if group is None else group[columns], use)
+    return state
 
 
 def nearest(left: DataFrame, right: DataFrame, key: str, vector: str, k: int = 1, metric: str = "cosine", by: Sequence[str] = (), itself: bool = False) -> DataFrame:
@@ -67,15 +69,10 @@ def nearest(left: DataFrame, right: DataFrame, key: str, vector: str, k: int = 1
     if not len(index.count):
         return left.sparkSession.createDataFrame([], schema + ", rank int")
 
-    def best(x: pa.Table, y: pa.Table) -> pa.Table:
-        s, a, b = M.closeness(M.matrix(x["v"]), M.matrix(y["v"]), metric), x["id"].to_numpy(), y["id"].to_numpy()
-        if not itself:
-            s[a[:, None] == b[None, :]] = -np.inf
-        if "reach" in x.column_names:
-            s[M.distance(s, metric) > x["reach"].fill_null(np.inf).to_numpy()[:, None] + M.SLACK] = -np.inf
-        at, found = best_columns(s, k)
-        r, c = np.nonzero(found > -np.inf)
-        return pa.table({"id": a[r], "other": b[at[r, c]], "sim": found[r, c]})
+    def best(x: pa.Table, y: pa.Table, blocks: Callable) -> pa.Table:
+        state = closest(x, y, blocks, k, metric, itself)
+        r, other, _, sim = state.found()
+        return pa.table({"id": x["id"].to_numpy()[r], "other": other, "sim": sim})
 
     order = W.partitionBy("id").orderBy(F.desc("sim"), "other")
     ranked = lambda d: d.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
@@ -95,20 +92,11 @@ def group_match(left: DataFrame, right: DataFrame, key: str, vector: str, klass:
     index = M.build(b, key, vector, "cosine", ["klass", "grp"])
     schema = f"id long, grp {dict(b.dtypes)['grp']}, nearest long, sim double"
 
-    def best(x: pa.Table, y: pa.Table) -> pa.Table:
-        s, own, ids = M.closeness(M.matrix(x["v"]), M.matrix(y["v"]), "cosine"), x["id"].to_numpy(), y["id"].to_numpy()
-        s[own[:, None] == ids[None, :]] = -np.inf
-        if "reach" in x.column_names:
-            s[M.distance(s, "cosine") > x["reach"].fill_null(np.inf).to_numpy()[:, None] + M.SLACK] = -np.inf
-        code = y["grp"].combine_chunks().dictionary_encode()
-        groups, out = code.indices.to_numpy(zero_copy_only=False), []
-        for g in range(len(code.dictionary)):
-            columns = np.flatnonzero(groups == g)
-            top = s[:, columns].argmax(1)
-            sim = s[np.arange(len(own)), columns[top]]
-            r = np.flatnonzero(sim > -np.inf)
-            out.append(pa.table({"id": own[r], "grp": code.dictionary.take(pa.array(np.full(len(r), g))), "nearest": ids[columns[top[r]]], "sim": sim[r]}))
-        return pa.concat_tables(out) if out else pa.table({"id": [], "grp": code.dictionary, "nearest": [], "sim": []})
+    def best(x: pa.Table, y: pa.Table, blocks: Callable) -> pa.Table:
+        names = y["grp"].combine_chunks().unique().sort()
+        state = closest(x, y, blocks, 2, "cosine", False, pc.index_in(y["grp"].combine_chunks(), names).to_numpy(zero_copy_only=False))
+        r, other, g, sim = state.found()
+        return pa.table({"id": x["id"].to_numpy()[r], "grp": names.take(pa.array(g)), "nearest": other, "sim": sim})
 
     def by_group(found: DataFrame) -> DataFrame:
         g = found.groupBy("id", "grp").agg(F.max(F.struct("sim", (-F.col("nearest")).alias("less"))).alias("m"))

@@ -3,6 +3,7 @@
 from itertools import permutations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -158,3 +159,31 @@ def test_planted_assignment_of_a_whole_class(spark):
     near = df.withColumn("v", F.array(*[F.col("v")[i] for i in range(2)]))  # little to tell rows apart by
     got = auction.assigned(near.filter("id < 20"), near.filter("id >= 30"), "id", "v", "k", 2).collect()
     assert len(got) == len({r.a for r in got}) == len({r.b for r in got}) == 20
+
+
+def test_rows_are_sent_once_for_each_part_of_the_other_side(spark, monkeypatch):
+    """All rows open all of 100 cells: what meets in tiles is a few times the rows, not a hundred times, and every pair meets once."""
+    monkeypatch.setattr(metric_index, "BLOCK", 16)
+    df = frame(spark, np.random.default_rng(0).normal(size=(600, 4)))
+    index = metric_index.build(df, "id", "v", n_centres=100)
+    come = metric_index.stored(metric_index.visits(index.rows.select("id", "v"), index), "visits")
+    assert metric_index.opened(come) == 600 * (index.count > 0).sum() > 600 * 50
+
+    def sizes(x, y, *_):
+        return pa.table({"x": [len(x)], "y": [len(y)]})
+
+    r = metric_index.meet(come, index, sizes, "x long, y long").agg(F.sum("x"), F.sum("y"), F.sum(F.col("x") * F.col("y"))).first()
+    assert max(r[0], r[1]) <= 600 * 8 and r[2] == 600 * 600
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l1", "l2"])
+def test_what_single_precision_finds_holds_all_that_count(metric):
+    g = np.random.default_rng(2)
+    for x, y in [(g.normal(size=(40, 16)), g.normal(size=(50, 16)) + 1e4), (np.zeros((3, 4)), np.ones((5, 4))), (g.normal(size=(4, 4)) * 1e300, g.normal(size=(4, 4)))]:
+        if metric == "cosine":
+            x, y = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300) for v in (x, y))
+        with np.errstate(over="ignore"):
+            s = metric_index.closeness(x, y, metric)
+            least = np.sort(s, axis=1)[:, -2]
+            found = set(zip(*metric_index.likely(x, y, metric, least), strict=True))
+        assert set(zip(*np.nonzero(s >= least[:, None]), strict=True)) <= found
