@@ -3,14 +3,32 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 PIXELS = "id string, height int, width int, data binary"
+#: Images that a task has as Python objects at once.
+PIECE = 256
+
+
+def by_pieces(images: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``mapInPandas`` with frames of ``PIECE`` rows: of a batch of Arrow only a piece becomes Python objects, before and after ``run``."""
+    size, out = PIECE, to_arrow_schema(T._parse_datatype_string(schema))
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            frames = (b.slice(i, size).to_pandas() for i in range(0, b.num_rows, size))
+            for f in run(frames):
+                yield pa.RecordBatch.from_pandas(f, out, preserve_index=False)
+
+    return images.mapInArrow(pieces, schema)
 
 
 def grey(data: bytes, height: int, width: int, channels: int = 1) -> np.ndarray:
@@ -29,7 +47,7 @@ def grey_table(images: DataFrame) -> DataFrame:
             data = [grey(d, h, w, c).tobytes() for d, h, w, c in zip(f["data"], f["height"], f["width"], f["nChannels"], strict=True)]
             yield pd.DataFrame({"id": f["origin"], "height": f["height"], "width": f["width"], "data": data})
 
-    return images.select("origin", "height", "width", "nChannels", "data").mapInPandas(run, PIXELS)
+    return by_pieces(images.select("origin", "height", "width", "nChannels", "data"), run, PIXELS)
 
 
 def resized(a: np.ndarray, height: int, width: int) -> np.ndarray:
@@ -74,7 +92,7 @@ def describe(pixels: DataFrame) -> DataFrame:
                 out.append((i, h, w, hashlib.md5(d).hexdigest(), a.mean(), (a < 10).mean(), inside.mean() if len(inside) else 0.0, inside.std() if len(inside) else 0.0, len(inside) / a.size, gradient_hash(a), cosine_hash(a), cosine_hash(a[:, ::-1])))
             yield pd.DataFrame(out, columns=["id", "height", "width", "pixel_md5", "mean_intensity", "frac_black", "mask_mean", "mask_std", "mask_share", "dhash", "phash", "phash_flip"])
 
-    return pixels.mapInPandas(run, "id string, height int, width int, pixel_md5 string, mean_intensity double, frac_black double, mask_mean double, mask_std double, mask_share double, dhash string, phash string, phash_flip string")
+    return by_pieces(pixels, run, "id string, height int, width int, pixel_md5 string, mean_intensity double, frac_black double, mask_mean double, mask_std double, mask_share double, dhash string, phash string, phash_flip string")
 
 
 def standardise(a: np.ndarray, side: int, least: int = 50, margin: int = 4) -> np.ndarray | None:
@@ -100,7 +118,7 @@ def standardised(pixels: DataFrame, side: int = 64) -> DataFrame:
             out = [(i, side, side, s.tobytes()) for i, h, w, d in f.itertuples(index=False) if (s := standardise(grey(d, h, w), side)) is not None]
             yield pd.DataFrame(out, columns=["id", "height", "width", "data"])
 
-    return pixels.mapInPandas(run, PIXELS)
+    return by_pieces(pixels, run, PIXELS)
 
 
 def normalised(values):
@@ -124,7 +142,7 @@ def feature_vectors(pixels: DataFrame, side: int = 64) -> DataFrame:
         for f in frames:
             yield pd.DataFrame({"id": f["id"], "vec": [(resized(grey(d, h, w), side, side) / 255).ravel().astype(np.float32).tolist() for _, h, w, d in f.itertuples(index=False)]})
 
-    return pixels.mapInPandas(run, "id string, vec array<float>")
+    return by_pieces(pixels, run, "id string, vec array<float>")
 
 
 def handcrafted(pixels: DataFrame) -> DataFrame:
@@ -141,7 +159,7 @@ def handcrafted(pixels: DataFrame) -> DataFrame:
                 out.append((i, len(m) / a.size, m.mean() if len(m) else 0.0, m.std() if len(m) else 0.0, *q, (m < 60).mean() if len(m) else 0.0, (mid < 60).mean() if mid.size else 0.0))
             yield pd.DataFrame(out, columns=["id", "brain_area", "int_mean", "int_std", "int_p10", "int_p50", "int_p90", "dark_share", "central_dark_share"])
 
-    return pixels.mapInPandas(run, "id string, brain_area double, int_mean double, int_std double, int_p10 double, int_p50 double, int_p90 double, dark_share double, central_dark_share double")
+    return by_pieces(pixels, run, "id string, brain_area double, int_mean double, int_std double, int_p10 double, int_p50 double, int_p90 double, dark_share double, central_dark_share double")
 
 
 def augmented(pixels: DataFrame, n: int, seed: int = 0) -> DataFrame:
@@ -158,4 +176,4 @@ def augmented(pixels: DataFrame, n: int, seed: int = 0) -> DataFrame:
                 out.append((f"{i}__aug_{k:02d}", h, w, np.clip(a + 0.5, 0, 255).astype(np.uint8).tobytes()))
             yield pd.DataFrame(out, columns=["id", "height", "width", "data"])
 
-    return pixels.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(n)))).mapInPandas(run, PIXELS)
+    return by_pieces(pixels.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(n)))), run, PIXELS)

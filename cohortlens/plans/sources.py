@@ -157,7 +157,7 @@ def pixels(spark, d):
                 out.append((str(i), 64, 64, np.kron(np.clip(a * 300 + 60, 0, 255).astype(np.uint8), np.ones((8, 8), np.uint8)).tobytes()))
             yield pd.DataFrame(out, columns=["id", "height", "width", "data"])
 
-    return table(spark, d, "embeddings").select("vec_id", "embedding").mapInPandas(draw, image.PIXELS)
+    return image.by_pieces(table(spark, d, "embeddings").select("vec_id", "embedding"), draw, image.PIXELS)
 
 
 @query("k1_describe")

@@ -284,3 +284,19 @@ def test_entry_has_twins_for_real_queries(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() == 19
     assert math.isclose(entry.entry(spark).agg(F.max("f1")).first()[0], entry.entry(spark).filter("best").first().f1)
+
+
+def test_images_become_objects_a_few_at_a_time(spark, monkeypatch):
+    from cohortlens.operators import image
+
+    rows = [(str(i), 4, 4, bytes(range(i % 200, i % 200 + 16))) for i in range(1000)]
+    df = spark.createDataFrame(rows, image.PIXELS).coalesce(1)
+
+    def sizes(frames):
+        for f in frames:
+            yield f.assign(height=len(f))
+
+    got = image.by_pieces(df, sizes, image.PIXELS).collect()
+    assert [(r.id, r.width, bytes(r.data)) for r in got] == [(r[0], 4, r[3]) for r in rows]
+    assert max(r.height for r in got) == image.PIECE < 1000
+    assert image.by_pieces(df.filter("false"), sizes, image.PIXELS).count() == 0
