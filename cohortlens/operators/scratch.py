@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,11 +27,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return stored_at(df, name)[0]
 
 
-def stored_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """``stored``, and where it lies, for ``release``."""
+def stored_at(df: DataFrame, name: str, by: Sequence[str] = (), options: Mapping[str, str] | None = None) -> tuple[DataFrame, str]:
+    """``stored``, and where it lies, for ``release``; ``by``: a folder for each value."""
     spark = df.sparkSession
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path, partitionBy=list(by) or None)
     _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path), path
 

@@ -10,8 +10,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .long_files import PACKED, long_md5
+
 # File extensions of images.
 IMAGE_TYPES = ["png", "jpg", "jpeg", "bmp", "tif", "tiff"]
+# Bytes from which a file is read by splits (Spark's own split), and that a task chains of one.
+LONG, STEP = 128 << 20, 256 << 20
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
@@ -46,12 +50,30 @@ def parse_json(df: DataFrame, column: str, schema: str) -> tuple[DataFrame, Data
     return good, x.filter((F.col("__form") != "ok") | (F.coalesce(F.size("__items"), F.lit(0)) <= 0)).select(*df.columns, F.col("__form").alias("reason"))
 
 
-def scan_files(spark: SparkSession, path: str, types: Sequence[str] = IMAGE_TYPES) -> DataFrame:
-    """A4: all files below a folder: path, class (parent folder), split (its parent), stem, bytes, md5, content."""
+def scan_files(spark: SparkSession, path: str, types: Sequence[str] = IMAGE_TYPES, long: int = LONG, step: int = STEP) -> DataFrame:
+    """A4: all files below a folder: path, class (parent folder), split (its parent), stem, bytes, md5, content.
+
+    Files of more than ``long`` bytes are read by splits, no task takes more than about ``step`` bytes of one, and their md5 needs no
+    cell for the whole; ``content``, if it is selected, does. Packed files stay whole. Long files are read when this is called.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    ending = lambda c, of: F.lower(F.regexp_extract(c, r"\.([A-Za-z0-9]+)$", 1)).isin(list(of))
     name = F.regexp_extract("path", r"([^/]+)$", 1)
-    files = files.filter(F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).isin(list(types)))
-    return files.select("path", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("class_name"), F.regexp_extract("path", r"([^/]+)/[^/]+/[^/]+$", 1).alias("split"), F.regexp_replace(name, r"\.[^.]+$", "").alias("stem"), F.col("length").alias("bytes"), F.md5("content").alias("file_md5"), "content")
+    told = ["path", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("class_name"), F.regexp_extract("path", r"([^/]+)/[^/]+/[^/]+$", 1).alias("split"), F.regexp_replace(name, r"\.[^.]+$", "").alias("stem"), F.col("length").alias("bytes")]
+    whole = lambda f: f.select(*told, F.md5("content").alias("file_md5"), "content")
+    packed = [t for t in types if t in PACKED]
+    by_split = [t for t in types if t not in PACKED]
+    out = whole(files.filter((F.col("length") <= long) & ending("path", types)))
+    if packed:
+        out = out.unionByName(whole(files.filter((F.col("length") > long) & ending("path", packed))))
+    far = files.filter((F.col("length") > long) & ending("path", by_split))
+    listed = [(r.file_path, r.length) for r in far.select("_metadata.file_path", "length").collect()]
+    if not listed:
+        return out
+    wanted = (F.col("_metadata.file_size") > long) & ending("_metadata.file_path", by_split)
+    sums = long_md5(spark, path, listed, wanted, step)
+    chained = far.select(*told, "content", F.col("_metadata.file_path").alias("__file")).join(F.broadcast(sums), "__file")
+    return out.unionByName(chained.select(*out.columns))
 
 
 def decode_images(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
