@@ -183,6 +183,28 @@ def test_search_and_nested_search(two, df):
     assert (predicted(out.filter("outer = 1")) == predicted(again)).all()
 
 
+def test_search_deals_rows_out_and_scores_as_spark_does(spark, monkeypatch):
+    """Rows of one part are fitted by all cores, the same scores as ``CrossValidator``'s come out, and a fold's cells are scored together."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+
+    x = spark.range(0, 3 * ml.ROWS, 1, 1).selectExpr("id", "cast(id % 3 as int) as fold", "array(sin(id), cos(id * 7), sin(id * id)) as v", "cast(sin(id) + cos(id * 3) > 0.4 as double) as label")
+    x = ml.vectors(x, "v")
+    est = ml.classifier("logistic", 200, maxIter=5)
+    cells = ParamGridBuilder().addGrid(est.regParam, [0.001, 0.3]).addGrid(est.elasticNetParam, [0.0, 1.0]).build()
+    cv = CrossValidator(estimator=est, estimatorParamMaps=cells, evaluator=MulticlassClassificationEvaluator(metricName="f1"), numFolds=3, foldCol="fold").fit(x)
+    parts, fit = [], LogisticRegression._fit
+    monkeypatch.setattr(LogisticRegression, "_fit", lambda self, df: (parts.append(df.rdd.getNumPartitions()), fit(self, df))[1])
+    monkeypatch.setattr(MulticlassClassificationEvaluator, "evaluate", None)
+    best = ml.grid_search(x, est, {"regParam": [0.001, 0.3], "elasticNetParam": [0.0, 1.0]}, "fold", 3)
+    assert best.avgMetrics == pytest.approx(cv.avgMetrics, abs=1e-9) and best.stdMetrics == pytest.approx(cv.stdMetrics, abs=1e-9)
+    assert best.bestModel.getRegParam() == cv.bestModel.getRegParam() and best.bestModel.getElasticNetParam() == cv.bestModel.getElasticNetParam()
+    assert len(parts) == 13 and set(parts) == {3}
+    with pytest.raises(ValueError):
+        ml.grid_search(x.filter("fold <> 1"), est, {"regParam": [0.1]}, "fold", 3)
+
+
 def test_refit_is_the_fit_on_all_parts(df):
     both = ml.refit([df.filter("id < 100"), df.filter("id >= 100")], ml.classifier("naive_bayes")).transform(df)
     assert (predicted(both) == predicted(ml.classifier("naive_bayes").fit(df).transform(df))).all()
